@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrove.llm import layout, sample, splits, tokens
+from veritrove.llm import layout, leak, sample, sentences, splits, tokens
 from veritrove.sources.tables import table
 
 
@@ -70,6 +70,21 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").groupBy((F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same")).agg(F.count("*").alias("n_docs"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence unit of every full text, with its place."""
+    return sentences.sentences(table(spark, folder, "parsed_papers"), "parsed_id", "full_text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least a third of an evaluation item."""
+    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """What each such document holds, and where."""
+    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 _FORM = r"regexp_replace(regexp_replace(lower(CAST({} AS VARCHAR)), '^\s+|\s+$', '', 'g'), '[\s_\-]+', '_', 'g')"
 _UNITS = " UNION ".join(f"SELECT '{f}' AS field, {_FORM.format(f)} AS stratum, paper_id FROM paper_records WHERE {f} IS NOT NULL AND paper_id IS NOT NULL" for f in ("category", "is_fraud", "source_db"))
 _P1 = f"""
@@ -98,10 +113,13 @@ QUERIES = {
     "p1_sample": p1_sample,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
 }
 SQL = {
     "p1_found": _P1 + "SELECT plan_id, stratum_value FROM r WHERE available < needed",
