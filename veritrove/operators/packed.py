@@ -37,7 +37,7 @@ _CODES = re.compile(r"[,;|/&+\s]")
 _STRONG = frozenset(";|/\n\r")
 _ET_AL = re.compile(r"(?:^|(?<=\s))(?:and\s+)?et\.?\s*al(?:ii|\b)\.?\s*$", re.I)
 _AFTER_QUOTE = re.compile(r"\s*(?:$|[,;|/\n\r&+]|et\.?\s*al\b|and\s)", re.I)
-_OUTER = " \t\n\r\f\v             ​    　﻿,;|/&+"
+_OUTER = "".join(map(chr, range(9, 14))) + " \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200E))) + "    ⁠　﻿" + ",;|/&+"
 _PLACEHOLDER = re.compile(
     r"\W*(?:unknown(?:\s+authors?)?|n\s*[./]?\s*a|none|null|nil|anon|anonymous|not\s+(?:available|given|stated|known)|no\s+authors?(?:\s+(?:listed|given))?|missing|tba|tbd|various)?\W*",
     re.I,
