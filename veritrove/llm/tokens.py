@@ -15,16 +15,20 @@ from __future__ import annotations
 import importlib.util
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_NAME = "byte_bpe_50k.json"
+#: Texts encoded by one call.
+CHUNK = 256
 
 
 def tokenizer_path(name: str = DEFAULT_NAME, folder: str | None = None) -> str:
@@ -60,8 +64,22 @@ def _bytes_of(path: str) -> dict[int, bytes]:
     return {i: bytes(table[c] for c in token) for token, i in data["model"]["vocab"].items() if i not in special} | special
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
+class _Lists:
+    """Lists of integers gathered in flat buffers, without a Python object for each integer kept."""
+
+    def __init__(self) -> None:
+        self.flat = array("i")
+        self.sizes: list[int] = [0]
+
+    def add(self, values: list[int]) -> None:
+        self.flat.extend(values)
+        self.sizes.append(len(values))
+
+    def done(self) -> pa.Array:
+        ends = np.cumsum(np.array(self.sizes, np.int64))
+        if ends[-1] >= 2**31:
+            raise ValueError("more than 2^31 tokens in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32)))
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, offsets: bool = False) -> DataFrame:
@@ -74,16 +92,20 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
             texts = coded.dictionary.to_pylist()
-            at = coded.indices
-            if offsets:
-                got = [made.encode(t, add_special_tokens=False) if t else None for t in texts]
-                columns = [[list(e.ids) if e else [] for e in got], [[a for a, _ in e.offsets] if e else [] for e in got], [[b for _, b in e.offsets] if e else [] for e in got]]
-            else:
-                columns = [[e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)] if texts else []]
-            for c in columns:
-                c.append([])
-            at = pc.fill_null(at, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists(c).take(at) for c in columns)], names=["_id", *(["ids", "starts", "ends"] if offsets else ["ids"])])
+            lists = [_Lists() for _ in range(3 if offsets else 1)]
+            for low in range(0, len(texts), CHUNK):
+                if offsets:
+                    for e in made.encode_batch(texts[low : low + CHUNK], add_special_tokens=False):
+                        lists[0].add(e.ids)
+                        lists[1].add([x for x, _ in e.offsets])
+                        lists[2].add([y for _, y in e.offsets])
+                else:
+                    for e in made.encode_batch_fast(texts[low : low + CHUNK], add_special_tokens=False):
+                        lists[0].add(e.ids)
+            for gathered in lists:
+                gathered.add([])  # for null texts
+            at = pc.fill_null(coded.indices, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(x.done().take(at) for x in lists)], names=["_id", *(["ids", "starts", "ends"] if offsets else ["ids"])])
 
     kind = source.schema["_id"].dataType.simpleString()
     shape = f"_id {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
