@@ -55,7 +55,7 @@ _CAPITAL = re.compile(rf"(?<![\w'’@./-])[{_UP}](?:\.|(?:[^\W\d_]|['’-](?=[^\
 _INNER_DOT = re.compile(r"(?:^|[^\w])[a-zà-ÿ]\.\s*$")
 _AT = re.compile(r"[@＠]|[(\[{]\s?at\s?[)\]}]", re.I)
 _DOT = re.compile(r"\sdot\s|[(\[]\s?dot\s?[)\]]", re.I)
-_DIGITS = re.compile(r"\d[\d\s().\-–‑/]{5,}[\dA-Z]|[A-Z]\d\d[A-Z]\d{5}")
+_DIGITS = re.compile(r"\d(?:[\s().\-–‑/]{0,3}\d){6,}|[A-Z]\d\d[A-Z]\d{5}|[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]")
 _POSTCODE = re.compile(r",\s+\d{5}\s+(?=[^\W\d_])")
 _MORE_INITIALS = re.compile(rf"(?:\s+[{_UP}]\.(?!\w)){{1,3}}")
 _BEFORE_COMMA = re.compile(rf"(?<![\w'’@.-])({_LONG_PART}{_CAP}),\s+$")
@@ -245,7 +245,7 @@ def features(text: str, span: tuple[int, int, int, int]) -> list[float]:
         kind * 10 + form,
         kind,
         sum(c.isdigit() for c in body),
-        len(body),
+        len(body) if kind else 0,
         _checked(body, kind, form),
         near,
         far,
@@ -287,7 +287,7 @@ def _made_up(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
         "Participant {N} (ID {I}) left the study.", "Patient {N} (ID {I}) was seen.", "The form lists {I}, {P} and {A}.", "Letters were posted to {A} and re-sent by {N}.", "Requests should go to {N} <{E}>.",
         "One volunteer, {N}, born in " + town + ", was removed.", "Contact {E} or call {P} for the scans.", "fax/phone: {P}; SSN {I} was left in the header.", "tel {P}, {E}", "@ {E}", "連絡先：{E}", "Контакт: {E}",
         "Die Akte {I} gehört zu {N}, erreichbar unter {P}.", "Le dossier {I} appartient à {N}, joignable au {P}.", "El expediente {I} es de {N}, teléfono {P}.", "Rückfragen an {E} oder {P}.", "Écrire à {E} ou appeler le {P}.", "Escriba a {E} o llame al {P}.",
-        "A study of yields\n\n{N}, {M}\n\nAbstract", "{N}\n\nIntroduction", "{N} asked whether it matters.",
+        "A study of yields\n\n{N}, {M}\n\nAbstract", "{N}\n\nIntroduction", "Drift of the assay\n{N}, {M}\nResults", "Yield at low dose: a long-term study\r\n\r\n{N}, {M}\r\n\r\nWe measured it.", "{N} asked whether it matters.",
         # no personal information
         "Funding came from the {n} Foundation.", "Work at the {n} Institute went on.", "Funded by the {n} Fund and others.", "Lot {i} of the mesh passed (registry TRN" + digits(8) + ").", "Batch {i} of the kit failed.", "Accession {i} and grant {p} cover it.", "Grant {p} and protocol {i} apply.",
         "as ISSN " + digits(4) + "-" + digits(4) + " of the series, no. {i}.", "({n} 2014; others 2015)", "Earlier work ({n}, 2019) found it.", "{n} et al. (2012) found it.", "The setting was Ward " + letter + ". Batch work went on.", "The order {i} and serial {p} were kept.", "Cat. {i} was bought.", "The {n} test and the {n} prize were given.", "See ref. {i} and model {p}.",

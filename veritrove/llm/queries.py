@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrove.llm import layout, leak, sample, sentences, splits, tokens
+from veritrove.llm import layout, leak, pii, sample, sentences, splits, tokens
 from veritrove.sources.tables import table
 
 
@@ -85,6 +85,16 @@ def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of personal information in the documents."""
+    return pii.detect(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "pii_kind", "start_at", "end_at")
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with placeholders."""
+    return pii.redact(table(spark, folder, "documents"), "doc_id", "text")
+
+
 _FORM = r"regexp_replace(regexp_replace(lower(CAST({} AS VARCHAR)), '^\s+|\s+$', '', 'g'), '[\s_\-]+', '_', 'g')"
 _UNITS = " UNION ".join(f"SELECT '{f}' AS field, {_FORM.format(f)} AS stratum, paper_id FROM paper_records WHERE {f} IS NOT NULL AND paper_id IS NOT NULL" for f in ("category", "is_fraud", "source_db"))
 _P1 = f"""
@@ -120,6 +130,8 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 SQL = {
     "p1_found": _P1 + "SELECT plan_id, stratum_value FROM r WHERE available < needed",
