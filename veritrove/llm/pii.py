@@ -239,6 +239,8 @@ def features(text: str, span: tuple[int, int, int, int]) -> list[float]:
     line = text[line_a:line_b].strip()
     rest = line.replace(body, "", 1)
     alone = len(rest) < 90 and not re.search(r"\d|[.:;!?](?!\s*$)(?<![A-Z]\.)|(?<![^\W\d_])[a-z]{4,}", rest) if kind == 0 else len(rest) < 3
+    if kind == 0 and alone:
+        far = 60  # a line of names; what is before it is another line
     following = after.lstrip()[:1]
     leading = before.rstrip()[-1:]
     return [
