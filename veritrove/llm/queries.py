@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrove.llm import layout, leak, pii, sample, sentences, splits, tokens
+from veritrove.llm import layout, leak, pii, sample, sentences, splits, tokens, variants
+from veritrove.operators.packed import authors_of
 from veritrove.sources.tables import table
 
 
@@ -47,6 +48,22 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return layout.collapse(_layout_records(spark, folder)).select(_table_name(), "first_id", "n_copies")
 
 
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "paper_records")
+    authors = authors_of(papers).select(F.lit("author").alias("kind"), F.col("author").alias("name"))
+    return authors.unionByName(papers.select(F.lit("journal").alias("kind"), F.col("journal").alias("name")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of spellings of one person, group or journal."""
+    return variants.variant_pairs(variants.clusters(_names(spark, folder)))
+
+
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with the spelling its cluster is named by."""
+    return variants.clusters(_names(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every row that is linked to a row with a smaller record_id."""
     found = splits.components(splits.links(table(spark, folder, "paper_records")))
@@ -124,6 +141,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_records": p2_records,
     "p4_found": p4_found,
+    "p5_clusters": p5_clusters,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
