@@ -136,7 +136,7 @@ def _found(pattern: str, group: int = 1, ignore_case: bool = True, col: str = "t
 
 def _ascii(col: str) -> str:
     """Letters and digits beyond ASCII as underscores, as RE2 knows word boundaries of ASCII only."""
-    return rf"regexp_replace({col}, '[\x{{AA}}\x{{B5}}\x{{BA}}\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{2C1}}\x{{370}}-\x{{1FFF}}\x{{2C00}}-\x{{2DFF}}\x{{3040}}-\x{{D7FF}}\x{{F900}}-\x{{FAFF}}\x{{10000}}-\x{{1FFFF}}]', '_', 'g')"
+    return rf"regexp_replace({col}, '[\x{{AA}}\x{{B5}}\x{{BA}}\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{2C1}}\x{{370}}-\x{{5FF}}\x{{620}}-\x{{669}}\x{{66E}}-\x{{6D3}}\x{{6D5}}-\x{{963}}\x{{966}}-\x{{1FFF}}\x{{2C00}}-\x{{2DFF}}\x{{3040}}-\x{{D7FF}}\x{{F900}}-\x{{FAFF}}\x{{10000}}-\x{{1FFFF}}]', '_', 'g')"
 
 
 def _nums(strings: str, kind: str = "DOUBLE") -> str:
