@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 _QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’", "`": "`"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
-_NAMES_STRONG = re.compile(r"[;|/\n\r&]|(?<!\S)and(?!\S)", re.I)
-_NAMES_WEAK = re.compile(r"[,;|/\n\r&]|(?<!\S)and(?!\S)", re.I)
+_NAMES_STRONG = re.compile(r"[;|\n\r&]|/(?!(?<=\bN/)A\b)|(?<!\S)and(?!\S)", re.I)
+_NAMES_WEAK = re.compile(r"[,;|\n\r&]|/(?!(?<=\bN/)A\b)|(?<!\S)and(?!\S)", re.I)
 _CODES = re.compile(r"[,;|/&+\s]")
 _STRONG = frozenset(";|/\n\r")
 _ET_AL = re.compile(r"(?:^|(?<=\s))(?:and\s+)?et\.?\s*al(?:ii|\b)\.?\s*$", re.I)
@@ -126,8 +126,10 @@ def split_packed(text: str | None, kind: str = "names") -> tuple[tuple[str, str
             body = body[1:-1].strip()
     if kind == "codes":
         return tuple(_parse(body, _CODES)[0])
+    if not body.strip(_OUTER):
+        return ()
     if len(body) < 40 and is_placeholder(body):
-        return ((body, "placeholder"),)
+        return ((body.strip(_OUTER), "placeholder"),)
     values, met = _parse(body, _NAMES_STRONG)
     if not met & _STRONG:
         values, _ = _parse(body, _NAMES_WEAK)
