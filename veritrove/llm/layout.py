@@ -30,7 +30,7 @@ _SCHEMA = pa.schema([("tag", pa.int32()), ("first_id", pa.int64()), ("other", pa
 
 def bare(text: Column) -> Column:
     """Letters, marks and digits of ``text`` without regard to letter case."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}\p{M}]|[\x{FE00}-\x{FE0F}\x{34F}]", "")
+    return F.regexp_replace(F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}\p{M}]|[\x{FE00}-\x{FE0F}\x{34F}]", "")
 
 
 def layout_key(doi: Column, title: Column) -> Column:

@@ -121,7 +121,7 @@ r AS (SELECT p.plan_id, p.stratum_field, p.stratum_value, coalesce(s.n, 0) AS av
       greatest(least(coalesce(s.n, 0), p.min_keep), least(coalesce(s.n, 0), (p.sample_n * p.target_pct + 50) // 100)) AS drawn
       FROM sample_plans p LEFT JOIN sizes s ON s.field = p.stratum_field AND s.stratum = {_FORM.format("p.stratum_value")})
 """
-_BARE = r"regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
+_BARE = r"regexp_replace(replace(lower(upper({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
 _P2 = rf"""
 WITH r AS (
   SELECT 'paper_records' AS table_name, record_id AS id, doi, title FROM paper_records

@@ -41,7 +41,7 @@ def units(papers: DataFrame, fields: list[str], id_col: str = "paper_id", seed:
     Spread by stratum and slice before rows are made distinct, so that the ranks within a slice
     need no further shuffle.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), stratum_form(F.col(f)).alias("stratum")) for f in fields]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), stratum_form(F.col(f)).alias("stratum")) for f in fields]).cast("array<struct<field:string,stratum:string>>"))
     rows = papers.select(F.col(id_col).alias("unit"), pairs.alias("s")).select("s.field", "s.stratum", "unit")
     rows = rows.where("unit is not null and stratum is not null and stratum <> ''")
     rows = rows.withColumns({"slice": F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(SLICES)).cast("int"), "rand": F.xxhash64("unit", F.lit(seed + 1))})
