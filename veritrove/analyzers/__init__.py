@@ -41,3 +41,21 @@ def papers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", abstra
 def analyze(df: DataFrame, name: str) -> DataFrame:
     """The report of one analyzer."""
     return ANALYZERS[name](df)
+
+
+def analyze_all(df: DataFrame, names: list[str] | None = None, by_section: bool = False) -> DataFrame:
+    """``id`` and, for each analyzer, its ``score``, ``risk_level`` and ``flags`` side by side.
+
+    One pass without a join: each paper travels through the analyzers as a struct that takes up their
+    results.  With ``by_section`` sections are split once and each analyzer reads its own.
+    """
+    from veritrove.functions.routing import routed, with_sections
+
+    rows = with_sections(df) if by_section else df
+    carried = [c for c in rows.columns if c != "id"]
+    rows = rows.select(F.struct("id", *carried).alias("row"))
+    for name in names or list(ANALYZERS):
+        staged = rows.select(F.col("row").alias("id"), *(F.col(f"row.{c}").alias(c) for c in carried))
+        report = ANALYZERS[name](routed(staged, name) if by_section else staged)
+        rows = report.select(F.col("id").withField(name, F.struct("score", "risk_level", "flags")).alias("row"))
+    return rows.select("row.id", *(F.col(f"row.{name}").alias(name) for name in names or list(ANALYZERS)))

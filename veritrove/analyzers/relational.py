@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, weighted
-from veritrove.functions.text import any_of, found, pieces, strip, word_count
+from veritrove.functions.text import any_of, found, pieces_with, strip, word_count
 
 
 def dois(text: Column) -> Column:
@@ -53,7 +53,10 @@ def citations(df: DataFrame) -> DataFrame:
     name = strip(F.col("author_name"))
     surname = F.regexp_extract(name, rf"([^{V.BLANKS}]+)\z", 1)
     own = F.when(F.col("author_name") == "", F.lit(0)).otherwise(F.regexp_count(text, F.concat(F.lit("(?iud)\\Q"), F.replace(F.when(surname == "", F.col("author_name")).otherwise(surname), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E[,{V.BLANKS}]{{0,10}}(?:\d{{4}}|et al)"))))
-    loose = F.slice(F.filter(pieces(text), lambda s: (F.length(s) >= 15) & any_of(F.lower(s), V.CLAIM_MARKERS) & ~s.rlike("(?d)" + V.CITED_CLAIM)), 1, 5)
+    df = df.withColumn("low", F.lower("text"))
+    # Only texts that hold a marker at all are cut into pieces.
+    claims = F.when(any_of(F.col("low"), V.CLAIM_MARKERS), pieces_with(text, V.CLAIM_MARKERS, 15)).otherwise(F.array().cast("array<string>"))
+    loose = F.slice(F.filter(claims, lambda s: ~s.rlike("(?d)" + V.CITED_CLAIM)), 1, 5)
     read = df.select("id", F.size(marks).alias("total_citations"), own.alias("self_citations"), loose.alias("loose"), F.greatest(F.lit(1), F.floor(word_count(text) / 250)).alias("pages"), F.regexp_count(text, F.lit("(?iu)" + V.ET_AL)).alias("et_al"))
     total, share = F.col("total_citations"), ratio(F.col("self_citations"), F.col("total_citations"))
     raised = flags(
@@ -70,7 +73,7 @@ def citations(df: DataFrame) -> DataFrame:
 
 def cited_authors(text: Column) -> Column:
     """Cited authors in order: those of bracketed years, then those with "et al."; one may count under both."""
-    return F.transform(F.concat(found(text, V.CARTEL_CITE), found(text, V.CARTEL_ET_AL)), strip)
+    return F.transform(F.concat(found(text, V.CARTEL_CITE_RUN), found(text, V.CARTEL_ET_AL_RUN)), strip)
 
 
 def citation_edges(df: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flags, level_by_score, rounded, summary, weighted
-from veritrove.functions.text import any_of, matches, pieces
+from veritrove.functions.text import any_of, matches, pieces_with
 
 NO_MODEL = "Language model assessment unavailable: no model is configured."
 
 
-def _sentences(text: Column, markers: tuple[str, ...], least: int, most: int) -> Column:
-    return F.slice(F.filter(pieces(text), lambda s: (F.length(s) >= least) & any_of(F.lower(s), markers)), 1, most)
+def _sentences(text: Column, low: Column, markers: tuple[str, ...], least: int, most: int) -> Column:
+    # Only texts that hold a marker at all are cut into pieces.
+    return F.slice(F.when(any_of(low, markers), pieces_with(text, markers, least)).otherwise(F.array().cast("array<string>")), 1, most)
 
 
 def methodology(df: DataFrame, assess=None) -> DataFrame:
@@ -22,18 +23,20 @@ def methodology(df: DataFrame, assess=None) -> DataFrame:
     Claims are read from ``abstract`` where there is one.  ``assess`` may give a column for the
     assessment by a language model; without it the column says that there is none.
     """
-    low = F.lower("text")
+    low = F.col("low")
+    df = df.withColumn("working", F.when(F.col("abstract") != "", F.col("abstract")).otherwise(F.col("text")))
+    df = df.withColumns({"low": F.lower("text"), "working_low": F.lower("working")})
     read = df.select(
         "id", "text",
-        _sentences(F.when(F.col("abstract") != "", F.col("abstract")).otherwise(F.col("text")), V.FINDING_MARKERS, 20, 8).alias("claims_found"),
-        _sentences(F.col("text"), V.METHOD_MARKERS, 20, 8).alias("methods_found"),
+        _sentences(F.col("working"), F.col("working_low"), V.FINDING_MARKERS, 20, 8).alias("claims_found"),
+        _sentences(F.col("text"), low, V.METHOD_MARKERS, 20, 8).alias("methods_found"),
         *(any_of(low, phrases).alias(name) for name, phrases in {
             "causal": V.CAUSATION, "weak": V.WEAK_DESIGNS, "rct": V.RCT, "self_report": V.SELF_REPORT, "strong": V.STRONG_CLAIM, "long_term": V.LONG_TERM, "short_term": V.SHORT_TERM,
             "treatment": V.TREATMENT, "effect": V.EFFECT_CLAIM, "control": V.CONTROL, "broad": V.BROAD_CLAIM, "limited": V.LIMITED_SAMPLE,
         }.items()),
     )
     c = F.col
-    evidence = F.try_element_at(F.filter(pieces(c("text")), lambda s: any_of(F.lower(s), V.CAUSATION)), F.lit(1))
+    evidence = F.try_element_at(pieces_with(c("text"), V.CAUSATION, 0), F.lit(1))
     raised = flags(
         flag(c("causal") & c("weak") & ~c("rct"), "causation_without_rct", "high", F.when(c("causal") & c("weak") & ~c("rct"), evidence)),
         flag(c("self_report") & c("strong"), "weak_design_strong_claim", "medium"),
@@ -51,14 +54,15 @@ CHECKS = ("has_code_link", "has_data_link", "has_software_versions", "has_statis
 
 def reproducibility(df: DataFrame) -> DataFrame:
     """A checklist of eight statements, and what is missing where it would be due."""
-    text, low = F.col("text"), F.lower("text")
+    df = df.withColumn("low", F.lower("text"))
+    text, low = F.col("text"), F.col("low")
     read = df.select(
         "id",
-        matches(text, V.CODE_LINK).alias("has_code_link"), matches(text, V.DATA_LINK).alias("has_data_link"), matches(text, V.SOFTWARE_VERSION).alias("has_software_versions"),
-        any_of(low, V.STAT_SOFTWARE).alias("has_statistical_software"), matches(text, V.PREREGISTRATION).alias("has_preregistration"), any_of(low, V.ETHICS).alias("has_ethics_statement"),
+        matches(text, low, V.CODE_LINK).alias("has_code_link"), matches(text, low, V.DATA_LINK).alias("has_data_link"), matches(text, low, V.SOFTWARE_VERSION).alias("has_software_versions"),
+        any_of(low, V.STAT_SOFTWARE).alias("has_statistical_software"), matches(text, low, V.PREREGISTRATION).alias("has_preregistration"), any_of(low, V.ETHICS).alias("has_ethics_statement"),
         any_of(low, V.CONFLICT).alias("has_conflict_statement"), any_of(low, V.SAMPLE_SIZE_REASONS).alias("has_sample_size_justification"),
         *(any_of(low, phrases).alias(name) for name, phrases in {"computational": V.COMPUTATIONAL, "empirical": V.EMPIRICAL, "quantitative": V.QUANTITATIVE, "experimental": V.EXPERIMENTAL, "humans": V.HUMANS}.items()),
-        matches(text, (V.ON_REQUEST,)).alias("on_request"),
+        matches(text, low, (V.ON_REQUEST,)).alias("on_request"),
     )
     c = F.col
     raised = flags(

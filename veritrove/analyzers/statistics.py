@@ -62,11 +62,13 @@ def grim(df: DataFrame, precision_aware: bool = False) -> DataFrame:
     A pair is read greedily within a line; the product of mean and number must be whole within .001.
     ``precision_aware`` also lets means pass that are right to the digits reported.
     """
-    groups = [found(F.col("text"), V.GRIM_PAIR, g) for g in (1, 2, 3, 4)]
-    zipped = df.select("id", *(g.alias(f"g{k}") for k, g in enumerate(groups, 1)))
+    # The text is searched once; the groups are read from the short matches.
+    matched = df.select("id", found(F.col("text"), V.GRIM_PAIR, 0).alias("matched"))
+    group = lambda m, g: F.regexp_extract(m, V.java(V.GRIM_PAIR), g).alias(f"g{g}")
+    zipped = matched.select("id", F.transform("matched", lambda m: F.struct(*(group(m, g) for g in (1, 2, 3, 4)))).alias("zipped"))
     first = lambda z: (z["g1"] != "") & (z["g2"] != "")
     pair = F.transform(
-        F.arrays_zip("g1", "g2", "g3", "g4"),
+        F.col("zipped"),
         lambda z: F.struct(F.when(first(z), z["g1"]).otherwise(z["g4"]).try_cast("double").alias("mean"), F.when(first(z), z["g2"]).otherwise(z["g3"]).try_cast("bigint").alias("n"), F.length(F.regexp_extract(F.when(first(z), z["g1"]).otherwise(z["g4"]), r"\.(\d+)$", 1)).alias("digits")),
     )
     read = zipped.select("id", F.filter(pair, lambda x: (x["n"] >= 2) & (x["n"] <= 10000)).alias("pairs"))

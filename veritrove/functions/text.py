@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritrove.functions.vocabulary import BLANKS, java
+from veritrove.functions.vocabulary import BLANK_SIGNS, BLANKS, java
 
 
 def strip(text: Column) -> Column:
     """``text`` without blanks of any kind at its ends."""
-    return F.regexp_replace(text, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return F.btrim(text, F.lit(BLANK_SIGNS))
 
 
 def found(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
@@ -34,13 +35,38 @@ def any_of(lowered: Column, phrases: Iterable[str]) -> Column:
 
 
 def held(lowered: Column, phrases: Iterable[str]) -> Column:
-    """The phrases that a lower-cased text contains, in list order."""
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(lowered, p))
+    """The phrases that a lower-cased text contains, in list order.
 
+    ``lowered`` should be a column, not an expression: it is named once for each phrase.
+    """
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases]))
 
-def matches(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether one of the patterns is found in the text, without regard to case."""
-    return text.rlike(java("|".join(f"(?:{p})" for p in patterns)))
+
+def _literals(pattern: str) -> list[str]:
+    """Stretches of three or more plain letters that every match of a pattern without alternation holds."""
+    plain = re.sub(r"\\[sSdDwWb][+*?]?|\\.|\.[*+?]?|[+*?]", "\n", pattern)
+    return [x for x in re.findall(r"[a-z ]+", plain) if len(x) >= 3]
+
+
+def matches(text: Column, lowered: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of the patterns is found in the text, without regard to case.
+
+    A pattern is tried only on texts that hold its literal parts, which is cheap to tell.
+    """
+    out = F.lit(False)
+    for pattern in (q for p in patterns for q in p.split("|")):
+        needed = F.lit(True)
+        for literal in _literals(pattern):
+            needed = needed & F.contains(lowered, F.lit(literal))
+        out = out | (needed & text.rlike(java(pattern)))
+    return out
+
+
+def pieces_with(text: Column, markers: Iterable[str], least: int) -> Column:
+    """Pieces of at least ``least`` characters that contain one of the markers, without regard to case."""
+    both = F.transform(pieces(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    kept = F.filter(both, lambda x: (F.length(x["s"]) >= least) & any_of(x["low"], markers))
+    return F.transform(kept, lambda x: x["s"])
 
 
 def pieces(text: Column) -> Column:

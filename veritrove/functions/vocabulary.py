@@ -9,6 +9,9 @@ from __future__ import annotations
 
 BLANKS = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+#: The same as plain characters.
+BLANK_SIGNS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def java(pattern: str, ignore_case: bool = True) -> str:
     """The pattern for Spark.  ``@B@`` within a class stands for the blanks."""
@@ -48,6 +51,9 @@ CITED_CLAIM = r"\[\d+\]|\([A-Z][a-z]+.*?\d{4}\)"
 ET_AL = r"et al\.?"
 CARTEL_CITE = r"([A-Z][a-z]+(?:\s+et\s+al\.?)?)\s*[(\[,]?\s*(\d{4})[)\]]"
 CARTEL_ET_AL = r"([A-Z][a-z]+)\s+et\s+al\.?\s*[(\[,]?\s*(\d{4})"
+# The same for engines with look-behind: a match can only begin where a run of letters does.
+CARTEL_CITE_RUN = r"((?<![A-Za-z])[A-Z][a-z]++(?:\s+et\s+al\.?)?)\s*[(\[,]?\s*(\d{4})[)\]]"
+CARTEL_ET_AL_RUN = r"((?<![A-Za-z])[A-Z][a-z]++)\s+et\s+al\.?\s*[(\[,]?\s*(\d{4})"
 TITLE_WORD = r"\b[A-Z][a-z]{3,}\b"
 CAPITAL_PAIR = r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"
 ON_REQUEST = r"data.*available.*upon.*request|data.*available.*on.*request|available.*from.*corresponding.*author"

@@ -35,7 +35,7 @@ def fraud_taxonomy_profile(spark: SparkSession, folder: str) -> DataFrame:
     codes = unpack(table(spark, folder, "paper_records"), "record_id", {"fraud_types": "codes"}).select("record_id", F.upper("item_value").alias("code"))
     counts = codes.groupBy("code").agg(F.count("*").alias("n_values"), F.count_distinct("record_id").alias("n_records"))
     known = table(spark, folder, "fraud_taxonomy")
-    return known.join(F.broadcast(counts), "code", "left").select("code", "description", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
+    return known.join(counts, "code", "left").select("code", "description", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
 
 
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrove.analyzers import ANALYZERS, papers
+from veritrove.analyzers import ANALYZERS, analyze_all, papers
 from veritrove.analyzers.relational import citation_edges
 from veritrove.analyzers.statistics import sprite_groups
 from veritrove.functions import vocabulary as V
@@ -104,14 +104,19 @@ def retracted_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges.join(known, "key", "left_semi").groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.count_distinct("key").alias("n_works"), F.min("seen_at").alias("first_seen"))
 
 
+def _wide(spark: SparkSession, folder: str, by_section: bool) -> DataFrame:
+    rows = analyze_all(_papers(spark, folder), by_section=by_section)
+    return rows.select(F.col("id").alias("doc_id"), *(F.col(f"{n}.{c}").alias(f"{n}_{k}") for n in ANALYZERS for c, k in (("score", "score"), ("risk_level", "level"))))
+
+
 def integrity_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Score and level of every analyzer side by side, sections split once."""
-    df = _papers(spark, folder)
-    out = None
-    for name in ANALYZERS:
-        part = report(name, df).select("doc_id", F.col("score").alias(f"{name}_score"), F.col("risk_level").alias(f"{name}_level"))
-        out = part if out is None else out.join(part, "doc_id")
-    return out
+    """Score and level of every analyzer side by side, on whole texts, in one pass."""
+    return _wide(spark, folder, False)
+
+
+def routed_integrity_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with each analyzer on the sections it reads; sections are split once."""
+    return _wide(spark, folder, True)
 
 
 def _r(value: str, digits: int) -> str:
@@ -302,5 +307,5 @@ _NAMES = {
     "granularity": "granularity_digits", "pcurve": "pcurve", "effect_size": "effect_size_power", "retraction": "retraction_report", "cartel": "cartel_report", "llm": "llm_style",
 }
 QUERIES = {label: _query(name) for name, label in _NAMES.items()} | {f"routed_{label}": _routed_query(name) for name, label in _NAMES.items()}
-QUERIES |= {f.__name__: f for f in (section_map, truncated_text, sprite_pairs, cartel_network, retraction_hits, retracted_edges, integrity_report)}
+QUERIES |= {f.__name__: f for f in (section_map, truncated_text, sprite_pairs, cartel_network, retraction_hits, retracted_edges, integrity_report, routed_integrity_report)}
 SQL = {_NAMES[name]: sql for name, sql in _SQL.items()} | _SQL_MORE
