@@ -9,7 +9,8 @@ Three steps, all within a row, so there is no shuffle:
    name is known.  They are trained from seeded made-up sentences (``EXAMPLES`` of them, a fixed
    bound) when a session first needs them.
 3. Thresholds, calibrated for each kind on made-up sentences held out of training, select the spans;
-   of overlapping ones the surest, then the longest, stays.
+   a span within a
+   longer one goes, and of spans that overlap otherwise the surest, then the longest, stays.
 
 Defined results: null, empty and blank texts hold nothing and stay as they are.  Offsets count code
 points, ends are exclusive.  A text is read whole, whatever its length.
@@ -47,11 +48,11 @@ GIVEN = frozenset(
 
 _UP = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶĹĻĽŁŃŅŇŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽΑ-ΩА-ЯЁ"
 _CAP = rf"[{_UP}](?:[^\W\d_]|['’](?=[^\W\d_])|[-‐‑](?=[^\W\d_])|[\x80-\xbf€ƒ„†‡ˆ‰Š‹ŒŽ•™š›œž](?=[^\W\d_]))+"
-_PART = r"(?:(?:de|der|den|van|von|del|della|di|da|dos|du|le|la|los|las|ter|ten|zu|bin|ibn|al|el)\s+){0,3}"
-_LONG_PART = r"(?:(?:de\s+la|de\s+los|de\s+las|van\s+der|van\s+den|van|von\s+der|von|della|del)\s+)?"
+_PART = r"(?:(?i:de|der|den|van|von|del|della|di|da|dos|du|le|la|los|las|ter|ten|zu|bin|ibn|al|el)\s+){0,3}"
+_LONG_PART = r"(?:(?i:de\s+la|de\s+los|de\s+las|van\s+der|van\s+den|van|von\s+der|von|della|del)\s+)?"
 _FAMILY = _PART + _CAP
 _AFTER_GIVEN = re.compile(rf"(?:\s+[{_UP}]\.)*\s+({_FAMILY})(?![\w@])")
-_CAPITAL = re.compile(rf"(?<![\w'’@./-])[{_UP}](?:\.|(?:[^\W\d_]|['’-](?=[^\W\d_]))+)")
+_CAPITAL = re.compile(rf"(?<![\w'’@./-])[{_UP}](?:\.|(?:[^\W\d_]|(?<=[ÃÄÅ])[\x80-\xbf¡-¿]|['’-](?=[^\W\d_]))+)")
 _INNER_DOT = re.compile(r"(?:^|[^\w])[a-zà-ÿ]\.\s*$")
 _AT = re.compile(r"[@＠]|[(\[{]\s?at\s?[)\]}]", re.I)
 _DOT = re.compile(r"\sdot\s|[(\[]\s?dot\s?[)\]]", re.I)
@@ -122,6 +123,11 @@ _PLAIN = str.maketrans("áàâäãåéèêëíìîïóòôöõøúùûüñçýŠ
 
 
 def _plain(word: str) -> str:
+    if "Ã" in word or "Ä" in word or "Å" in word:  # letters decoded the wrong way
+        try:
+            word = word.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            pass
     return word.lower().translate(_PLAIN).replace("’", "'")
 
 
@@ -362,9 +368,14 @@ def find(texts: list[str | None], trained: tuple[object, tuple[float, ...]]) ->
     chosen = sorted((k, -round(float(s), 3), a - b, a, b, kind) for (k, a, b, kind), s in zip(spans, p, strict=True) if s >= thresholds[kind])
     out: list[tuple[int, int, int, int]] = []
     text_at, taken = -1, []
+    whole: dict[int, list[tuple[int, int]]] = {}
+    for k, _, _, a, b, _ in chosen:
+        whole.setdefault(k, []).append((a, b))
     for k, _, _, a, b, kind in chosen:
         if k != text_at:
             text_at, taken = k, []
+        if any(x <= a and b <= y and y - x > b - a for x, y in whole[k]):
+            continue  # part of a longer piece, as a name in an address
         if all(b <= x or a >= y for x, y in taken):
             taken.append((a, b))
             out.append((k, a, b, kind))
