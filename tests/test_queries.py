@@ -5,7 +5,7 @@ import pytest
 from tests.oracle import check
 from veritrove.plans import catalog
 
-WITHOUT_SQL = sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"integrity_report"})
+WITHOUT_SQL = sorted(set(catalog.QUERIES) - set(catalog.SQL))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrove.analyzers.figures import duplicate_pairs
 from veritrove.functions.text import word_count
+from veritrove.functions.vocabulary import BLANKS
 from veritrove.operators.packed import unpack
 from veritrove.sources.benchmark import SCORES, categories, status
 from veritrove.sources.papers import title_of
@@ -81,7 +82,9 @@ def figure_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 _FORM = "upper(regexp_replace(trim({0}), '[ \\-]+', '_', 'g'))"
 _BITS = " + ".join(f"(CASE WHEN embedding[{k + 1}] > 0 THEN (1::BIGINT << {k}) ELSE 0 END)" for k in range(32))
 QUERIES = {f.__name__: f for f in (corpus_profile, category_targets, fraud_taxonomy_profile, score_summary, parsed_titles, cited_author_top, citation_lag, analyzer_status, figure_duplicates)}
+_STRIP = lambda x: rf"regexp_replace({x}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
 SQL = {
+    "parsed_titles": f"SELECT parsed_id, CASE WHEN coalesce(title, '') <> '' THEN {_STRIP('title')} ELSE coalesce(list_filter(list_transform(string_split(coalesce(full_text, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: len(x) > 10)[1], 'Unknown Title') END AS title, len(regexp_extract_all(coalesce(full_text, ''), '[^{BLANKS}]+'))::INT AS n_words, metadata.filename AS filename, figure_count FROM parsed_papers",
     "corpus_profile": f"SELECT category, source_db, count(*) AS n_records, count(DISTINCT paper_id) AS n_papers, sum(is_fraud)::BIGINT AS n_fraud, min(year) AS first_year, max(year) AS last_year, grouping(category, source_db)::BIGINT AS level FROM (SELECT {_FORM.format('category')} AS category, {_FORM.format('source_db')} AS source_db, is_fraud, year, paper_id FROM paper_records WHERE category IS NOT NULL AND source_db IS NOT NULL) GROUP BY ROLLUP (category, source_db)",
     "category_targets": f"SELECT t.category, t.target, coalesce(n, 0) AS n_papers, t.target - coalesce(n, 0) AS missing FROM (VALUES ('CONFIRMED_FRAUD', 300), ('SUSPECTED_FRAUD', 200), ('BORDERLINE', 150), ('CLEAN', 250), ('BASELINE_ELITE', 100)) t(category, target) LEFT JOIN (SELECT {_FORM.format('category')} AS category, count(DISTINCT paper_id) AS n FROM paper_records GROUP BY 1) h USING (category)",
     "fraud_taxonomy_profile": "WITH v AS (SELECT record_id, unnest(regexp_extract_all(upper(fraud_types), '[A-Z]+-[0-9]+')) AS code FROM paper_records) SELECT t.code, t.description, count(v.code) AS n_values, count(DISTINCT v.record_id) AS n_records FROM fraud_taxonomy t LEFT JOIN v ON v.code = t.code GROUP BY ALL",

@@ -302,10 +302,58 @@ _SQL_MORE = {
     "retracted_edges": "WITH k AS (SELECT DISTINCT regexp_replace(lower(trim(doi)), '\\.+$', '') AS key FROM retractions) SELECT paper_id, count(*) AS n_edges, count(DISTINCT regexp_replace(lower(trim(cited_doi)), '\\.+$', '')) AS n_works, min(seen_at) AS first_seen FROM citation_edges WHERE paper_id IS NOT NULL AND regexp_replace(lower(trim(cited_doi)), '\\.+$', '') IN (SELECT key FROM k) GROUP BY paper_id",
 }
 
+
+
+def _routed_sql(name: str) -> str:
+    """The analyzer's SQL over routed texts: sections of d0, then d as the analyzer reads it."""
+    limit = 2000 if name == "novelty" else 2500
+    wanted = ", ".join(f"({k}, {_q(m)})" for k, m in enumerate(V.MODULE_SECTIONS[name]))
+    cut = _SQL_MORE["truncated_text"].split("md5(", 1)[1].rsplit(") AS digest", 1)[0]
+    sections = _SECTION_CTES.replace("d AS (SELECT doc_id, coalesce", "d0 AS (SELECT doc_id, coalesce").replace("FROM d)", "FROM d0)")
+    routed = f"""{sections},
+wanted(ord, name) AS (VALUES {wanted}),
+parts AS (SELECT doc_id, string_agg(substr({_STRIP("substr(text, (pos + 1)::BIGINT, (coalesce(next, len(text)) - pos)::BIGINT)")}, 1, {limit}), chr(10) || chr(10) ORDER BY w.ord) AS t FROM sections s JOIN d0 USING (doc_id) JOIN wanted w USING (name) GROUP BY doc_id),
+d1 AS (SELECT d0.* EXCLUDE (text, low), coalesce(substr(t, 1, 12000), {cut}) AS text FROM d0 LEFT JOIN parts USING (doc_id)),
+d AS (SELECT *, lower(text) AS low FROM d1)"""
+    return _SQL[name].replace(f"WITH {_D}", f"WITH RECURSIVE {routed}", 1).replace(f"WITH RECURSIVE {_D}", f"WITH RECURSIVE {routed}", 1)
+
+
+def _offsets(label: str, pattern: str, columns: str) -> str:
+    """Matches of a pattern with their offsets: from the lengths of what lies between them."""
+    p = re2(pattern)
+    return f"""{label}0 AS (SELECT doc_id, unnest(regexp_extract_all(text, {p}, 0)) AS w, unnest(list_slice(string_split_regex(text, {p}), 1, len(regexp_extract_all(text, {p}, 0)))) AS between, unnest(regexp_extract_all(text, {p}, 1)) AS g1, {"unnest(regexp_extract_all(text, " + p + ", 2)) AS g2, " if "g2" in columns else ""}generate_subscripts(regexp_extract_all(text, {p}, 0), 1) AS k FROM d),
+{label} AS (SELECT doc_id, k, {columns}, sum(len(between) + len(w)) OVER (PARTITION BY doc_id ORDER BY k) - len(w) AS place FROM {label}0)"""
+
+
+_GROUPS = f"""{_offsets("m", V.SPRITE_MEAN, "TRY_CAST(g1 AS DOUBLE) AS mean")}, {_offsets("s", V.SPRITE_SD, "TRY_CAST(g1 AS DOUBLE) AS sd")}, {_offsets("n", V.N_EFFECT, "TRY_CAST(g1 AS BIGINT) AS v")},
+{_offsets("c", V.SPRITE_SCALE, "TRY_CAST(g1 AS BIGINT) AS lo, TRY_CAST(g2 AS BIGINT) AS hi")},
+ms AS (SELECT m.doc_id, m.k, mean, sd, m.place FROM m JOIN s ON s.doc_id = m.doc_id AND s.k = m.k WHERE mean IS NOT NULL AND sd IS NOT NULL),
+nn AS (SELECT ms.doc_id, ms.k, arg_min(v, abs(n.place - ms.place) * 1000000000 + n.place) AS n FROM ms JOIN n ON n.doc_id = ms.doc_id AND v IS NOT NULL GROUP BY ALL),
+cc AS (SELECT ms.doc_id, ms.k, arg_min(lo, abs(c.place - ms.place) * 1000000000 + c.place) AS lo, arg_min(hi, abs(c.place - ms.place) * 1000000000 + c.place) AS hi FROM ms JOIN c ON c.doc_id = ms.doc_id AND lo IS NOT NULL AND hi IS NOT NULL GROUP BY ALL),
+g AS (SELECT ms.doc_id, ms.k, mean, sd, n, coalesce(lo, 1) AS lo, coalesce(hi, 7) AS hi FROM ms JOIN nn USING (doc_id, k) LEFT JOIN cc USING (doc_id, k) WHERE n BETWEEN 2 AND 500)"""
+_SQL_MORE["sprite_pairs"] = f"WITH {_D}, {_GROUPS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pair_no, mean, sd, n, lo, hi FROM g"
+_SQL["sprite"] = f"""WITH RECURSIVE {_D}, {_GROUPS},
+reach(n, w, s, q) AS (SELECT 1, w, v, v * v FROM (SELECT DISTINCT (hi - lo)::BIGINT AS w FROM g WHERE hi >= lo AND hi - lo <= 12 AND n <= 12), range(0, 13) r(v) WHERE v <= w UNION SELECT reach.n + 1, w, reach.s + v, q + v * v FROM reach, range(0, 13) r(v) WHERE v <= w AND reach.n < 12),
+x AS (SELECT *, round_even(mean * n, 0) AS target, (round_even(mean * n, 0) - lo * n)::BIGINT AS shifted, n <= 12 AND hi - lo <= 12 AS small, CASE WHEN hi = lo THEN 0.5 ELSE (mean - lo) / (hi - lo) END AS p FROM g),
+j AS (SELECT x.*, CASE WHEN small THEN hi >= lo AND abs(mean * n - target) <= 0.01::DOUBLE AND EXISTS (SELECT 1 FROM reach r WHERE r.n = x.n AND r.w = x.hi - x.lo AND r.s = x.shifted AND abs(sqrt(greatest((r.q - 2 * (x.mean - x.lo) * x.shifted + x.n * (x.mean - x.lo) * (x.mean - x.lo)) / x.n, 0.0)) - x.sd) < 0.01::DOUBLE)
+  WHEN p < 0 OR p > 1 THEN NULL ELSE sd <= sqrt(greatest(p * (1 - p), 0)) * abs(hi - lo) + 0.05::DOUBLE END AS ok FROM x),
+e AS (SELECT d.doc_id, count(j.k) FILTER (NOT coalesce(ok, false)) AS bad, count(j.k) FILTER (coalesce(ok, false)) AS good, count(j.k) FILTER (ok IS NULL) AS err FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id),
+f AS (SELECT *, CASE WHEN bad + good > 0 THEN bad::DOUBLE / (bad + good) ELSE 0 END AS raw FROM e)
+SELECT doc_id, bad::INT AS n_impossible, good::INT AS n_possible, err::INT AS n_errors, rtrim(repeat('sprite_impossible_distribution:high,', bad), ',') AS flags, {_r("raw", 4)} AS score, {_level("bad >= 2 OR raw >= 0.6", "bad = 1 OR raw >= 0.3", "raw > 0")} AS risk_level FROM f"""
+
 _NAMES = {
     "statistics": "stat_audit", "methodology": "methodology_rules", "citations": "citation_integrity", "reproducibility": "reproducibility_checklist", "novelty": "novelty_score", "grim": "grim_report", "sprite": "sprite_report",
     "granularity": "granularity_digits", "pcurve": "pcurve", "effect_size": "effect_size_power", "retraction": "retraction_report", "cartel": "cartel_report", "llm": "llm_style",
 }
 QUERIES = {label: _query(name) for name, label in _NAMES.items()} | {f"routed_{label}": _routed_query(name) for name, label in _NAMES.items()}
 QUERIES |= {f.__name__: f for f in (section_map, truncated_text, sprite_pairs, cartel_network, retraction_hits, retracted_edges, integrity_report, routed_integrity_report)}
-SQL = {_NAMES[name]: sql for name, sql in _SQL.items()} | _SQL_MORE
+SQL = {_NAMES[name]: sql for name, sql in _SQL.items()} | {f"routed_{_NAMES[name]}": _routed_sql(name) for name in _SQL} | _SQL_MORE
+
+
+def _wide_sql(parts: dict[str, str]) -> str:
+    tables = [f"(SELECT doc_id, score AS {n}_score, risk_level AS {n}_level FROM ({sql}))" for n, sql in parts.items()]
+    return f"SELECT * FROM {tables[0]} " + " ".join(f"JOIN {t} USING (doc_id)" for t in tables[1:])
+
+
+SQL["integrity_report"] = _wide_sql({n: _SQL[n] for n in ANALYZERS})
+SQL["routed_integrity_report"] = _wide_sql({n: _routed_sql(n) for n in ANALYZERS})
