@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 DEFAULT_NAME = "byte_bpe_50k.json"
 #: Texts encoded by one call.
 CHUNK = 256
+#: Words a worker's tokenizer remembers (some 60 MB when full).
+REMEMBERED = 500_000
 
 
 def tokenizer_path(name: str = DEFAULT_NAME, folder: str | None = None) -> str:
@@ -46,6 +48,9 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
+    # The model remembers words it has split; by default so few that a large corpus soon fills it.
+    if hasattr(made.model, "_resize_cache"):
+        made.model._resize_cache(REMEMBERED)
     return made
 
 
