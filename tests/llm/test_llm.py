@@ -261,6 +261,25 @@ def test_tokens(spark):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+@given(st.text(max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_words_give_the_library_s_ids(text):
+    """Splitting word by word changes nothing, whatever the characters."""
+    path = tokens.tokenizer_path()
+    lists = tokens._Lists()
+    tokens._coder(path).add([text, text + " don't 12½ \n\n x"], lists)
+    got = lists.done().to_pylist()
+    assert got == [tokens._tokenizer(path).encode(t, add_special_tokens=False).ids for t in (text, text + " don't 12½ \n\n x")]
+
+
+def test_forgetting_words(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    coder = tokens._Coder(tokens.tokenizer_path())
+    texts, lists = [f"some words {k} here {'z' * 70}" for k in range(9)], tokens._Lists()
+    coder.add(texts, lists)
+    assert lists.done().to_pylist() == [coder.made.encode(t, add_special_tokens=False).ids for t in texts] and len(coder.memo) < 12
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Encoding of texts by a public tokenizer, and back (problem 7).
 
 The tokenizers library runs over Arrow batches, without special tokens; a string that looks like
-one is ordinary text.  A batch's distinct texts are encoded once.
+one is ordinary text.  A batch's distinct texts, and a worker's distinct words, are encoded once.
 
 Defined results: null and empty texts have an empty list of ids (of offsets, too).  Ids are INT.
 Token offsets are code points of the text, ends exclusive; a character split over several tokens is
@@ -15,9 +15,11 @@ from __future__ import annotations
 import importlib.util
 import json
 import os
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 DEFAULT_NAME = "byte_bpe_50k.json"
 #: Texts encoded by one call.
 CHUNK = 256
-#: Words a worker's tokenizer remembers (some 60 MB when full).
-REMEMBERED = 500_000
+#: Words a worker remembers (some 100 MB when full), and the longest that it does.
+REMEMBERED, LONGEST = 400_000, 64
+#: How byte-level vocabularies split a text into words (fixed value, published with them).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path(name: str = DEFAULT_NAME, folder: str | None = None) -> str:
@@ -48,12 +52,81 @@ def _tokenizer(path: str):
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
-    # The model remembers words it has split; by default so few that a large corpus soon fills it.
-    if hasattr(made.model, "_resize_cache"):
-        made.model._resize_cache(REMEMBERED)
     return made
 
 
+@lru_cache(maxsize=1)
+def _same_everywhere() -> frozenset[str]:
+    """Characters that every Unicode version since 3.2 takes for the same: letter, number, blank or other.
+
+    Characters that have become letters or numbers since, are not assigned yet, or are blanks by some
+    definitions only, are left out.
+    """
+    def kind(category: str) -> str:
+        return category[0] if category[0] in "LNZ" else "C" if category == "Cn" else "other"
+
+    old = unicodedata.ucd_3_2_0
+    odd = set("\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff")
+    kinds = ((chr(c), kind(unicodedata.category(chr(c))), kind(old.category(chr(c)))) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return frozenset(ch for ch, now, then in kinds if ch not in odd and now != "C" and (now == then or now == "other"))
+
+
+class _Coder:
+    """Ids of texts by one tokenizer, which splits every distinct word once.
+
+    A byte-level vocabulary never joins tokens over the edges of words, so the ids of a text are those
+    of its words.  Texts with characters that the library may class otherwise, and vocabularies of
+    another kind, go to the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.made = _tokenizer(path)
+        data = json.loads(Path(path).read_text(encoding="utf-8"))
+        split = data.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and data.get("normalizer") is None
+        self.words = _words_pattern() if plain and data["model"].get("type", "BPE") == "BPE" else None
+        self.safe = _same_everywhere() if self.words else frozenset()
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        fresh = [w for w in dict.fromkeys(words) if w not in self.memo]
+        got = {w: tuple(e.ids) for w, e in zip(fresh, self.made.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+        long = {w: v for w, v in got.items() if len(w) > LONGEST}
+        if len(self.memo) + len(got) > REMEMBERED:
+            self.memo = {w: self.memo[w] for w in dict.fromkeys(words) if w in self.memo}
+        self.memo.update((w, v) for w, v in got.items() if len(w) <= LONGEST)
+        return long
+
+    def add(self, texts: list[str], lists: _Lists) -> None:
+        """The ids of ``texts``, in order, to ``lists``."""
+        whole = [k for k, t in enumerate(texts) if self.words is None or not self.safe.issuperset(t)]
+        direct = dict(zip(whole, self.made.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True))
+        for k, text in enumerate(texts):
+            if k in direct:
+                lists.add(direct[k].ids)
+                continue
+            words = self.words.findall(text)
+            try:
+                ids = list(chain.from_iterable(map(self.memo.__getitem__, words)))
+            except KeyError:
+                known = self._learn(words)
+                ids = list(chain.from_iterable(self.memo[w] if w in self.memo else known[w] for w in words))
+            lists.add(ids)
+
+
+def _words_pattern():
+    try:
+        import regex
+    except ImportError:  # without it all texts go to the library whole
+        return None
+    return regex.compile(WORDS)
+
+
+@lru_cache(maxsize=4)
+def _coder(path: str) -> _Coder:
+    return _Coder(path)
+
+
 def byte_table() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -93,7 +166,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _tokenizer(path)
+        made, coder = _tokenizer(path), None if offsets else _coder(path)
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
             texts = coded.dictionary.to_pylist()
@@ -105,8 +178,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, o
                         lists[1].add([x for x, _ in e.offsets])
                         lists[2].add([y for _, y in e.offsets])
                 else:
-                    for e in made.encode_batch_fast(texts[low : low + CHUNK], add_special_tokens=False):
-                        lists[0].add(e.ids)
+                    coder.add(texts[low : low + CHUNK], lists[0])
             for gathered in lists:
                 gathered.add([])  # for null texts
             at = pc.fill_null(coded.indices, len(texts))
