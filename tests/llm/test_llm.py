@@ -214,8 +214,10 @@ def brute_components(pairs):
     return {n: find(n) for n in parent}
 
 
+@pytest.mark.parametrize("hot", [50_000, 20])
 @pytest.mark.parametrize("case", ["random", "chain", "hub", "empty"])
-def test_components(spark, case):
+def test_components(spark, monkeypatch, case, hot):
+    monkeypatch.setattr(splits, "HOT", hot)
     rng = random.Random(4)
     pairs = {"random": [(f"v{rng.randrange(400)}", k) for k in range(500)], "chain": [(f"v{k + d}", k) for k in range(200) for d in (0, 1)], "hub": [("hub", k) for k in range(1000)] + [(f"v{k % 50}", k) for k in range(1000, 1300)], "empty": []}[case]
     got = {r.node: r.first for r in splits.components(spark.createDataFrame(pairs, "value string, node long")).collect()}

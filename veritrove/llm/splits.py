@@ -2,8 +2,9 @@
 
 Hash-to-Min components.  A node's cluster is held as rows (node, member), never as one collection:
 in each round the smallest member m of every cluster is found by a partial aggregate, the cluster is
-sent to m and m is sent to every member.  Rounds go on until nothing changes; each is written to
-the shared folder, and the one before is removed.
+sent to m and m is sent to every member.  Rows of hot keys meet their minimum by broadcast of those few
+keys, without a shuffle.  Rounds go on until nothing changes; each is written to the shared folder, and
+the one before is removed.
 
 Components go to splits by weighted rendezvous hashing.  Those that hold more than one part in
 ``HEAVY`` of all rows (so at most ``HEAVY`` of them) are placed first, largest first, where the most
@@ -24,6 +25,8 @@ from veritrove.sources.scratch import Scratch
 
 #: A component is placed on its own if it holds more than this part of all rows.
 HEAVY = 1000
+#: A key is hot with more rows than HOT, and more than one part in HOT_PARTS of all rows.
+HOT, HOT_PARTS = 50_000, 1000
 
 
 def links(papers: DataFrame) -> DataFrame:
@@ -33,6 +36,21 @@ def links(papers: DataFrame) -> DataFrame:
     return ids.unionByName(names).where("node is not null").distinct()
 
 
+def _with_least(big: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+    """``big`` joined with ``least`` (``key``, further columns, ``n``: the rows of ``big`` with that key).
+
+    Keys with very many rows, at most ``HOT_PARTS`` of them as each holds more than that part of all rows,
+    are broadcast, so their rows stay where they are; the others are joined by a shuffle.
+    """
+    bound = max(HOT, total // HOT_PARTS)
+    most = least.agg(F.max("n")).first()[0] or 0
+    if most <= bound:
+        return big.join(least.drop("n"), key)
+    hot = least.where(F.col("n") > bound).drop("n")
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(F.col("n") <= bound).drop("n"), key)
+    return big.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def components(pairs: DataFrame, label: str = "components") -> DataFrame:
     """``node`` and ``first``, the smallest node of its component, for every node that shares a value.
 
@@ -41,25 +59,28 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
     """
     scratch = Scratch(pairs.sparkSession, label)
     pairs, source = scratch.keep(pairs)
-    least = pairs.groupBy("value").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = pairs.join(least, "value").where("node <> first").select("node", F.col("first").alias("member")).distinct()
+    least, least_path = scratch.keep(pairs.groupBy("value").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    star = _with_least(pairs, least, "value", pairs.count()).where("node <> first").select("node", F.col("first").alias("member")).distinct()
     both = star.unionByName(star.select(F.col("member").alias("node"), F.col("node").alias("member")))
     clusters, path = scratch.keep(both)
     scratch.drop(source)
+    scratch.drop(least_path)
     # The number of rows and a sum over them tell whether a round changed anything.
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
     before = mark(clusters)
     while True:
         # A cluster holds its node itself too; that row is implied.
-        least = clusters.groupBy("node").agg(F.min("member").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = clusters.groupBy("node").agg(F.min("member").alias("m"), F.count("*").alias("n")).select("node", F.least("node", "m").alias("m"), "n")
+        least, least_path = scratch.keep(least)
         # Rows of the node's own (node, node) come from ``least``, the rest from the cluster.
         own = least.where("m <> node").select("node", "m")
-        sent = clusters.join(least, "node").select("m", "member").where("m <> member")
+        sent = _with_least(clusters, least, "node", before[0]).select("m", "member").where("m <> member")
         up = sent.unionByName(own.select("m", F.col("node").alias("member")))
         up = up.groupBy("m", "member").agg(F.lit(1).alias("one")).select("m", "member")
         both = F.explode(F.array(F.struct(F.col("m").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("m").alias("member"))))
         later, new_path = scratch.keep(up.select(both.alias("s")).select("s.node", "s.member").distinct())
         scratch.drop(path)
+        scratch.drop(least_path)
         clusters, path = later, new_path
         if (after := mark(clusters)) == before:
             break
