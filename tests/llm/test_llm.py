@@ -162,6 +162,19 @@ def test_variants(spark):
     assert variants.clusters(spark.createDataFrame([], "kind string, name string")).count() == 0
 
 
+def test_slips_in_many_layouts(spark):
+    forms = ("{f} Eduardo", "{f}, Eduardo", "E. {f}", "Eduardo {f}", "{f} E.")
+    authors = [x.format(f=f) for f in ("Svedoraault", "Svedortault") for x in forms] + ["SVEDORTAULT Eduardo"]
+    journals = ["Annals of Hepatic Surgery", "Annals of Hepatic Surgery (Online)", "ANNALS OF HEPATIC SURGERY", "Annals of Hwpatic Surgery", "ANNALS OF HWPATIC SURGERY"]
+    # two family names a letter apart, each with people of its own
+    apart = [x.format(g=g, f=f) for f, givens in (("Brandtsen", ("Erik", "Laura")), ("Brandssen", ("Erik", "Marie"))) for g in givens for x in ("{g} {f}", "{f}, {g}", "{f} {g}", "{f} {g} M.")]
+    rows = [("author", x) for x in authors + apart] + [("journal", x) for x in journals]
+    centre = {r.name: r.centre for r in variants.clusters(spark.createDataFrame(rows, "kind string, name string")).collect()}
+    assert len({centre[x] for x in authors}) == 1
+    assert len({centre[x] for x in journals}) == 1
+    assert len({centre[x] for x in apart}) == 4
+
+
 def test_one_slip():
     def distance(a, b):
         d = {(i, j): max(i, j) if not min(i, j) else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}

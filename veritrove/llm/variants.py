@@ -10,9 +10,10 @@
    centre, and the strings it verifies join it.
 3. The centres are banded.  ``BANDS`` bands of ``ROWS`` rows follow from the collision curve
    1 - (1 - s^r)^b, at least ``RECALL`` at similarity ``LEAST``, which one slip in a family name of six
-   letters still keeps.  Only stars of few strings look for a larger star in their buckets: where
-   two spellings each come in many layouts, they are two names, not a slip.
-4. Pairs are verified by Monge-Elkan similarity, each way, and a small star joins the best centre.
+   letters still keeps.  Every pair of centres that share a bucket is scored, whatever their sizes.
+4. Pairs are verified by Monge-Elkan similarity, each way, and a star joins the best larger centre.  Where the
+   two differ by a slip in a word and both spellings of it also stand in stars that no slip explains, they are
+   two names and stay apart.
 
 Defined results: nulls, empty strings and placeholders are no names.  Strings that differ only in case,
 accents, order or punctuation are variants.  A string of an initial only joins the most frequent person
@@ -43,8 +44,6 @@ ROWS = 3
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST**ROWS))
 #: Least Monge-Elkan similarity.
 THRESHOLD = 0.85
-#: Most strings of a star that looks for a larger one: a slip copied in both orders of a name is still a slip.
-SMALL_PERSON, SMALL_TITLE = 3, 1
 
 #: Common short forms of given names; a fixed table.
 NICKNAMES = {
@@ -209,6 +208,11 @@ def _one_way(a: list[str], b: list[str], title: bool) -> float:
     return sum(best) / len(best) if min(best) > 0 else 0.0
 
 
+def slips(a: Name, b: Name) -> list[str]:
+    """Words of ``a`` whose best counterpart in ``b`` is one slip away."""
+    return [x for x in a.words if max((_alike(x, y, not a.person) for y in b.words), default=0.0) == 0.9]
+
+
 def similarity(a: Name, b: Name) -> float:
     """Monge-Elkan similarity, the smaller of both ways; 0 where a word has no counterpart."""
     if a.person != b.person or not a.words or not b.words:
@@ -262,8 +266,22 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"{shape}, score double")
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (kind, name, centre, ...) with the words of each that are a slip from the other's."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(read_name(k, n), read_name(k, c)) for k, n, c in zip(*(batch.column(names.index(c)).to_pylist() for c in ("kind", "name", "centre")), strict=True)]
+            own, other = (pa.array(x, pa.list_(pa.string())) for x in ([slips(a, b) for a, b in both], [slips(b, a) for a, b in both]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own, other], names=[*names, "own_slips", "other_slips"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(run, f"{shape}, own_slips array<string>, other_slips array<string>")
+
+
 def _banded(stars: DataFrame) -> DataFrame:
-    """``stars`` with the hashes of their bands."""
+    """``stars`` with the words of their centres and the hashes of their bands."""
     names = stars.columns
     seeds = _seeds()
 
@@ -275,11 +293,11 @@ def _banded(stars: DataFrame) -> DataFrame:
             for k, c in zip(kind, centre, strict=True):
                 low = _shingle_hashes(read_name(k, c).grams(), seeds).astype(np.int64).reshape(BANDS, ROWS)
                 bands.append((low * weight).sum(axis=1) * BANDS + np.arange(BANDS))
-            person = [read_name(k, c).person for k, c in zip(kind, centre, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(person, pa.bool_()), pa.array(bands, pa.list_(pa.int64()))], names=[*names, "person", "bands"])
+            words = [read_name(k, c).words for k, c in zip(kind, centre, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=[*names, "words", "bands"])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stars.schema)
-    return stars.mapInArrow(run, f"{shape}, person boolean, bands array<bigint>")
+    return stars.mapInArrow(run, f"{shape}, words array<string>, bands array<bigint>")
 
 
 def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
@@ -313,12 +331,19 @@ def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
     members, _ = scratch.keep(members)
     stars = members.groupBy("kind", "centre").agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
     banded, _ = scratch.keep(_banded(stars))
-    spread = banded.select("kind", "centre", "strings", "n", "person", F.explode("bands").alias("band"))
-    small = spread.where(F.col("strings") <= F.when(F.col("person"), SMALL_PERSON).otherwise(SMALL_TITLE))
-    small = small.select("kind", F.col("centre").alias("name"), F.struct("strings", "n", "centre").alias("own"), "band")
-    other = spread.select("kind", "centre", "strings", "n", F.struct("strings", "n", "centre").alias("rank"), "band")
-    found = small.join(other, ["kind", "band"]).where(F.col("rank") > F.col("own")).select("kind", "name", "centre", "strings", "n").distinct()
-    verified = _scored(found).where(F.col("score") >= THRESHOLD)
+    spread = banded.select("kind", "centre", "strings", "n", F.struct("strings", "n", "centre").alias("rank"), F.explode("bands").alias("band"))
+    lower = spread.select("kind", F.col("centre").alias("name"), F.col("rank").alias("own"), "band")
+    found = lower.join(spread, ["kind", "band"]).where(F.col("rank") > F.col("own")).select("kind", "name", "centre", "strings", "n").distinct()
+    verified, _ = scratch.keep(_compared(_scored(found).where(F.col("score") >= THRESHOLD)))
+    # A spelling stands by itself if a star holds it that is in no pair as a slip of it, on either side.
+    own = verified.select("kind", "name", "centre", F.explode("own_slips").alias("word"))
+    other = verified.select("kind", "name", "centre", F.explode("other_slips").alias("word"))
+    slipped = own.select("kind", F.col("name").alias("centre"), "word").unionByName(other.select("kind", "centre", "word")).distinct()
+    held = banded.select("kind", "centre", F.explode("words").alias("word"))
+    standing = held.join(slipped, ["kind", "centre", "word"], "left_anti").select("kind", "word").distinct()
+    pair = ["kind", "name", "centre"]
+    two = own.join(standing, ["kind", "word"], "left_semi").select(pair).join(other.join(standing, ["kind", "word"], "left_semi").select(pair), pair, "left_semi")
+    verified = verified.join(two, pair, "left_anti")
     joined = verified.groupBy("kind", "name").agg(F.max_by("centre", F.struct("score", "strings", "n", "centre")).alias("to"))
     joined, _ = scratch.keep(joined)
     # A star that was joined may itself have joined another: two steps reach the centre of that.
