@@ -74,7 +74,8 @@ def analyzer_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def figure_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Look-alike pairs by hash: the embeddings table's vectors as 64-bit sign hashes, in groups by label."""
-    bits = " + ".join(f"(case when element_at(embedding, {k + 1}) > 0 then shiftleft(1L, {k}) else 0L end)" for k in range(32))
+    # Bit 63 is the sign of the number, so the bits are joined by "or", which can't overflow.
+    bits = " | ".join(f"(case when get(embedding, {k}) > 0 then shiftleft(1L, {k}) else 0L end)" for k in range(64))
     hashed = table(spark, folder, "embeddings").select(F.col("label").cast("bigint").alias("doc_id"), F.col("vec_id").alias("figure_index"), F.expr(bits).alias("hash"))
     return duplicate_pairs(hashed)
 
