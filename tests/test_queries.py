@@ -1,6 +1,7 @@
 """Every core query with SQL agrees with it; every one without runs and has a stable schema."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import check
 from veritrove.plans import catalog
@@ -36,3 +37,17 @@ def test_figure_duplicates_reads_all_signs(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalog.QUERIES["figure_duplicates"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(7, 1, 2, 8)]
+
+
+def test_retraction_hits_beyond_twenty_dois(spark, folder, tmp_path):
+    from veritrove.sources.tables import table
+
+    docs = table(spark, folder, "documents").limit(1)
+    text = " ".join(f"doi:10.1234/work.{k};" for k in range(1, 31))
+    docs.withColumns({"doc_id": F.lit(1).cast(docs.schema["doc_id"].dataType), "text": F.lit(text)}).write.parquet(str(tmp_path / "documents.parquet"))
+    known = spark.createDataFrame([(f"10.1234/WORK.{k}", "fraud", 2020) for k in (3, 20, 21, 30, 99)], "doi string, reason string, year int")
+    known.write.parquet(str(tmp_path / "retractions.parquet"))
+    got = catalog.QUERIES["retraction_hits"](spark, str(tmp_path)).collect()
+    assert sorted(r.doi for r in got) == [f"10.1234/work.{k}" for k in (20, 21, 3, 30)]
+    report = catalog.QUERIES["retraction_report"](spark, str(tmp_path)).collect()
+    assert [r.checked_count for r in report] == [20]  # the analyzer keeps the reference's limit

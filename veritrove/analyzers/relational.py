@@ -10,9 +10,10 @@ from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_
 from veritrove.functions.text import any_of, found, pieces_with, strip, word_count
 
 
-def dois(text: Column) -> Column:
-    """The first twenty distinct DOIs of a text, in order, without punctuation at their ends."""
-    return F.slice(F.array_distinct(F.transform(found(text, V.DOI, 1, False), lambda d: F.regexp_replace(d, r"[.,;]+$", ""))), 1, 20)
+def dois(text: Column, limit: int | None = None) -> Column:
+    """The distinct DOIs of a text (the first ``limit``, if given), in order, without punctuation at their ends."""
+    every = F.array_distinct(F.transform(found(text, V.DOI, 1, False), lambda d: F.regexp_replace(d, r"[.,;]+$", "")))
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def retraction(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def retraction(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     fixed = F.array(*[F.lit(r[0]) for r in V.KNOWN_RETRACTIONS])
     clean = lambda d: F.regexp_replace(F.lower(d), r"\.+$", "")
-    read = df.select("id", dois(F.col("text")).alias("dois_found"), found(F.col("text"), V.RETRACTION_TERM, 0).alias("signals"))
+    read = df.select("id", dois(F.col("text"), 20).alias("dois_found"), found(F.col("text"), V.RETRACTION_TERM, 0).alias("signals"))
     read = read.withColumns({"listed": F.filter(F.transform("dois_found", clean), lambda d: F.array_contains(fixed, d)), "open": F.slice(F.filter("dois_found", lambda d: ~F.array_contains(fixed, clean(d))), 1, 5)})
     if known is None:
         read = read.withColumn("live", F.array().cast("array<string>"))
