@@ -382,6 +382,16 @@ def test_pii(text, expected):
     assert [(pii.KINDS[k], text[a:b]) for _, a, b, k in got] == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [("We thank Smith, J.R. for help.", "Smith, J.R."), ("We thank Smith, J.-P. for help.", "Smith, J.-P."), ("We thank Smith, J. R. R. T. for help.", "Smith, J. R. R. T."), ("See Smith, J.R. (2019).", "Smith, J.R."), ("By Smith, J.doe and others", "Smith, J.")],
+)
+def test_pii_initials_without_blanks(text, name):
+    a = text.index(name)
+    assert (a, a + len(name), 0, 4) in pii.candidates(text)
+    assert pii.find(["In Washington, D.C., in 2010", text], pii.model()) == pii.find(["", text], pii.model())
+
+
 def test_pii_operators(spark):
     df = spark.createDataFrame([(1, "We thank Dr. Anna Roeford for help. Write to a@b.example."), (2, None), (3, ""), (4, "x " * 40_000)], "doc_id long, text string").selectExpr("*", "1 as start_at", "2 as _id")
     assert {(r.doc_id, r.pii_kind) for r in pii.detect(df, "doc_id", "text").collect()} == {(1, "name"), (1, "email")}

@@ -58,7 +58,8 @@ _AT = re.compile(r"[@＠]|[(\[{]\s?at\s?[)\]}]", re.I)
 _DOT = re.compile(r"\sdot\s|[(\[]\s?dot\s?[)\]]", re.I)
 _DIGITS = re.compile(r"\d(?:[\s().\-–‑/]{0,3}\d){6,}|[A-Z]\d\d[A-Z]\d{5}|[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]")
 _POSTCODE = re.compile(r",\s+\d{5}\s+(?=[^\W\d_])")
-_MORE_INITIALS = re.compile(rf"(?:\s+[{_UP}]\.(?!\w)){{1,3}}")
+_MORE_INITIALS = re.compile(rf"\s+[{_UP}]\.(?:(?:\s+|[-‐‑])?[{_UP}]\.)*(?!\w)")
+_CITY = re.compile(r"Washington,\s+D\.\s?C\.")
 _BEFORE_COMMA = re.compile(rf"(?<![\w'’@.-])({_LONG_PART}{_CAP}),\s+$")
 _BEFORE_BLANK = re.compile(rf"(?<![\w'’@.-])({_LONG_PART}{_CAP})\s+$")
 _INITIALS = re.compile(rf"(?<![\w.@'’-])(?:[{_UP}]\.[\s-]?){{1,3}}\s*({_FAMILY})(?![\w@])")
@@ -146,7 +147,9 @@ def _names(text: str, out: list[tuple[int, int, int, int]]) -> None:
                 out.append((a, found.end(), 0, 3))
                 done = found.end()
             elif (before := _BEFORE_COMMA.search(text[low:a])) and _plain(before.group(1)) not in _NOT_FAMILY:
-                out.append((low + before.start(1), _MORE_INITIALS.match(text, a - 1).end(), 0, 4))
+                initials = _MORE_INITIALS.match(text, a - 1)
+                if not _CITY.match(text, low + before.start(1)):
+                    out.append((low + before.start(1), initials.end() if initials else b, 0, 4))
             continue
         word = m.group()
         if word.lower() not in GIVEN and (word.isascii() and "-" not in word or _plain(word) not in GIVEN and ("-" not in word or _plain(word).split("-")[0] not in GIVEN)):
