@@ -392,6 +392,32 @@ def test_pii_initials_without_blanks(text, name):
     assert pii.find(["In Washington, D.C., in 2010", text], pii.model()) == pii.find(["", text], pii.model())
 
 
+@pytest.mark.parametrize(
+    ("text", "body", "kind"),
+    [
+        ("The file MR-123456 was kept.", "MR-123456", 3),
+        ("NIR 1 85 05 2A 123 456 78 was kept.", "1 85 05 2A 123 456 78", 3),
+        ("Tel. +49 30 2312563, Durchwahl 123 or later.", "+49 30 2312563, Durchwahl 123", 2),
+        ("Tel. +49 30 2312563,          Durchwahl.     12345 or later.", "+49 30 2312563,          Durchwahl.     12345", 2),
+        ("Tel. +49 12, Apparat 12345.", "+49 12, Apparat 12345", 2),
+    ],
+)
+def test_pii_anchors(text, body, kind):
+    a = text.index(body)
+    got = [c[:3] for c in pii.candidates(text)]
+    assert (a, a + len(body), kind) in got
+    assert [c for c in got if c[2] == kind and c[0] == a] == [(a, a + len(body), kind)]
+
+
+def test_pii_anchors_miss_nothing():
+    rng, parts = random.Random(4), ["ext. 12", ", Durchwahl 123", "x", "poste 4", "+49", "0033", "0049 (0)", "MR-", "X-", "AB", "C", "2A", "(030)", "555", "-", " ", " ", ".", "/", ",", "\n", "1 85 05 2A 123 456 78", "12.345.678", "J12X34567", "12345", "7", "40", "0"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(3, 25)))
+        whole = {(*m.span(), kind, form) for kind, patterns in ((2, pii._PHONES), (3, pii._IDS)) for form, p in enumerate(patterns) for m in p.finditer(text)}
+        whole = {c for c in whole if c[2] == 3 or 7 <= sum(ch.isdigit() for ch in text[c[0] : c[1]]) <= 19}
+        assert {c for c in pii.candidates(text) if c[2] in (2, 3)} == whole, text
+
+
 def test_pii_operators(spark):
     df = spark.createDataFrame([(1, "We thank Dr. Anna Roeford for help. Write to a@b.example."), (2, None), (3, ""), (4, "x " * 40_000)], "doc_id long, text string").selectExpr("*", "1 as start_at", "2 as _id")
     assert {(r.doc_id, r.pii_kind) for r in pii.detect(df, "doc_id", "text").collect()} == {(1, "name"), (1, "email")}

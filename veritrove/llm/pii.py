@@ -56,7 +56,10 @@ _CAPITAL = re.compile(rf"(?<![\w'’@./-])[{_UP}](?:\.|(?:[^\W\d_]|(?<=[ÃÄÅ])
 _INNER_DOT = re.compile(r"(?:^|[^\w])[a-zà-ÿ]\.\s*$")
 _AT = re.compile(r"[@＠]|[(\[{]\s?at\s?[)\]}]", re.I)
 _DOT = re.compile(r"\sdot\s|[(\[]\s?dot\s?[)\]]", re.I)
-_DIGITS = re.compile(r"\d(?:[\s().\-–‑/]{0,3}\d){6,}|[A-Z]\d\d[A-Z]\d{5}|[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]")
+#: What phone and id numbers hold: seven digits or more, a country code, or a form with letters.
+_DIGITS = re.compile(
+    r"[\d+A-Z](?:(?<=\d)(?:[\s().\-–‑/]{0,3}\d){6}|(?<=\+)\d|(?<=0)(?<!\d0)0[1-9]|(?<=[1-478])\s?\d\d\s?\d\d\s?\d[AB](?:\s?\d){8}|(?<=[A-Z])(?:[A-Z]-\d{6}|\d\d[A-Z]\d{5}|[A-Z]\s?\d\d\s?\d\d\s?\d\d\s?[A-D]))(?:[\s().\-–‑/]{0,3}\d)*"
+)
 _POSTCODE = re.compile(r",\s+\d{5}\s+(?=[^\W\d_])")
 _MORE_INITIALS = re.compile(rf"\s+[{_UP}]\.(?:(?:\s+|[-‐‑])?[{_UP}]\.)*(?!\w)")
 _CITY = re.compile(r"Washington,\s+D\.\s?C\.")
@@ -66,6 +69,7 @@ _INITIALS = re.compile(rf"(?<![\w.@'’-])(?:[{_UP}]\.[\s-]?){{1,3}}\s*({_FAMILY
 _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+-])?\s?(?:@|＠|\(\s?at\s?\)|\[\s?at\s?\]|\{\s?at\s?\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(\s?dot\s?\)|\[\s?dot\s?\])\s?[A-Za-z0-9-]+)*(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII)
 _EMAIL_SPELT = re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+-])?(?:\s+at\s+|\s*[\[(]at[\])]\s*)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+(?![\w-])", re.ASCII | re.I)
 _EXT = r"(?:,?\s*(?:ext|x|poste|Durchwahl|DW|Apparat)\.?\s*\d{1,5})?"
+_EXTENSION = re.compile(rf"\)?{_EXT}")
 _END = r"(?![\w/]|[-.](?=\w))"
 _S = r"[\s.\-–‑]"
 _PHONES = [
@@ -191,7 +195,7 @@ def _windows(starts: list[tuple[int, int]], before: int, after: int, size: int)
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, kind, form) of every span worth a look; they may overlap.
 
-    Each generator looks only around its anchors (a sign for "at", a run of digits, a street word or
+    Each generator looks only around its anchors (a sign for "at", the digits of a number, a street word or
     postcode, a capital), which every span it can propose has; so the text is read a few times only.
     """
     out: set[tuple[int, int, int, int]] = set()
@@ -200,8 +204,9 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
         _near(_EMAIL, text, _windows([m.span() for m in _AT.finditer(text)], 80, 160, size), 1, 0, out)
     if "dot" in text or "DOT" in text:
         _near(_EMAIL_SPELT, text, _windows([m.span() for m in _DOT.finditer(text)], 160, 80, size), 1, 1, out)
-    if runs := [m.span() for m in _DIGITS.finditer(text)]:
-        near = _windows(runs, 6, 14, size)
+    # An anchor holds all digits of a number but those of an extension; the rest is a few signs on each side.
+    if runs := [(m.start(), _EXTENSION.match(text, m.end()).end()) for m in _DIGITS.finditer(text)]:
+        near = _windows(runs, 16, 16, size)
         for form, pattern in enumerate(_PHONES):
             _near(pattern, text, near, 2, form, out)
         for form, pattern in enumerate(_IDS):
