@@ -175,6 +175,15 @@ def test_slips_in_many_layouts(spark):
     assert len({centre[x] for x in apart}) == 4
 
 
+def test_chains_of_slips(spark):
+    # each spelling is one slip from the next, and has more rows
+    chain = ["Svedoraaultmannstein", "Svedorbaultmannstein", "Svedorbaulkmannstein", "Svedorbaulkmannstain", "Swedorbaulkmannstain", "Swedorbaulkmannstaim", "Swedorbaulkmapnstaim"]
+    rows = [("author", f"Eduardo {f}") for k, f in enumerate(chain) for _ in range(k + 1)]
+    found = variants.clusters(spark.createDataFrame(rows, "kind string, name string")).collect()
+    assert {r.centre for r in found} == {"Eduardo Swedorbaulkmapnstaim"}
+    assert len(found) == len(chain)
+
+
 def test_one_slip():
     def distance(a, b):
         d = {(i, j): max(i, j) if not min(i, j) else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}

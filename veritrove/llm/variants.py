@@ -345,11 +345,17 @@ def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
     two = own.join(standing, ["kind", "word"], "left_semi").select(pair).join(other.join(standing, ["kind", "word"], "left_semi").select(pair), pair, "left_semi")
     verified = verified.join(two, pair, "left_anti")
     joined = verified.groupBy("kind", "name").agg(F.max_by("centre", F.struct("score", "strings", "n", "centre")).alias("to"))
-    joined, _ = scratch.keep(joined)
-    # A star that was joined may itself have joined another: two steps reach the centre of that.
-    step = joined.select("kind", F.col("name").alias("to"), F.col("to").alias("further"))
-    joined = joined.join(step, ["kind", "to"], "left").select("kind", F.col("name").alias("centre"), F.coalesce("further", "to").alias("to"))
-    return members.join(joined, ["kind", "centre"], "left").select("kind", "name", F.coalesce("to", "centre").alias("centre"))
+    joined, path = scratch.keep(joined)
+    # A star that was joined may itself have joined another.  Ranks rise along such a chain, so it ends, and each
+    # round doubles the steps.
+    while True:
+        step = joined.select("kind", F.col("name").alias("to"), F.col("to").alias("further"))
+        followed, followed_path = scratch.keep(joined.join(step, ["kind", "to"], "left").select("kind", "name", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        scratch.drop(path)
+        joined, path = followed.select("kind", "name", "to"), followed_path
+        if followed.where("moved").isEmpty():
+            break
+    return members.join(joined.withColumnRenamed("name", "centre"), ["kind", "centre"], "left").select("kind", "name", F.coalesce("to", "centre").alias("centre"))
 
 
 def variant_pairs(found: DataFrame) -> DataFrame:
