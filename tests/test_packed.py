@@ -71,6 +71,20 @@ def test_round_trip(names, sep):
     assert values(sep.join(f"x{n} y{n}" for n in names)) == [f"x{n} y{n}" for n in names]
 
 
+@pytest.mark.parametrize("text", ["A (" * 300_000, '"a, ' * 300_000, "'a" * 300_000, "(a)" * 300_000, "-" * 10**6 + "x", "n" + " " * 10**6 + "x", "[" * 10**6, '"' * 10**6, "et al " * 200_000, '""a,' * 200_000, "},(" * 200_000])
+def test_no_field_stops_a_job(spark, text):
+    """Read in time that grows with the length, whatever does not close."""
+    df = spark.createDataFrame([(1, text, text)], "record_id long, authors string, fraud_types string")
+    assert unpack(df, "record_id", {"authors": "names", "fraud_types": "codes"}).count() >= 0
+
+
+def test_placeholder_of_any_length():
+    long = "-" * 60 + " unknown authors " + "-" * 60
+    assert is_placeholder(long) and is_placeholder("n / a") and not is_placeholder("x" + "-" * 60)
+    assert split_packed(long) == (("-" * 60 + " unknown authors " + "-" * 60, "placeholder"),)
+    assert split_packed("unknown / " + "-" * 60)[0][1] == "placeholder"
+
+
 def test_operator(spark):
     rows = [(1, "A B; C D", None), (2, None, "X-1, X-1"), (None, "E F", ""), (4, "", "x" * 50_000)]
     df = spark.createDataFrame(rows, "record_id long, authors string, fraud_types string").selectExpr("*", "1 as pos", "2 as field_name", "3 as _id")

@@ -61,7 +61,7 @@ def novelty(df: DataFrame, literature: DataFrame | None = None) -> DataFrame:
 def llm_style(df: DataFrame) -> DataFrame:
     """Variation of sentence lengths, vocabulary of the first hundred words, and stock phrases."""
     body = strip(F.col("text"))
-    sentences = F.filter(F.transform(F.split(F.col("body"), rf"[.!?]+[{V.BLANKS}]+", -1), strip), lambda s: F.length(s) > 10)
+    sentences = F.filter(F.transform(F.split(F.col("body"), rf"(?<![.!?])[.!?]++[{V.BLANKS}]++", -1), strip), lambda s: F.length(s) > 10)
     words = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]++(?![\p{L}\p{N}_])"), F.lit(0))
     read = df.select("id", "text", body.alias("body"), F.lower("text").alias("low"))
     read = read.select("id", (F.length("body") >= 100).alias("long"), F.transform(sentences, word_count).alias("lengths"), words.alias("words"), held(F.col("low"), V.LLM_PHRASES).alias("phrases"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, weighted
-from veritrove.functions.text import any_of, found, pieces_with, strip, word_count
+from veritrove.functions.text import any_of, found, in_line, pieces_with, strip, word_count
 
 
 def dois(text: Column, limit: int | None = None) -> Column:
     """The distinct DOIs of a text (the first ``limit``, if given), in order, without punctuation at their ends."""
-    every = F.array_distinct(F.transform(found(text, V.DOI, 1, False), lambda d: F.regexp_replace(d, r"[.,;]+$", "")))
+    every = F.array_distinct(F.transform(found(text, V.DOI, 1, False), lambda d: F.rtrim(d, F.lit(".,;"))))
     return every if limit is None else F.slice(every, 1, limit)
 
 
@@ -23,8 +23,8 @@ def retraction(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     with a column ``doi``: it is joined by exploded DOIs (the first five of a text that the fixed table
     doesn't hold), so it may be of any size.
     """
-    fixed = F.array(*[F.lit(r[0]) for r in V.KNOWN_RETRACTIONS])
-    clean = lambda d: F.regexp_replace(F.lower(d), r"\.+$", "")
+    fixed = F.array(*[F.lit(r) for r in V.KNOWN_RETRACTIONS])
+    clean = lambda d: F.rtrim(F.lower(d), F.lit("."))
     read = df.select("id", dois(F.col("text"), 20).alias("dois_found"), found(F.col("text"), V.RETRACTION_TERM, 0).alias("signals"))
     read = read.withColumns({"listed": F.filter(F.transform("dois_found", clean), lambda d: F.array_contains(fixed, d)), "open": F.slice(F.filter("dois_found", lambda d: ~F.array_contains(fixed, clean(d))), 1, 5)})
     if known is None:
@@ -57,7 +57,8 @@ def citations(df: DataFrame) -> DataFrame:
     df = df.withColumn("low", F.lower("text"))
     # Only texts that hold a marker at all are cut into pieces.
     claims = F.when(any_of(F.col("low"), V.CLAIM_MARKERS), pieces_with(text, V.CLAIM_MARKERS, 15)).otherwise(F.array().cast("array<string>"))
-    loose = F.slice(F.filter(claims, lambda s: ~s.rlike("(?d)" + V.CITED_CLAIM)), 1, 5)
+    cited = "|".join(in_line(p) for p in V.CITED_CLAIM.split("|"))
+    loose = F.slice(F.filter(claims, lambda s: ~s.rlike("(?d)" + cited)), 1, 5)
     read = df.select("id", F.size(marks).alias("total_citations"), own.alias("self_citations"), loose.alias("loose"), F.greatest(F.lit(1), F.floor(word_count(text) / 250)).alias("pages"), F.regexp_count(text, F.lit("(?iu)" + V.ET_AL)).alias("et_al"))
     total, share = F.col("total_citations"), ratio(F.col("self_citations"), F.col("total_citations"))
     raised = flags(
@@ -85,8 +86,12 @@ def citation_edges(df: DataFrame) -> DataFrame:
 def cartel(df: DataFrame) -> DataFrame:
     """How much of the citations few authors take."""
     read = df.select("id", cited_authors(F.col("text")).alias("cited"))
-    read = read.withColumn("authors", F.array_distinct("cited"))
-    read = read.withColumn("counts", F.transform("authors", lambda a: F.size(F.filter("cited", lambda c: c == a))))
+    # Citations counted by author: a run of equal names in sorted order ends where the next one differs.
+    read = read.withColumn("sorted", F.array_sort("cited")).withColumn("authors", F.array_distinct("cited"))
+    ends = F.filter(F.transform("sorted", lambda a, i: F.when((i + 1 == F.size("sorted")) | (F.get("sorted", i + 1) != a), F.struct(a.alias("author"), (i + 1).alias("end")))), lambda x: x.isNotNull())
+    read = read.withColumn("ends", ends)
+    runs = F.transform("ends", lambda x, i: F.struct(x["author"].alias("author"), (x["end"] - F.when(i > 0, F.get("ends", i - 1)["end"]).otherwise(0)).alias("n")))
+    read = read.withColumn("network", F.map_from_entries(runs)).withColumn("counts", F.map_values("network"))
     n, k = F.size("cited"), F.size("authors")
     top = F.sort_array("counts", asc=False)
     entropy = F.aggregate("counts", F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
@@ -107,4 +112,4 @@ def cartel(df: DataFrame) -> DataFrame:
     rated = rated.withColumns({"flags": raised, "score": F.when(n < 3, F.lit(0.0)).otherwise(F.least(rounded(c * 0.4 + (1.0 - d) * 0.3 + o * 0.3, 4), F.lit(1.0)))})
     f, s = F.size("flags"), F.col("score")
     rated = rated.withColumn("risk_level", level((s >= 0.6) | (f >= 3), (s >= 0.4) | (f >= 2), (s >= 0.2) | (f >= 1)))
-    return rated.select("id", F.slice("authors", 1, 10).alias("authors_found"), F.map_from_arrays("authors", "counts").alias("citation_network"), n.alias("citation_count"), rounded(c, 4).alias("concentration"), rounded(o, 4).alias("self_citation_ratio"), rounded(d, 4).alias("network_diversity"), "flags", "score", "risk_level", summary("Citation network", F.col("flags"), F.col("risk_level")).alias("summary"))
+    return rated.select("id", F.slice("authors", 1, 10).alias("authors_found"), F.col("network").alias("citation_network"), n.alias("citation_count"), rounded(c, 4).alias("concentration"), rounded(o, 4).alias("self_citation_ratio"), rounded(d, 4).alias("network_diversity"), "flags", "score", "risk_level", summary("Citation network", F.col("flags"), F.col("risk_level")).alias("summary"))

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flags, level_by_score, rounded, summary, weighted
-from veritrove.functions.text import any_of, matches, pieces_with
+from veritrove.functions.text import any_of, held, matches, pieces_with
 
+#: What a methodology flag objects to, and why; the first names the words found.
+OBJECTION = {
+    "causation_without_rct": ("A cause is claimed.", None),
+    "weak_design_strong_claim": ("A firm conclusion is drawn from what people say of themselves.", "Self-reports are bent by memory and by the wish to please."),
+    "timeframe_mismatch": ("A lasting effect is claimed.", "The time studied is short."),
+    "missing_control_group": ("A treatment is said to work.", "Without a comparison, chance, recovery and expectation remain as reasons."),
+    "overgeneralization": ("A finding is said to hold for everyone.", "The sample stands for few."),
+}
 NO_MODEL = "Language model assessment unavailable: no model is configured."
 
 
@@ -25,7 +33,7 @@ def methodology(df: DataFrame, assess=None) -> DataFrame:
     """
     low = F.col("low")
     df = df.withColumn("working", F.when(F.col("abstract") != "", F.col("abstract")).otherwise(F.col("text")))
-    df = df.withColumns({"low": F.lower("text"), "working_low": F.lower("working")})
+    df = df.withColumns({"low": F.lower("text"), "working_low": F.lower("working")}).withColumn("low_begin", F.substring("low", 1, 500))
     read = df.select(
         "id", "text",
         _sentences(F.col("working"), F.col("working_low"), V.FINDING_MARKERS, 20, 8).alias("claims_found"),
@@ -34,6 +42,7 @@ def methodology(df: DataFrame, assess=None) -> DataFrame:
             "causal": V.CAUSATION, "weak": V.WEAK_DESIGNS, "rct": V.RCT, "self_report": V.SELF_REPORT, "strong": V.STRONG_CLAIM, "long_term": V.LONG_TERM, "short_term": V.SHORT_TERM,
             "treatment": V.TREATMENT, "effect": V.EFFECT_CLAIM, "control": V.CONTROL, "broad": V.BROAD_CLAIM, "limited": V.LIMITED_SAMPLE,
         }.items()),
+        held(F.col("low_begin"), V.CAUSATION).alias("causes"), held(low, V.WEAK_DESIGNS).alias("designs"),
     )
     c = F.col
     evidence = F.try_element_at(pieces_with(c("text"), V.CAUSATION, 0), F.lit(1))
@@ -44,7 +53,10 @@ def methodology(df: DataFrame, assess=None) -> DataFrame:
         flag(c("treatment") & c("effect") & ~c("control"), "missing_control_group", "high"),
         flag(c("broad") & c("limited"), "overgeneralization", "medium"),
     )
-    rated = read.withColumn("flags", raised).withColumn("raw", weighted(c("flags"))).withColumn("risk_level", level_by_score(c("raw")))
+    named = F.format_string("Causal words (%s) rest on a design (%s) that shows no cause.", F.array_join("causes", ", "), F.array_join("designs", ", "))
+    claim, issue = (F.create_map(*[F.lit(x) for k, v in OBJECTION.items() for x in (k, v[i])]) for i in (0, 1))
+    objected = F.transform("flags", lambda f: f.withField("claim", claim[f["flag_type"]]).withField("issue", F.coalesce(issue[f["flag_type"]], named)))
+    rated = read.withColumn("flags", raised).withColumn("flags", objected).withColumn("raw", weighted(c("flags"))).withColumn("risk_level", level_by_score(c("raw")))
     told = assess(c("claims_found"), c("methods_found"), c("text")) if assess else F.lit(NO_MODEL)
     return rated.select("id", "claims_found", "methods_found", told.alias("llm_assessment"), F.lit(assess is not None).alias("llm_available"), "flags", rounded(c("raw"), 3).alias("score"), "risk_level", summary("Methodology", c("flags"), c("risk_level")).alias("summary"))
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, weighted
-from veritrove.functions.text import any_of, found, numbers, places
-
-
-#: Widest scale whose reachable sums of squares are listed.
-WIDEST = 12
+from veritrove.functions.text import any_of, found, numbers
 
 
 def _count(items: Column, test) -> Column:
@@ -69,7 +66,7 @@ def grim(df: DataFrame, precision_aware: bool = False) -> DataFrame:
     first = lambda z: (z["g1"] != "") & (z["g2"] != "")
     pair = F.transform(
         F.col("zipped"),
-        lambda z: F.struct(F.when(first(z), z["g1"]).otherwise(z["g4"]).try_cast("double").alias("mean"), F.when(first(z), z["g2"]).otherwise(z["g3"]).try_cast("bigint").alias("n"), F.length(F.regexp_extract(F.when(first(z), z["g1"]).otherwise(z["g4"]), r"\.(\d+)$", 1)).alias("digits")),
+        lambda z: F.struct(F.when(first(z), z["g1"]).otherwise(z["g4"]).try_cast("double").alias("mean"), F.when(first(z), z["g2"]).otherwise(z["g3"]).try_cast("bigint").alias("n"), F.length(_fraction(F.when(first(z), z["g1"]).otherwise(z["g4"]))).alias("digits"), F.length(F.regexp_extract(F.when(first(z), z["g1"]).otherwise(z["g4"]), r"\.(\d+)$", 1)).alias("written")),
     )
     read = zipped.select("id", F.filter(pair, lambda x: (x["n"] >= 2) & (x["n"] <= 10000)).alias("pairs"))
 
@@ -78,91 +75,63 @@ def grim(df: DataFrame, precision_aware: bool = False) -> DataFrame:
         exact = F.abs(product - F.rint(product)) < 0.001
         if not precision_aware:
             return exact
-        return exact | (F.abs(F.rint(product) / x["n"] - x["mean"]) <= F.pow(F.lit(10.0), -x["digits"]) * 0.5 + 1e-9)
+        return exact | (F.abs(F.rint(product) / x["n"] - x["mean"]) <= F.pow(F.lit(10.0), -x["written"]) * 0.5 + 1e-9)
 
     split = read.select("id", F.filter("pairs", lambda x: ~whole(x)).alias("bad"), F.filter("pairs", whole).alias("good"))
     shape = lambda c: F.transform(c, lambda x: F.struct(x["mean"].alias("mean"), x["n"].alias("n")))
-    rated = split.select("id", shape("bad").alias("impossible_means"), shape("good").alias("possible_means"))
+    # The means next to an impossible one that so many numbers can have, to the digits reported.
+    product = lambda x: x["mean"] * x["n"]
+    near = F.transform("bad", lambda x: F.struct(x["mean"].alias("mean"), x["n"].alias("n"), rounded(F.floor(product(x)) / x["n"], x["digits"]).alias("lower"), rounded(F.ceil(product(x)) / x["n"], x["digits"]).alias("upper")))
+    rated = split.select("id", shape("bad").alias("impossible_means"), shape("good").alias("possible_means"), near.alias("nearest"))
     count = F.size("impossible_means")
-    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_means")), "flags": flag_each(F.col("impossible_means"), "grim_impossible_mean", "high", lambda x: F.to_json(x))})
+    told = lambda x: F.format_string("M = %.6f, N = %d, nearest %.6f or %.6f", x["mean"], x["n"], x["lower"], x["upper"])
+    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_means")), "flags": flag_each(F.col("nearest"), "grim_impossible_mean", "high", told)})
     rated = rated.withColumn("risk_level", level((count >= 3) | (F.col("raw") >= 0.6), (count == 2) | (F.col("raw") >= 0.4), (count == 1) | (F.col("raw") >= 0.2)))
-    return rated.select("id", "impossible_means", "possible_means", "flags", rounded(F.col("raw"), 4).alias("score"), "risk_level", summary("GRIM", F.col("flags"), F.col("risk_level")).alias("summary"))
+    return rated.select("id", "impossible_means", "possible_means", F.col("nearest").alias("nearest_valid"), "flags", rounded(F.col("raw"), 4).alias("score"), "risk_level", summary("GRIM", F.col("flags"), F.col("risk_level")).alias("summary"))
+
+
+SPRITE_GROUP = "struct<mean:double,sd:double,n:bigint,lo:bigint,hi:bigint,ok:boolean>"
 
 
 def sprite_groups(df: DataFrame) -> DataFrame:
-    """``id`` and ``groups``: means with their deviation, and the nearest sample size and scale."""
-    text = F.col("text")
-    read = df.select(
-        "id",
-        found(text, V.SPRITE_MEAN).alias("m"), places(text, V.SPRITE_MEAN).alias("mp"), found(text, V.SPRITE_SD).alias("s"),
-        found(text, V.N_EFFECT).alias("n"), places(text, V.N_EFFECT).alias("np"), found(text, V.SPRITE_SCALE).alias("lo"), found(text, V.SPRITE_SCALE, 2).alias("hi"), places(text, V.SPRITE_SCALE).alias("cp"),
-    )
-    ns = F.zip_with("n", "np", lambda v, at: F.struct(v.try_cast("bigint").alias("v"), at.alias("at")))
-    scales = F.filter(F.transform(F.arrays_zip("lo", "hi", "cp"), lambda z: F.struct(z["lo"].try_cast("bigint").alias("lo"), z["hi"].try_cast("bigint").alias("hi"), z["cp"].alias("at"))), lambda z: z["lo"].isNotNull() & z["hi"].isNotNull())
-    means = F.filter(F.transform(F.arrays_zip("m", "mp", "s"), lambda z: F.struct(z["m"].try_cast("double").alias("mean"), z["mp"].alias("at"), z["s"].try_cast("double").alias("sd"))), lambda z: z["mean"].isNotNull() & z["sd"].isNotNull())
-    joined = read.select("id", ns.alias("ns"), scales.alias("scales"), means.alias("means"))
-    near_n = lambda m: F.array_min(F.transform(F.filter("ns", lambda z: z["v"].isNotNull()), lambda z: F.struct(F.abs(z["at"] - m["at"]).alias("d"), z["at"].alias("at"), z["v"].alias("v"))))["v"]
-    near_scale = lambda m: F.array_min(F.transform("scales", lambda z: F.struct(F.abs(z["at"] - m["at"]).alias("d"), z["at"].alias("at"), z["lo"].alias("lo"), z["hi"].alias("hi"))))
-    groups = F.transform("means", lambda m: F.struct(m["mean"].alias("mean"), m["sd"].alias("sd"), near_n(m).alias("n"), F.coalesce(near_scale(m)["lo"], F.lit(1).cast("bigint")).alias("lo"), F.coalesce(near_scale(m)["hi"], F.lit(7).cast("bigint")).alias("hi")))
-    return joined.select("id", F.filter(groups, lambda g: (g["n"] >= 2) & (g["n"] <= 500)).alias("groups"))
-
-
-def reachable(mean: Column, sd: Column, n: Column, lo: Column, hi: Column, limit: int = 12) -> Column:
-    """Whether ``n`` whole numbers from ``lo`` to ``hi`` can have the mean and deviation; null if the mean is off the scale.
-
-    Up to ``limit`` numbers by the set of reachable sums and sums of squares, grown one number at a time
-    (a set of a few thousand at most, where listing samples would take millions).  Beyond that by the
-    largest variance the scale allows.
+    """``id`` and ``groups``: means with their deviation, the nearest sample size and scale, and whether a sample can have them.
+
+    The search for a sample is no column expression: texts that report a deviation at all go through Python in
+    Arrow batches, the others never leave the JVM's side of the expression.
     """
-    width = (hi - lo).cast("int")
-    target = F.rint(mean * n)
-    shifted = (target - lo * n).cast("bigint")
-    values = F.sequence(F.lit(0), F.greatest(width, F.lit(0)))
-    # Reachable (sum, sum of squares) of n numbers from 0 to width, kept as whole numbers sum * 2^20 + squares.
-    one = F.transform(values, lambda v: v.cast("bigint") * (1 << 20) + (v * v).cast("bigint"))
-    sums = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(n.cast("int"), F.lit(2))), one,
-        lambda acc, _: F.array_distinct(F.flatten(F.transform(acc, lambda a: F.filter(F.transform(one, lambda b: a + b), lambda c: F.shiftright(c, 20) <= shifted)))),
-    )
-    close = F.exists(
-        F.filter(sums, lambda c: F.shiftright(c, 20) == shifted),
-        lambda c: F.abs(F.sqrt(F.greatest((c.bitwiseAND(F.lit((1 << 20) - 1)) - 2 * (mean - lo) * shifted + n * (mean - lo) * (mean - lo)) / n, F.lit(0.0))) - sd) < 0.01,
-    )
-    small = F.when((F.abs(mean * n - target) > 0.01) | (shifted < 0) | (shifted > n * width), F.lit(False)).otherwise(close)
-    p = F.when(hi == lo, F.lit(0.5)).otherwise((mean - lo) / F.when(hi == lo, F.lit(1)).otherwise(hi - lo))
-    off = (p < 0) | (p > 1)
-    large = F.when(~off, sd <= F.sqrt(F.when(off, F.lit(0.0)).otherwise(p * (1 - p))) * F.abs(hi - lo) + 0.05)
-    return F.when(n <= limit, F.when(hi < lo, F.lit(False)).otherwise(small)).otherwise(large)
+
+    def read(texts: pa.Array) -> pa.Array:
+        from veritrove.functions.samples import groups
+
+        return pa.array([groups(t) for t in texts.to_pylist()], kind)
+
+    fields = [("mean", pa.float64()), ("sd", pa.float64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("ok", pa.bool_())]
+    kind = pa.list_(pa.struct(fields))
+    reported = F.when(F.col("text").rlike(V.java(V.SPRITE_SD)), F.col("text"))
+    return df.select("id", F.arrow_udf(read, f"array<{SPRITE_GROUP}>")(reported).alias("groups"))
 
 
 def sprite(df: DataFrame) -> DataFrame:
     """Means and deviations that no sample of that size and scale can have.
 
     A mean off its scale in a sample above twelve can't be judged; it counts as impossible and is named
-    in ``errors``.  Scales wider than ``WIDEST`` with up to twelve numbers are judged by the variance bound.
+    in ``errors``.  Samples of up to twelve are searched on scales of any width.
     """
-    groups = sprite_groups(df)
-    judged = groups.select("id", F.transform("groups", lambda g: F.struct(g["mean"].alias("mean"), g["sd"].alias("sd"), g["n"].alias("n"), g["lo"].alias("lo"), g["hi"].alias("hi"), _judge(g).alias("ok"))).alias("judged"))
+    judged = sprite_groups(df).select("id", F.col("groups").alias("judged"))
     shape = lambda c: F.transform(c, lambda g: F.struct(*(g[k].alias(k) for k in ("mean", "sd", "n", "lo", "hi"))))
     rated = judged.select(
         "id", shape(F.filter("judged", lambda g: ~F.coalesce(g["ok"], F.lit(False)))).alias("impossible_combinations"), shape(F.filter("judged", lambda g: F.coalesce(g["ok"], F.lit(False)))).alias("possible_combinations"),
         shape(F.filter("judged", lambda g: g["ok"].isNull())).alias("errors"),
     )
     count = F.size("impossible_combinations")
-    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_combinations")), "flags": flag_each(F.col("impossible_combinations"), "sprite_impossible_distribution", "high", lambda g: F.to_json(g))})
+    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_combinations")), "flags": flag_each(F.col("impossible_combinations"), "sprite_impossible_distribution", "high", lambda g: F.format_string("M = %.6f, SD = %.6f, N = %d, scale %d to %d", g["mean"], g["sd"], g["n"], g["lo"], g["hi"]))})
     rated = rated.withColumn("risk_level", level((count >= 2) | (F.col("raw") >= 0.6), (count == 1) | (F.col("raw") >= 0.3), F.col("raw") > 0))
     return rated.select("id", "impossible_combinations", "possible_combinations", "errors", "flags", rounded(F.col("raw"), 4).alias("score"), "risk_level", summary("SPRITE", F.col("flags"), F.col("risk_level")).alias("summary"))
 
 
-def _judge(g: Column) -> Column:
-    wide = (g["hi"] - g["lo"]) > WIDEST
-    mean, sd, n, lo, hi = (g[k] for k in ("mean", "sd", "n", "lo", "hi"))
-    return F.when(wide, reachable(mean, sd, n, lo, hi, limit=0)).otherwise(reachable(mean, sd, n, lo, hi))
-
-
 def _fraction(text: Column) -> Column:
     """Digits behind the point as a float is written: without trailing zeros, but at least one."""
-    tail = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)$", 1), "0+$", "")
+    tail = F.rtrim(F.regexp_extract(text, r"\.(\d+)$", 1), F.lit("0"))
     return F.when(tail == "", "0").otherwise(tail)
 
 
@@ -231,17 +200,27 @@ def effect_size(df: DataFrame) -> DataFrame:
         F.concat(family("cohens_d", V.COHEN_D), family("pearson_r", V.PEARSON_R, lambda v: v.between(-1.5, 1.5)), family("eta_squared", V.ETA_SQUARED), family("omega_squared", V.OMEGA_SQUARED), family("odds_ratio", V.ODDS_RATIO, lambda v: v.between(0.1, 50))).alias("effects"),
         F.array_min(F.filter(numbers(found(text, V.N_EFFECT), "bigint"), lambda v: v.between(2, 100000))).alias("n"),
     )
-    powered = F.when(F.col("n").isNotNull(), F.transform(F.filter("effects", lambda e: e["type"] == "cohens_d"), lambda e: F.struct(e["type"].alias("effect_type"), e["value"].alias("effect_value"), F.col("n").alias("n"), power(e["value"], F.col("n")).alias("power")))).otherwise(F.array())
-    rated = read.withColumn("power_estimates", powered)
+    # Every effect with its power, where it has one; flags follow the effects in their order.
+    own = lambda e: F.when((e["type"] == "cohens_d") & F.col("n").isNotNull(), power(e["value"], F.col("n")))
+    read = read.withColumn("measured", F.transform("effects", lambda e: F.struct(e["type"].alias("effect_type"), e["value"].alias("effect_value"), F.col("n").alias("n"), own(e).alias("power"))))
     big = lambda e: (F.abs(e["effect_value"]) > 2.0) & (e["n"] < 30)
-    rated = rated.withColumns({"inflated_effects": F.filter("power_estimates", big), "underpowered": F.filter("power_estimates", lambda e: ~big(e) & (e["power"] < 0.8) & (e["n"] < 50))})
-    raised = F.concat(
-        flag_each(F.col("inflated_effects"), "inflated_effect_size", "high", lambda e: F.to_json(e)),
-        flag_each(F.col("underpowered"), "underpowered_study", "medium", lambda e: F.to_json(e)),
-        flag_each(F.filter("effects", lambda e: (e["type"] == "pearson_r") & (F.abs(e["value"]) > 1.0)), "impossible_correlation", "high", lambda e: F.to_json(e)),
-        flag_each(F.filter("effects", lambda e: (e["type"] == "eta_squared") & (e["value"] > 0.5)), "large_eta_squared", "medium", lambda e: F.to_json(e)),
-        flags(flag(F.size("effects") == 0, "missing_effect_sizes", "medium")),
+    weak = lambda e: ~big(e) & (e["power"] < 0.8) & (e["n"] < 50)
+    powered = F.filter("measured", lambda e: e["power"].isNotNull())
+    rated = read.withColumns({
+        "power_estimates": F.transform(powered, lambda e: e.withField("power", rounded(e["power"], 3))),
+        "inflated_effects": F.filter(powered, big),
+        "underpowered": F.filter(powered, weak),
+    })
+    has = lambda e: e["power"].isNotNull()
+    told = lambda e: F.format_string("%s = %.4f", e["effect_type"], e["effect_value"])
+    sized = lambda e: F.format_string("%s = %.4f, N = %d, power %.3f", e["effect_type"], e["effect_value"], e["n"], rounded(e["power"], 3))
+    each = lambda e: F.coalesce(
+        flag(has(e) & big(e), "inflated_effect_size", "high", sized(e)),
+        flag(has(e) & weak(e), "underpowered_study", "medium", sized(e)),
+        flag((e["effect_type"] == "pearson_r") & (F.abs(e["effect_value"]) > 1.0), "impossible_correlation", "high", told(e)),
+        flag((e["effect_type"] == "eta_squared") & (e["effect_value"] > 0.5), "large_eta_squared", "medium", told(e)),
     )
+    raised = F.concat(F.array_compact(F.transform("measured", each)), flags(flag(F.size("effects") == 0, "missing_effect_sizes", "medium")))
     i, u = F.size("inflated_effects"), F.size("underpowered")
     raw = F.when(F.size("effects") == 0, F.lit(0.3)).otherwise(0.5 * F.least(i, F.lit(2)) / 2.0 + 0.3 * F.least(u, F.lit(2)) / 2.0)
     rated = rated.withColumns({"flags": raised, "raw": raw})

@@ -19,12 +19,15 @@ def section_list(df: DataFrame) -> DataFrame:
     50 behind the last kept one are dropped; a section runs to the next kept place, heading included.
     Each step is a column of its own, so that none is computed twice.
     """
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("kept"))
-    heading = lambda line: line.rlike("|".join(SECTION_MARKERS)) & (F.length(strip(line)) <= HEADING)
-    # Only lines that may be headings are gathered, so the fold stays short.
+    empty = F.struct(F.lit(0).alias("at"), F.array(*map(F.lit, SECTION_MARKERS)).alias("open"), F.array().cast("array<struct<at:int,line:string>>").alias("kept"))
+    fits = lambda acc, line: line.rlike("|".join(SECTION_MARKERS)) & (F.length(strip(line)) <= HEADING) & F.exists(acc["open"], lambda m: F.contains(line, m))
+    # Only lines with a marker that no line before them holds are gathered, so there are at most as many as markers.
     lines = F.aggregate(
         F.split(F.lower("text"), "\n", -1), empty,
-        lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(heading(line), F.array_append(acc["kept"], F.struct(acc["at"].alias("at"), line.alias("line")))).otherwise(acc["kept"]).alias("kept")),
+        lambda acc, line: F.when(
+            fits(acc, line),
+            F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.filter(acc["open"], lambda m: ~F.contains(line, m)).alias("open"), F.array_append(acc["kept"], F.struct(acc["at"].alias("at"), line.alias("line"))).alias("kept")),
+        ).otherwise(F.struct((acc["at"] + F.length(line) + 1).alias("at"), acc["open"].alias("open"), acc["kept"].alias("kept"))),
     )["kept"]
 
     def place(order: int, marker: str) -> Column:

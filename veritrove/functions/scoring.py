@@ -108,10 +108,23 @@ def level_by_score(score: Column) -> Column:
     return level(score >= 0.7, score >= 0.4, score >= 0.2)
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """``value`` to ``digits`` places, halves up."""
-    scale = float(10**digits)
-    return F.floor(value * scale + 0.5) / scale
+def rounded(value: Column, digits: int | Column) -> Column:
+    """``value`` to ``digits`` places as decimal arithmetic has it: the binary number itself decides, exact ties go to the even digit.
+
+    The product with the scale is split in two parts that hold it exactly, so nothing depends on how it is rounded
+    (up to eight places; beyond them to the precision of a double).
+    """
+    scale = F.lit(float(10**digits)) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
+
+    def exact(v: Column) -> Column:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        product = v * scale
+        beyond = (product - F.floor(product) - 0.5) + ((high * scale - product) + (v - high) * scale)
+        up = (beyond > 0) | ((beyond == 0) & (F.pmod(F.floor(product), F.lit(2)) == 1))
+        return (F.floor(product) + up.cast("int")) / scale
+
+    # A list of one, so that the value is computed once.
+    return F.get(F.transform(F.array(value.cast("double")), exact), 0)
 
 
 def summary(name: str, flags_col: Column, risk: Column) -> Column:

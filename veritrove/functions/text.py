@@ -48,6 +48,15 @@ def _literals(pattern: str) -> list[str]:
     return [x for x in re.findall(r"[a-z ]+", plain) if len(x) >= 3]
 
 
+def in_line(pattern: str) -> str:
+    """A pattern with ``.*`` between parts, so that a line is read once: each part from where the one before first ends.
+
+    Whether a line holds the parts in order does not depend on which of their places are taken, so the first ones will do.
+    """
+    parts = re.split(r"\.\*\??", pattern)
+    return pattern if len(parts) == 1 else "(?m)^" + "".join(f"(?>.*?(?:{part}))" for part in parts)
+
+
 def matches(text: Column, lowered: Column, patterns: Iterable[str]) -> Column:
     """Whether one of the patterns is found in the text, without regard to case.
 
@@ -58,7 +67,7 @@ def matches(text: Column, lowered: Column, patterns: Iterable[str]) -> Column:
         needed = F.lit(True)
         for literal in _literals(pattern):
             needed = needed & F.contains(lowered, F.lit(literal))
-        out = out | (needed & text.rlike(java(pattern)))
+        out = out | (needed & text.rlike(java(in_line(pattern))))
     return out
 
 
@@ -77,13 +86,3 @@ def pieces(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between blanks."""
     return F.regexp_count(text, F.lit(rf"[^{BLANKS}]+"))
-
-
-def places(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    """Start offset of every match, from the lengths of what lies between matches."""
-    whole = F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), F.lit(0))
-    between = F.split(text, java(pattern, ignore_case), -1)
-    step = F.zip_with(between, whole, lambda b, w: F.struct(F.coalesce(F.length(b), F.lit(0)).alias("gap"), F.length(w).alias("size")))
-    kept = F.filter(step, lambda s: s["size"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(kept, empty, lambda acc, s: F.struct((acc["at"] + s["gap"] + s["size"]).alias("at"), F.array_append(acc["all"], acc["at"] + s["gap"]).alias("all")))["all"]

@@ -39,52 +39,78 @@ _ET_AL = re.compile(r"(?:^|(?<=\s))(?:and\s+)?et\.?\s*al(?:ii|\b)\.?\s*$", re.I)
 _AFTER_QUOTE = re.compile(r"\s*(?:$|[,;|/\n\r&+]|et\.?\s*al\b|and\s)", re.I)
 _OUTER = "".join(map(chr, range(9, 14))) + " \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200E))) + "    ⁠　﻿" + ",;|/&+"
 _PLACEHOLDER = re.compile(
-    r"\W*(?:unknown(?:\s+authors?)?|n\s*[./]?\s*a|none|null|nil|anon|anonymous|not\s+(?:available|given|stated|known)|no\s+authors?(?:\s+(?:listed|given))?|missing|tba|tbd|various)?\W*",
+    r"unknown(?:\s+authors?)?|n\s*(?:[./]\s*)?a|none|null|nil|anon|anonymous|not\s+(?:available|given|stated|known)|no\s+authors?(?:\s+(?:listed|given))?|missing|tba|tbd|various",
     re.I,
 )
+_SIGNS = re.compile(r"\W*")
+_OPENED = re.compile(r"[(\[{]")
 
 
 def is_placeholder(value: str) -> bool:
-    """Whether an author value stands for a missing author: no letter at all, or a stock phrase."""
-    return _PLACEHOLDER.fullmatch(value) is not None
-
-
-def _quoted(text: str, at: int) -> tuple[str, int] | None:
-    """The quoted value that opens at ``at`` and the place behind it, or None to go back to bare."""
-    close = _QUOTES[text[at]]
-    here = at + 1
-    while (end := text.find(close, here)) >= 0:
-        if text.startswith(close * 2, end) and end + 2 < len(text) and not _AFTER_QUOTE.match(text, end + 1):
-            here = end + 2
-        elif _AFTER_QUOTE.match(text, end + 1):
-            return text[at + 1 : end].replace(close * 2, close), end + 1
-        else:
-            here = end + 1
-    return None
-
-
-def _bare(text: str, at: int, sep: re.Pattern) -> tuple[int, int, str | None]:
-    """End of a bare value, end of the separator behind it, and an error."""
-    error, here = None, at
-    while True:
-        found = sep.search(text, here)
-        stop = found.start() if found else len(text)
-        opened = next((k for k in range(here, stop) if text[k] in _BRACKETS), None)
-        if opened is None:
-            return stop, found.end() if found else len(text) + 1, error
-        close = text.find(_BRACKETS[text[opened]], opened)
-        if close < 0:
-            error, here = "bracket", opened + 1
-            if here >= stop:
+    """Whether an author value stands for a missing author: no letter at all, or a stock phrase between other signs."""
+    low, high = _SIGNS.match(value).end(), len(value)
+    while high > low and not (value[high - 1].isalnum() or value[high - 1] == "_"):
+        high -= 1
+    return low == high or _PLACEHOLDER.fullmatch(value, low, high) is not None
+
+
+class _Reader:
+    """The quotes, brackets and separators of one field, each looked for once whatever the field holds.
+
+    What is remembered is where no quote of a kind closes any more, where the last bracket of a kind
+    closes, and the next separator; so a field is read in time that grows with its length.
+    """
+
+    def __init__(self, text: str, sep: re.Pattern) -> None:
+        self.text, self.sep = text, sep
+        self.last = {b: text.rfind(b) for b in _BRACKETS.values()}
+        self.dead: dict[str, int] = {}
+        self.next: re.Match | None = None
+        self.sought = -1
+
+    def separator(self, at: int) -> re.Match | None:
+        """The first separator at ``at`` or behind it; ``at`` never falls."""
+        if self.sought < 0 or (self.next is not None and self.next.start() < at):
+            self.next = self.sep.search(self.text, at)
+            self.sought = at
+        return self.next
+
+    def quoted(self, at: int) -> tuple[str, int] | None:
+        """The quoted value that opens at ``at`` and the place behind it, or None to go back to bare."""
+        text, close = self.text, _QUOTES[self.text[at]]
+        here, dead = at + 1, self.dead.get(close, len(text))
+        while (end := text.find(close, here)) >= 0:
+            if end > here and end >= dead:
+                return None
+            if text.startswith(close * 2, end) and end + 2 < len(text) and not _AFTER_QUOTE.match(text, end + 1):
+                here = end + 2
+            elif _AFTER_QUOTE.match(text, end + 1):
+                return text[at + 1 : end].replace(close * 2, close), end + 1
+            else:
+                here = end + 1
+        self.dead[close] = min(dead, at + 1)
+        return None
+
+    def bare(self, at: int) -> tuple[int, int, str | None]:
+        """End of a bare value, end of the separator behind it, and an error."""
+        text, error, here = self.text, None, at
+        while True:
+            found = self.separator(here)
+            stop = found.start() if found else len(text)
+            opened = _OPENED.search(text, here, stop)
+            if opened is None:
                 return stop, found.end() if found else len(text) + 1, error
-            later = _bare(text, here, sep)
-            return later[0], later[1], error
-        here = close + 1
+            close = _BRACKETS[opened.group()]
+            if self.last[close] < opened.start():
+                error, here = "bracket", opened.end()
+            else:
+                here = text.find(close, opened.start()) + 1
 
 
 def _parse(text: str, sep: re.Pattern) -> tuple[list[tuple[str, str | None]], set[str]]:
     values: list[tuple[str, str | None]] = []
     met: set[str] = set()
+    reader = _Reader(text, sep)
     at, end = 0, len(text)
     while at < end:
         if text[at].isspace() and text[at] not in "\n\r":
@@ -92,18 +118,18 @@ def _parse(text: str, sep: re.Pattern) -> tuple[list[tuple[str, str | None]], se
             continue
         error = None
         if text[at] in _QUOTES:
-            if (got := _quoted(text, at)) is not None:
+            if (got := reader.quoted(at)) is not None:
                 if value := got[0].strip(_OUTER):
                     values.append((value, None))
                 at = got[1]
-                if (found := sep.search(text, at)) is None:
+                if (found := reader.separator(at)) is None:
                     break
                 if text[at : found.start()].strip() == "":
                     met.add(found.group())
                     at = found.end()
                 continue
             error = "quote"
-        stop, behind, bracket = _bare(text, at, sep)
+        stop, behind, bracket = reader.bare(at)
         value = text[at:stop]
         if behind <= end:
             met.add(text[stop:behind])
@@ -128,7 +154,7 @@ def split_packed(text: str | None, kind: str = "names") -> tuple[tuple[str, str
         return tuple(_parse(body, _CODES)[0])
     if not body.strip(_OUTER):
         return ()
-    if len(body) < 40 and is_placeholder(body):
+    if is_placeholder(body):
         return ((body.strip(_OUTER), "placeholder"),)
     values, met = _parse(body, _NAMES_STRONG)
     if not met & _STRONG:

@@ -225,7 +225,7 @@ f AS (SELECT *, CASE WHEN ne = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE * least(i, 2)
 SELECT doc_id, ne::INT AS n_effects, np::INT AS n_powers, i::INT AS n_inflated, u::INT AS n_underpowered,
   rtrim(repeat('inflated_effect_size:high,', i) || repeat('underpowered_study:medium,', u) || repeat('large_eta_squared:medium,', big) || CASE WHEN ne = 0 THEN 'missing_effect_sizes:medium' ELSE '' END, ',') AS flags,
   {_r("raw", 4)} AS score, {_level("i >= 1 OR raw >= 0.6", "u >= 2 OR raw >= 0.4", "u >= 1 OR raw >= 0.2")} AS risk_level FROM f"""
-_KNOWN = ", ".join(_q(r[0]) for r in V.KNOWN_RETRACTIONS)
+_KNOWN = ", ".join(_q(r) for r in V.KNOWN_RETRACTIONS)
 _DISTINCT_DOIS = f"(SELECT doc_id, doi, min(pos) AS pos FROM (SELECT doc_id, regexp_replace(unnest({_found(V.DOI, 1, False)}), '[.,;]+$', '') AS doi, generate_subscripts({_found(V.DOI, 1, False)}, 1) AS pos FROM d) GROUP BY doc_id, doi QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) <= 20)"
 _SQL["retraction"] = f"""WITH {_D}, x AS {_DISTINCT_DOIS},
 c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_replace(lower(doi), '\\.+$', '') IN ({_KNOWN})) AS k FROM x GROUP BY doc_id),
