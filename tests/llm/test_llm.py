@@ -175,6 +175,43 @@ def test_slips_in_many_layouts(spark):
     assert len({centre[x] for x in apart}) == 4
 
 
+def test_many_people_of_one_name(spark, monkeypatch):
+    """Five hundred people of one family name and initial: the tables written do not depend on how many they are."""
+    rng = random.Random(12)
+    given = list(dict.fromkeys("J" + "".join(rng.choice("aeiou") + rng.choice("bcdfghklmnprstvz") for _ in range(4)) for _ in range(600)))[:500]
+
+    def run(names):
+        written = []
+        keep = variants.Scratch.keep
+        monkeypatch.setattr(variants.Scratch, "keep", lambda self, df: written.append(1) or keep(self, df))
+        rows = [("author", x) for g in names for x in (f"{g} Smithson", f"Smithson, {g}")] + [("author", "J. Smithson")]
+        got = {r.name: r.centre for r in variants.clusters(spark.createDataFrame(rows, "kind string, name string")).collect()}
+        monkeypatch.undo()
+        return got, len(written)
+
+    few, rounds = run(given[:6])
+    many, same = run(given)
+    assert same <= rounds + 4
+    assert all(many[f"{g} Smithson"] == many[f"Smithson, {g}"] for g in given) and len(many) == 1001
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    """Pairs of a cluster and of a bucket larger than what meets in one task: all of them, once."""
+    monkeypatch.setattr(variants, "SPLIT", 7)
+    rows = [("author", "c", f"n{k}") for k in range(60)] + [("author", "d", "x"), ("author", "d", "y")]
+    got = [tuple(r) for r in variants.variant_pairs(spark.createDataFrame(rows, "kind string, centre string, name string")).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 1 and all(a < b for _, a, b in got)
+
+
+def test_short_words():
+    alike = lambda a, b, kind="author": variants.similarity(variants.read_name(kind, a), variants.read_name(kind, b)) >= variants.THRESHOLD
+    assert alike("Jhon Osterholm", "John Osterholm") and alike("Jon Osterholm", "John Osterholm")
+    assert not alike("Max Osterholm", "Mac Osterholm") and not alike("Anna Osterholm", "Ana Osterholm, Hans")
+    assert variants._alike("lie", "lies", False) < variants._alike("osterholm", "osterholms", False) < 1
+    long = variants.read_name("author", "Maria Ana de la Luz Sol Vega Ruiz Lindqvale Osterholm")
+    assert long.person and long.form == variants.read_name("author", "OSTERHOLM Maria Ana de la Luz Sol Vega Ruiz Lindqvale").form
+
+
 def test_chains_of_slips(spark):
     # each spelling is one slip from the next, and has more rows
     chain = ["Svedoraaultmannstein", "Svedorbaultmannstein", "Svedorbaulkmannstein", "Svedorbaulkmannstain", "Swedorbaulkmannstain", "Swedorbaulkmannstaim", "Swedorbaulkmapnstaim"]

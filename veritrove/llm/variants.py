@@ -2,21 +2,24 @@
 
 1. Every distinct string is read into plain tokens: a person's family name, given name (told by
    a lexicon, one slip of the pen allowed; nicknames stand for the name) and initials in any order; of journals
-   and groups the words that carry meaning.
+   and groups the words that carry meaning.  Strings with the same tokens are one form; only forms are compared.
 2. MinHash over padded q-grams: of persons the 3-grams of the family name, each joined with the first
-   initial; of titles those of the words' beginnings, so that abbreviations share them.  Strings with
-   one and the same set of q-grams have the same sketch in every band and are put together first, by a
-   star clustering that needs no pairs: in each round every such group's best unassigned string becomes a
-   centre, and the strings it verifies join it.
-3. The centres are banded.  ``BANDS`` bands of ``ROWS`` rows follow from the collision curve
-   1 - (1 - s^r)^b, at least ``RECALL`` at similarity ``LEAST``, which one slip in a family name of six
-   letters still keeps.  Every pair of centres that share a bucket is scored, whatever their sizes.
-4. Pairs are verified by Monge-Elkan similarity, each way, and a star joins the best larger centre.  Where the
-   two differ by a slip in a word and both spellings of it also stand in stars that no slip explains, they are
-   two names and stay apart.
+   initial; of titles those of the words' beginnings, so that abbreviations share them.  Forms with one and
+   the same set of q-grams have one key, and only distinct keys are banded.  ``BANDS`` bands of ``ROWS`` rows follow
+   from the collision curve 1 - (1 - s^r)^b, at least ``RECALL`` at similarity ``LEAST``, which one slip in a
+   family name of six letters still keeps.  Buckets with very many keys are split.
+3. Forms of one key, and of two keys that share a bucket, are compared where they have a probe in common: a
+   beginning of the given name (of titles, of a word) or what is left of it without one letter.  Every
+   pair that verification can accept has one, so nothing is lost, and no two names are compared for having
+   a popular family name only.
+4. Pairs are verified by Monge-Elkan similarity, each way, with a graded similarity of words.
+5. Star clustering by rank within a key: a form is a centre unless a centre of higher rank verifies it; all centres
+   that can be told are told in one round, so rounds follow chains of slips and not the number of people of a name.
+   Then a star joins the best larger star of another key.  Where the two differ by a slip in a
+   word and both spellings of it also stand in stars that no slip explains, they are two names and stay apart.
 
 Defined results: nulls, empty strings and placeholders are no names.  Strings that differ only in case,
-accents, order or punctuation are variants.  A string of an initial only joins the most frequent person
+accents, order or punctuation are variants.  A string of initials only joins the person of highest rank
 of that family name and initial.  Ties are broken by the string itself.
 """
 
@@ -45,6 +48,9 @@ BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - LEAST**ROWS))
 #: Least Monge-Elkan similarity.
 THRESHOLD = 0.85
 
+#: Rows of a bucket or cluster that meet in one task; larger ones are split.
+SPLIT = 1_000
+
 #: Common short forms of given names; a fixed table.
 NICKNAMES = {
     short: name
@@ -55,12 +61,15 @@ NICKNAMES = {
         "richard": "dick rick rich ricky", "robert": "bob rob bobby robbie", "samuel": "sam sammy", "theodora": "dora thea", "tobias": "toby tobi", "william": "bill will billy willy liam",
         "michael": "mike mick", "thomas": "tom tommy", "james": "jim jimmy jamie", "joseph": "joe", "charles": "charlie chuck", "edward": "ed eddie ted", "anthony": "tony",
         "daniel": "dan danny", "david": "dave", "matthew": "matt", "nicolas": "nick", "patricia": "pat patty", "peter": "pete", "stephen": "steve", "susan": "sue", "victor": "vic",
+        "christopher": "chris kit", "nicholas": "nico", "timothy": "tim", "lawrence": "larry", "frederick": "fred freddy", "walter": "walt", "theodore": "ted teddy", "catherine": "cathy cath", "virginia": "ginny",
         "rebecca": "becky", "deborah": "debbie", "jennifer": "jenny", "jacob": "jake", "andrew": "andy drew", "gregory": "greg", "maria": "masha", "mary": "molly polly", "philip": "phil",
     }.items()
     for short in shorts.split()
 }
 _PARTICLES = frozenset("de la le van der den von del della di da dos du ter ten zu bin ibn al el las los".split())
 _GROUP = re.compile(r"\b(?:consorti?\w*|consort|groups?|collaborat\w*|network|committee|team|initiative|investigators?|society|association|study|trialists?|working|institute|university|cent(?:re|er)|project|alliance|registry|panel|board|task)\b", re.I)
+#: Words that stand in the name of a group, but in no person's.
+_BETWEEN = re.compile(r"(?<![\w.])(?:of|for|the|in|on|and)(?![\w.])")
 _EMPTY = frozenset("in of the and for on a an de la le les des du der die das und et y di online print international".split())
 _LETTERS = str.maketrans("øłđßæœıðþ", "oldsaoidt")
 
@@ -114,14 +123,14 @@ def is_given(token: str) -> bool:
 
 
 class Name:
-    """A string as it is compared: ``key`` (equal for equal sketches), ``words``, ``given``, ``initials``, ``full``."""
+    """A string as it is compared: ``key`` (equal for equal sketches), ``words``, ``given``, ``initials``, ``full``, ``form``."""
 
-    __slots__ = ("full", "given", "initials", "key", "person", "words")
+    __slots__ = ("form", "full", "given", "initials", "key", "person", "words")
 
     def __init__(self, kind: str, text: str) -> None:
         self.given, self.initials, self.person = "", "", False
         body = unicodedata.normalize("NFKC", text).strip()
-        if kind == "author" and not _GROUP.search(body) and (len(re.findall(r"[^\W\d_]+", body)) <= 7):
+        if kind == "author" and not _GROUP.search(body) and not _BETWEEN.search(body):
             self._person(body)
         else:
             self._title(body)
@@ -132,6 +141,7 @@ class Name:
         self.words = sorted("journal" if w in ("j", "jour", "jnl") else w for w in words)
         self.full = not re.search(r"\w\.(?:\s|,|$)", text)
         self.key = "t|" + " ".join(sorted(w[:3] for w in self.words))
+        self.form = "t|" + " ".join(self.words)
 
     def _person(self, text: str) -> None:
         left, comma, right = text.partition(",")
@@ -176,6 +186,17 @@ class Name:
         first = self.given[:1] or self.initials[:1]
         self.full = bool(self.given)
         self.key = f"p|{first}|" + " ".join(self.words)
+        self.form = f"{self.key}|{self.given}"
+
+    def probes(self, across: bool) -> list[str]:
+        """What a form of the same key (or, ``across``, of another one) that verification accepts has in common with this one."""
+        if self.person:
+            words = [self.given] if self.given else []
+        else:
+            # within a key the words of the first beginning have their counterparts among themselves
+            least = min((w[:3] for w in self.words), default="")
+            words = self.words if across else [w for w in self.words if w[:3] == least]
+        return sorted({p for w in words for p in ({w} | {w[:k] for k in range(3, len(w))} | {w[:k] + w[k + 1 :] for k in range(len(w))})})
 
     def grams(self) -> list[str]:
         """Padded 3-grams of the sketch."""
@@ -193,13 +214,17 @@ def read_name(kind: str, text: str) -> Name:
 
 
 def _alike(a: str, b: str, title: bool) -> float:
+    """Similarity of two words: 1 if equal, less for a slip the shorter the words are, 0 for different words.
+
+    In words of three letters another letter makes another word, so there only a letter more or less is a slip.
+    """
     if a == b:
         return 1.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if title and len(short) >= 3 and long.startswith(short):
         return 0.95
-    if len(short) >= 4 and one_slip(a, b):
-        return 0.9
+    if len(short) >= 3 and (len(short) >= 4 or len(long) > len(short)) and one_slip(a, b):
+        return 1.0 - 0.5 / len(long)
     return 0.0
 
 
@@ -210,7 +235,7 @@ def _one_way(a: list[str], b: list[str], title: bool) -> float:
 
 def slips(a: Name, b: Name) -> list[str]:
     """Words of ``a`` whose best counterpart in ``b`` is one slip away."""
-    return [x for x in a.words if max((_alike(x, y, not a.person) for y in b.words), default=0.0) == 0.9]
+    return [x for x in a.words if 0.0 < max((_alike(x, y, not a.person) for y in b.words), default=0.0) < 1.0 and not any(y.startswith(x) or x.startswith(y) for y in b.words if not a.person and min(len(x), len(y)) >= 3)]
 
 
 def similarity(a: Name, b: Name) -> float:
@@ -221,7 +246,9 @@ def similarity(a: Name, b: Name) -> float:
     if not a.person:
         return words if len(a.words) == len(b.words) else 0.0
     if a.given and b.given:
-        given = _alike(a.given, b.given, False)
+        # two names that both are known are two names
+        known = a.given != b.given and all(g in GIVEN or g in NICKNAMES.values() for g in (a.given, b.given))
+        given = 0.0 if known else _alike(a.given, b.given, False)
         if not given and (a.given.startswith(b.given) or b.given.startswith(a.given)) and min(len(a.given), len(b.given)) >= 3:
             given = 0.9
     else:
@@ -245,59 +272,91 @@ def _parsed(strings: DataFrame) -> DataFrame:
         for batch in batches:
             got = [read_name(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([g.key for g in got], pa.string()), pa.array([g.full for g in got], pa.bool_()), pa.array([[*g.words, g.given] for g in got], pa.list_(pa.string()))],
-                names=["kind", "name", "n", "key", "full", "words"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([g.form for g in got], pa.string()), pa.array([g.key for g in got], pa.string()), pa.array([g.full for g in got], pa.bool_())],
+                names=["kind", "name", "n", "form", "key", "full"],
             )
 
-    return strings.mapInArrow(run, "kind string, name string, n bigint, key string, full boolean, words array<string>")
+    return strings.mapInArrow(run, "kind string, name string, n bigint, form string, key string, full boolean")
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (kind, name, centre, ...) with their ``score``."""
-    names = pairs.columns
+def _with(df: DataFrame, shape: str, made) -> DataFrame:
+    """``df`` with further columns; ``made`` gives their arrays from a dict of the batch's columns as lists."""
+    names = df.columns
+    more = [x.split()[0] for x in shape.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, name, centre = (batch.column(names.index(c)).to_pylist() for c in ("kind", "name", "centre"))
-            score = [1.0 if n == c else similarity(read_name(k, n), read_name(k, c)) for k, n, c in zip(kind, name, centre, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "score"])
+            got = made({n: batch.column(k).to_pylist() for k, n in enumerate(names) if n in ("kind", "top", "other_top")})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=[*names, *more])
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInArrow(run, f"{shape}, score double")
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", " + shape)
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (kind, name, centre, ...) with the words of each that are a slip from the other's."""
-    names = pairs.columns
+_STRINGS = pa.list_(pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [(read_name(k, n), read_name(k, c)) for k, n, c in zip(*(batch.column(names.index(c)).to_pylist() for c in ("kind", "name", "centre")), strict=True)]
-            own, other = (pa.array(x, pa.list_(pa.string())) for x in ([slips(a, b) for a, b in both], [slips(b, a) for a, b in both]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, own, other], names=[*names, "own_slips", "other_slips"])
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInArrow(run, f"{shape}, own_slips array<string>, other_slips array<string>")
+def _probed(df: DataFrame, across: bool) -> DataFrame:
+    """``df`` (kind, top, ...) with its ``probe``s, a row each."""
+    shown = _with(df, "probes array<string>", lambda c: [pa.array([read_name(k, t).probes(across) for k, t in zip(c["kind"], c["top"], strict=True)], _STRINGS)])
+    return shown.withColumn("probe", F.explode("probes")).drop("probes")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (kind, top, other_top, ...) that verification accepts, with ``score`` and the words of either that are a slip from the other's."""
+
+    def made(c: dict[str, list]) -> list[pa.Array]:
+        both = [(read_name(k, a), read_name(k, b)) for k, a, b in zip(c["kind"], c["top"], c["other_top"], strict=True)]
+        return [pa.array([similarity(a, b) for a, b in both], pa.float64()), pa.array([slips(a, b) for a, b in both], _STRINGS), pa.array([slips(b, a) for a, b in both], _STRINGS)]
+
+    return _with(pairs, "score double, own_slips array<string>, other_slips array<string>", made).where(F.col("score") >= THRESHOLD)
 
 
-def _banded(stars: DataFrame) -> DataFrame:
-    """``stars`` with the words of their centres and the hashes of their bands."""
-    names = stars.columns
+def _banded(keys: DataFrame) -> DataFrame:
+    """``keys`` (kind, top, ...) with the hashes of their ``bands``, a row each."""
     seeds = _seeds()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(c: dict[str, list]) -> list[pa.Array]:
         weight = np.random.default_rng(6).integers(1, 2**62, size=ROWS, dtype=np.int64)
-        for batch in batches:
-            kind, centre = (batch.column(names.index(c)).to_pylist() for c in ("kind", "centre"))
-            bands = []
-            for k, c in zip(kind, centre, strict=True):
-                low = _shingle_hashes(read_name(k, c).grams(), seeds).astype(np.int64).reshape(BANDS, ROWS)
-                bands.append((low * weight).sum(axis=1) * BANDS + np.arange(BANDS))
-            words = [read_name(k, c).words for k, c in zip(kind, centre, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(bands, pa.list_(pa.int64()))], names=[*names, "words", "bands"])
+        bands = []
+        for k, t in zip(c["kind"], c["top"], strict=True):
+            low = _shingle_hashes(read_name(k, t).grams(), seeds).astype(np.int64).reshape(BANDS, ROWS)
+            bands.append((low * weight).sum(axis=1) * BANDS + np.arange(BANDS))
+        return [pa.array(bands, pa.list_(pa.int64()))]
+
+    return _with(keys, "bands array<bigint>", made).withColumn("band", F.explode("bands")).drop("bands")
+
+
+def _met(rows: DataFrame, by: list[str], member: str, condition: str) -> DataFrame:
+    """``rows`` with themselves on ``by`` (the second time as ``other_...``) where ``condition`` holds.
+
+    Groups of more than ``SPLIT`` rows are split: the one side is spread over parts, the other goes to all of them.
+    """
+    other = [c for c in rows.columns if c not in by]
+    parts = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > SPLIT).select(*by, F.ceil(F.col("_n") / SPLIT).cast("int").alias("_parts"))
+    sized = rows.join(parts, by, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    one = sized.withColumn("_part", F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")).drop("_parts")
+    two = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnsRenamed({c: f"other_{c}" for c in other})
+    return one.join(two, [*by, "_part"]).where(condition).drop("_part")
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stars.schema)
-    return stars.mapInArrow(run, f"{shape}, words array<string>, bands array<bigint>")
+
+def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``kind``, ``form`` and its ``centre``, for every form that joins one, from ``edges`` (kind, form, other_form, score, other_rank) to forms of higher rank.
+
+    Each round tells every form without an open edge upwards to be a centre, and lets those it verifies join the best.
+    """
+    edges, path = scratch.keep(edges)
+    joined = edges.sparkSession.createDataFrame([], "kind string, form string, centre string")
+    while not edges.isEmpty():
+        lower = edges.select("kind", F.col("form").alias("other_form")).distinct()
+        told = edges.join(lower, ["kind", "other_form"], "left_anti").groupBy("kind", "form").agg(F.max_by("other_form", F.struct("score", "other_rank")).alias("centre"))
+        told, _ = scratch.keep(told)
+        joined = joined.unionByName(told)
+        gone = told.select("kind", "form")
+        rest = edges.join(gone, ["kind", "form"], "left_anti").join(gone.withColumnRenamed("form", "other_form"), ["kind", "other_form"], "left_anti")
+        rest, rest_path = scratch.keep(rest.select(*edges.columns))
+        scratch.drop(path)
+        edges, path = rest, rest_path
+    return joined
 
 
 def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
@@ -308,58 +367,72 @@ def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
     scratch = Scratch(strings.sparkSession, label)
     counted = strings.where("kind is not null and name is not null and trim(name) <> ''").groupBy("kind", "name").agg(F.count("*").alias("n"))
     parsed, _ = scratch.keep(_parsed(counted))
-    # How many distinct strings hold a word: a slip is in one, a word of a name in several.
-    words = parsed.select("kind", "name", F.explode(F.array_distinct("words")).alias("word"))
-    support = words.groupBy("kind", "word").agg(F.count("*").alias("s"))
-    weak = words.join(support, ["kind", "word"]).groupBy("kind", "name").agg(F.min("s").alias("support"))
-    left, path = scratch.keep(parsed.join(weak, ["kind", "name"]).select("kind", "name", "n", "key", "full", "support"))
-    done = []
-    while True:
-        # The best unassigned string of every group becomes a centre, and verified strings join it.
-        best = F.max_by("name", F.struct("full", "support", "n", "name"))
-        centres = left.groupBy("kind", "key").agg(best.alias("centre"))
-        tried = _scored(left.join(centres, ["kind", "key"]))
-        tried, tried_path = scratch.keep(tried)
-        done.append(tried.where(F.col("score") >= THRESHOLD).select("kind", "name", "n", "centre"))
-        scratch.drop(path)
-        left, path = scratch.keep(tried.where(F.col("score") < THRESHOLD).drop("centre", "score"))
-        if left.isEmpty():
-            break
-    members = done[0]
-    for more in done[1:]:
-        members = members.unionByName(more)
-    members, _ = scratch.keep(members)
-    stars = members.groupBy("kind", "centre").agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
-    banded, _ = scratch.keep(_banded(stars))
-    spread = banded.select("kind", "centre", "strings", "n", F.struct("strings", "n", "centre").alias("rank"), F.explode("bands").alias("band"))
-    lower = spread.select("kind", F.col("centre").alias("name"), F.col("rank").alias("own"), "band")
-    found = lower.join(spread, ["kind", "band"]).where(F.col("rank") > F.col("own")).select("kind", "name", "centre", "strings", "n").distinct()
-    verified, _ = scratch.keep(_compared(_scored(found).where(F.col("score") >= THRESHOLD)))
+    best = F.max_by("name", F.struct("full", "n", "name"))
+    forms = parsed.groupBy("kind", "form").agg(F.first("key").alias("key"), best.alias("top"), F.count("*").alias("strings"), F.sum("n").alias("n"), F.max("full").alias("full"))
+    read = lambda c: [read_name(k, t) for k, t in zip(c["kind"], c["top"], strict=True)]
+    shown = _with(forms, "words array<string>, given string", lambda c: [pa.array([x.words for x in read(c)], _STRINGS), pa.array([x.given for x in read(c)], pa.string())])
+    shown, _ = scratch.keep(shown)
+    # How many distinct strings hold a word: a slip is in few, a word of a name in many.
+    words = shown.select("kind", "form", "strings", F.explode(F.array_distinct(F.concat("words", F.array("given")))).alias("word"))
+    support = words.groupBy("kind", "word").agg(F.sum("strings").alias("s"))
+    weak = words.join(support, ["kind", "word"]).groupBy("kind", "form").agg(F.min("s").alias("support"))
+    ranked = shown.join(weak, ["kind", "form"]).withColumn("rank", F.struct("full", "support", "n", "top")).drop("full", "support")
+    ranked, _ = scratch.keep(ranked)
+
+    # Within a key.  Initials alone join the person of highest rank; the others the star that verifies them.
+    person = F.col("key").startswith("p|")
+    initials = ranked.where(person & (F.col("given") == "")).select("kind", "key", "form")
+    head = ranked.where(person & (F.col("given") != "")).groupBy("kind", "key").agg(F.max_by("form", "rank").alias("centre"))
+    alone = initials.join(head, ["kind", "key"]).select("kind", "form", "centre")
+    probes = _probed(ranked.where(~person | (F.col("given") != "")).select("kind", "key", "form", "top", "rank"), False)
+    near = _met(probes, ["kind", "key", "probe"], "form", "other_rank > rank").select("kind", "form", "top", "other_form", "other_top", "other_rank").distinct()
+    told = _stars(_scored(near).select("kind", "form", "other_form", "score", "other_rank"), scratch)
+    chain = told.select("kind", F.col("form").alias("centre"), F.col("centre").alias("further"))
+    first = told.unionByName(alone.join(chain, ["kind", "centre"], "left").select("kind", "form", F.coalesce("further", "centre").alias("centre")))
+    members, _ = scratch.keep(ranked.select("kind", "form", "strings", "n").join(first, ["kind", "form"], "left").select("kind", "form", F.coalesce("centre", "form").alias("centre"), "strings", "n"))
+    sizes = members.groupBy("kind", "centre").agg(F.sum("strings").alias("strings"), F.sum("n").alias("n")).withColumnRenamed("centre", "form")
+    stars, _ = scratch.keep(ranked.select("kind", "form", "key", "top", "words", "given").join(sizes, ["kind", "form"]).withColumn("rank", F.struct("strings", "n", "top")))
+
+    # Between keys that share a bucket.
+    keys = stars.groupBy("kind", "key").agg(F.max_by("top", "rank").alias("top"), F.max_by("form", "rank").alias("head"))
+    keys, _ = scratch.keep(keys)
+    met = _met(_banded(keys.select("kind", "key", "top")), ["kind", "band"], "key", "key <> other_key").select("kind", "key", "top", "other_key", "other_top").distinct()
+    alike = lambda a, b: a.person == b.person and len(a.words) == len(b.words) and _one_way(a.words, b.words, not a.person) > 0 and _one_way(b.words, a.words, not a.person) > 0
+    may = lambda c: [pa.array([k == "journal" or not (x := read_name(k, a)).person or alike(x, read_name(k, b)) for k, a, b in zip(c["kind"], c["top"], c["other_top"], strict=True)], pa.bool_())]
+    met, _ = scratch.keep(_with(met, "may boolean", may).where("may").select("kind", "key", "other_key"))
+    shape = ["kind", "key", "form", "top", "rank"]
+    # A star without given name meets the star of highest rank of the other key, by an empty probe.
+    headed = stars.join(keys.select("kind", "key", "head"), ["kind", "key"])
+    empty = headed.where(F.col("key").startswith("p|") & ((F.col("given") == "") | (F.col("form") == F.col("head")))).select(*shape, F.lit("").alias("probe"))
+    star_probes, _ = scratch.keep(_probed(stars.select(*shape), True).unionByName(empty))
+    other = star_probes.withColumnsRenamed({c: f"other_{c}" for c in shape[1:]})
+    found = met.join(star_probes, ["kind", "key"]).join(other, ["kind", "other_key", "probe"]).where("other_rank > rank").select("kind", "form", "top", "other_form", "other_top", "other_rank").distinct()
+    verified, _ = scratch.keep(_scored(found))
     # A spelling stands by itself if a star holds it that is in no pair as a slip of it, on either side.
-    own = verified.select("kind", "name", "centre", F.explode("own_slips").alias("word"))
-    other = verified.select("kind", "name", "centre", F.explode("other_slips").alias("word"))
-    slipped = own.select("kind", F.col("name").alias("centre"), "word").unionByName(other.select("kind", "centre", "word")).distinct()
-    held = banded.select("kind", "centre", F.explode("words").alias("word"))
-    standing = held.join(slipped, ["kind", "centre", "word"], "left_anti").select("kind", "word").distinct()
-    pair = ["kind", "name", "centre"]
-    two = own.join(standing, ["kind", "word"], "left_semi").select(pair).join(other.join(standing, ["kind", "word"], "left_semi").select(pair), pair, "left_semi")
-    verified = verified.join(two, pair, "left_anti")
-    joined = verified.groupBy("kind", "name").agg(F.max_by("centre", F.struct("score", "strings", "n", "centre")).alias("to"))
-    joined, path = scratch.keep(joined)
+    own = verified.select("kind", "form", "other_form", F.explode("own_slips").alias("word"))
+    others = verified.select("kind", "form", "other_form", F.explode("other_slips").alias("word"))
+    slipped = own.select("kind", "form", "word").unionByName(others.select("kind", F.col("other_form").alias("form"), "word")).distinct()
+    held = stars.select("kind", "form", F.explode("words").alias("word"))
+    standing = held.join(slipped, ["kind", "form", "word"], "left_anti").select("kind", "word").distinct()
+    pair = ["kind", "form", "other_form"]
+    two = own.join(standing, ["kind", "word"], "left_semi").select(pair).join(others.join(standing, ["kind", "word"], "left_semi").select(pair), pair, "left_semi")
+    kept = verified.join(two, pair, "left_anti")
+    joined, path = scratch.keep(kept.groupBy("kind", "form").agg(F.max_by("other_form", F.struct("score", "other_rank")).alias("to")))
     # A star that was joined may itself have joined another.  Ranks rise along such a chain, so it ends, and each
     # round doubles the steps.
     while True:
-        step = joined.select("kind", F.col("name").alias("to"), F.col("to").alias("further"))
-        followed, followed_path = scratch.keep(joined.join(step, ["kind", "to"], "left").select("kind", "name", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        step = joined.select("kind", F.col("form").alias("to"), F.col("to").alias("further"))
+        followed, followed_path = scratch.keep(joined.join(step, ["kind", "to"], "left").select("kind", "form", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         scratch.drop(path)
-        joined, path = followed.select("kind", "name", "to"), followed_path
+        joined, path = followed.select("kind", "form", "to"), followed_path
         if followed.where("moved").isEmpty():
             break
-    return members.join(joined.withColumnRenamed("name", "centre"), ["kind", "centre"], "left").select("kind", "name", F.coalesce("to", "centre").alias("centre"))
+    last = members.join(joined.withColumnRenamed("form", "centre"), ["kind", "centre"], "left").select("kind", "form", F.coalesce("to", "centre").alias("last"))
+    named = last.join(stars.select("kind", F.col("form").alias("last"), F.col("top").alias("centre")), ["kind", "last"]).select("kind", "form", "centre")
+    return parsed.select("kind", "name", "form").join(named, ["kind", "form"]).select("kind", "name", "centre")
 
 
 def variant_pairs(found: DataFrame) -> DataFrame:
     """``name_kind``, ``name_a``, ``name_b``: all pairs of spellings of one entity, ``name_a`` < ``name_b``."""
-    a = found.select("kind", "centre", F.col("name").alias("name_a"))
-    b = found.select("kind", "centre", F.col("name").alias("name_b"))
-    return a.join(b, ["kind", "centre"]).where("name_a < name_b").select(F.col("kind").alias("name_kind"), "name_a", "name_b")
+    pairs = _met(found.select("kind", "centre", "name"), ["kind", "centre"], "name", "name < other_name")
+    return pairs.select(F.col("kind").alias("name_kind"), F.col("name").alias("name_a"), F.col("other_name").alias("name_b"))
