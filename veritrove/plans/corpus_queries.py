@@ -21,7 +21,7 @@ def _form(column: str):
 def corpus_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Records, fraud share and years by category and source, with totals."""
     df = table(spark, folder, "paper_records").select(_form("category").alias("category"), _form("source_db").alias("source_db"), "is_fraud", "year", "paper_id")
-    df = df.where("category is not null and source_db is not null")
+    # Records without category or source are rows of their own; ``level`` tells them from totals.
     return df.rollup("category", "source_db").agg(F.count("*").alias("n_records"), F.count_distinct("paper_id").alias("n_papers"), F.sum(F.col("is_fraud").cast("bigint")).alias("n_fraud"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.grouping_id().alias("level"))
 
 
@@ -81,16 +81,17 @@ def figure_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FORM = "upper(regexp_replace(trim({0}), '[ \\-]+', '_', 'g'))"
-_BITS = " + ".join(f"(CASE WHEN embedding[{k + 1}] > 0 THEN (1::BIGINT << {k}) ELSE 0 END)" for k in range(32))
+_BITS = " + ".join(f"(CASE WHEN embedding[{k + 1}] > 0 THEN {2**k}::UBIGINT ELSE 0::UBIGINT END)" for k in range(64))
 QUERIES = {f.__name__: f for f in (corpus_profile, category_targets, fraud_taxonomy_profile, score_summary, parsed_titles, cited_author_top, citation_lag, analyzer_status, figure_duplicates)}
 _STRIP = lambda x: rf"regexp_replace({x}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g')"
 SQL = {
     "parsed_titles": f"SELECT parsed_id, CASE WHEN coalesce(title, '') <> '' THEN {_STRIP('title')} ELSE coalesce(list_filter(list_transform(string_split(coalesce(full_text, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: len(x) > 10)[1], 'Unknown Title') END AS title, len(regexp_extract_all(coalesce(full_text, ''), '[^{BLANKS}]+'))::INT AS n_words, metadata.filename AS filename, figure_count FROM parsed_papers",
-    "corpus_profile": f"SELECT category, source_db, count(*) AS n_records, count(DISTINCT paper_id) AS n_papers, sum(is_fraud)::BIGINT AS n_fraud, min(year) AS first_year, max(year) AS last_year, grouping(category, source_db)::BIGINT AS level FROM (SELECT {_FORM.format('category')} AS category, {_FORM.format('source_db')} AS source_db, is_fraud, year, paper_id FROM paper_records WHERE category IS NOT NULL AND source_db IS NOT NULL) GROUP BY ROLLUP (category, source_db)",
+    "corpus_profile": f"SELECT category, source_db, count(*) AS n_records, count(DISTINCT paper_id) AS n_papers, sum(is_fraud)::BIGINT AS n_fraud, min(year) AS first_year, max(year) AS last_year, grouping(category, source_db)::BIGINT AS level FROM (SELECT {_FORM.format('category')} AS category, {_FORM.format('source_db')} AS source_db, is_fraud, year, paper_id FROM paper_records) GROUP BY ROLLUP (category, source_db)",
     "category_targets": f"SELECT t.category, t.target, coalesce(n, 0) AS n_papers, t.target - coalesce(n, 0) AS missing FROM (VALUES ('CONFIRMED_FRAUD', 300), ('SUSPECTED_FRAUD', 200), ('BORDERLINE', 150), ('CLEAN', 250), ('BASELINE_ELITE', 100)) t(category, target) LEFT JOIN (SELECT {_FORM.format('category')} AS category, count(DISTINCT paper_id) AS n FROM paper_records GROUP BY 1) h USING (category)",
     "fraud_taxonomy_profile": "WITH v AS (SELECT record_id, unnest(regexp_extract_all(upper(fraud_types), '[A-Z]+-[0-9]+')) AS code FROM paper_records) SELECT t.code, t.description, count(v.code) AS n_values, count(DISTINCT v.record_id) AS n_records FROM fraud_taxonomy t LEFT JOIN v ON v.code = t.code GROUP BY ALL",
     "score_summary": "SELECT dimension, count(*) AS n, min(score) AS least, max(score) AS most, count(*) FILTER (score >= 0.7::DOUBLE) AS n_critical FROM (UNPIVOT paper_records ON " + ", ".join(SCORES) + " INTO NAME dimension VALUE score) GROUP BY dimension",
     "cited_author_top": "SELECT * FROM (SELECT paper_id, cited_author, count(*) AS cites, row_number() OVER (PARTITION BY paper_id ORDER BY count(*) DESC, cited_author)::INT AS place FROM citation_edges WHERE paper_id IS NOT NULL AND cited_author IS NOT NULL GROUP BY paper_id, cited_author) WHERE place <= 3",
     "citation_lag": "SELECT year(seen_at)::INT AS seen_year, count(*) AS n_edges, count(DISTINCT cited_doi) AS n_works, sum(year(seen_at) - cited_year)::BIGINT AS sum_age FROM citation_edges WHERE cited_year BETWEEN 1900 AND year(seen_at) GROUP BY 1",
+    "analyzer_status": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', 'text')" for n in ("statistics", "methodology", "citations", "reproducibility", "novelty", "grim", "sprite", "granularity", "pcurve", "effect_size", "retraction", "cartel", "llm")) + ", ('figures', 'pixels')) t(name, kind)",
     "figure_duplicates": f"WITH h AS (SELECT label::BIGINT AS doc_id, vec_id AS i, {_BITS} AS h FROM embeddings) SELECT x.doc_id, x.i AS a, y.i AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.i < y.i WHERE bit_count(xor(x.h, y.h)) <= 8",
 }

@@ -120,7 +120,8 @@ def routed_integrity_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _r(value: str, digits: int) -> str:
-    return f"floor(({value}) * {10**digits}.0 + 0.5) / {10**digits}.0"
+    """printf rounds the binary number itself, exact ties to the even digit."""
+    return f"CAST(printf('%.{digits}f', ({value})::DOUBLE) AS DOUBLE)"
 
 
 def _q(text: str) -> str:
@@ -298,7 +299,7 @@ _SQL_MORE = {
     "section_map": f"WITH RECURSIVE {_SECTION_CTES} SELECT doc_id, no::INT AS section_no, name, pos::INT AS start_at, len({_STRIP('substr(text, (pos + 1)::BIGINT, (coalesce(next, len(text)) - pos)::BIGINT)')})::INT AS n_chars FROM sections JOIN d USING (doc_id)",
     "truncated_text": f"WITH {_D} SELECT doc_id, md5(CASE WHEN len(text) <= 8000 THEN text WHEN instr(low, 'method') > 1 AND instr(low, 'method') - 1 < len(text) - 1000 THEN substr(text, 1, 3000) || ' [...] ' || substr(text, instr(low, 'method'), 4000) ELSE substr(text, 1, 8000) END) AS digest FROM d",
     "cartel_network": f"WITH {_D}, u AS (SELECT doc_id, unnest({_CITED}) AS author FROM d), e AS (SELECT doc_id, author, count(*) AS cites FROM u GROUP BY ALL) SELECT doc_id, author, cites, cites::DOUBLE / sum(cites) OVER w AS share, cites >= sum(cites) OVER w * 2.0 / count(*) OVER w AS repeated, cites = max(cites) OVER w AS top FROM e WINDOW w AS (PARTITION BY doc_id)",
-    "retraction_hits": f"WITH {_D}, x AS {_DISTINCT_DOIS}, c AS (SELECT DISTINCT doc_id, regexp_replace(lower(doi), '\\.+$', '') AS doi FROM x) SELECT doc_id, c.doi, r.reason, r.year AS retracted_year FROM c JOIN retractions r ON regexp_replace(lower(r.doi), '\\.+$', '') = c.doi",
+    "retraction_hits": f"WITH {_D}, x AS {_DISTINCT_DOIS.split(' QUALIFY')[0]}), c AS (SELECT DISTINCT doc_id, regexp_replace(lower(doi), '\\.+$', '') AS doi FROM x) SELECT doc_id, c.doi, r.reason, r.year AS retracted_year FROM c JOIN retractions r ON regexp_replace(lower(r.doi), '\\.+$', '') = c.doi",
     "retracted_edges": "WITH k AS (SELECT DISTINCT regexp_replace(lower(trim(doi)), '\\.+$', '') AS key FROM retractions) SELECT paper_id, count(*) AS n_edges, count(DISTINCT regexp_replace(lower(trim(cited_doi)), '\\.+$', '')) AS n_works, min(seen_at) AS first_seen FROM citation_edges WHERE paper_id IS NOT NULL AND regexp_replace(lower(trim(cited_doi)), '\\.+$', '') IN (SELECT key FROM k) GROUP BY paper_id",
 }
 

@@ -35,10 +35,9 @@ def flag_counts(stream: DataFrame, name: str, time_col: str, window: str = "7 da
     A replayed paper (same id and time) counts once: duplicates are dropped within the watermark.
     """
     timed = stream.withColumn("_at", F.col(time_col).cast("timestamp")).where("_at is not null")
-    timed = timed.withWatermark("_at", late).dropDuplicatesWithinWatermark(["doc_id"])
-    text = papers(timed, **columns)
+    timed = timed.withWatermark("_at", late).dropDuplicatesWithinWatermark(["doc_id", "_at"])
     # the time goes along with the id through the analyzer
-    carried = text.withColumn("id", F.struct("id", "_at")) if "_at" in text.columns else papers(timed.withColumn("_key", F.struct(F.col("doc_id"), F.col("_at"))), "_key", **columns)
+    carried = papers(timed.withColumn("_key", F.struct(F.col("doc_id"), F.col("_at"))), "_key", **columns)
     report = ANALYZERS[name](carried).select(F.col("id._at").alias("_at"), F.size("flags").alias("n"), "risk_level")
     return report.groupBy(F.window("_at", window), "risk_level").agg(F.count("*").alias("n_papers"), F.sum("n").alias("n_flags"))
 
@@ -50,3 +49,25 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{scratch.root}/out").option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{scratch.root}/out")
+
+
+def run_updates(stream: DataFrame, key: str, label: str) -> DataFrame:
+    """Run a stream of aggregates over what is there now, and give the last state of every ``key``.
+
+    The stream hands over what has changed in each batch, so windows that are still open are there as well, and
+    state behind the watermark is dropped as usual.  A batch that is run again replaces what it wrote before.
+    """
+    spark = stream.sparkSession
+    scratch = Scratch(spark, label)
+    shape = stream.schema.add("_batch", "bigint")
+    spark.createDataFrame([], shape).write.parquet(f"{scratch.root}/out/none")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{scratch.root}/out/{number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(f"{scratch.root}/out")
+    columns = [c for c in stream.columns if c != key]
+    last = written.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("last"))
+    return last.select(key, *(f"last.{c}" for c in columns)).select(*stream.columns)
