@@ -358,7 +358,7 @@ def brute_held(item, doc):
     return int(best[-1, -1]), len(a)
 
 
-def test_leaks_against_brute_force():
+def test_leaks_against_brute_force(monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(30)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40)))) for k in range(30)]
@@ -371,7 +371,15 @@ def test_leaks_against_brute_force():
             parts += [" ".join(words[low : low + rng.randrange(4, 30)]), "zz"]
         docs.append(" ".join(parts))
     q = leak.Queries(items)
-    got = {(k, q.ids[i]): held for k, i, held, *_ in leak.search(q, docs)}
+    monkeypatch.setattr(leak, "SHARD", 150)
+    monkeypatch.setattr(leak, "STEP", 40)
+    shards = list(leak._shards(enumerate(docs)))
+    often = np.zeros(len(q.vocabulary) + 1, np.int64)
+    for s in shards:
+        for t, n in zip(s.terms, np.diff(s.ends, prepend=0), strict=True):
+            often[q.vocabulary.get(t, 0)] += n
+    assert len(shards) > 3
+    got = {(s.ids[k], q.ids[i]): held for s in shards for k, i, held, *_ in leak.search(q, s, often)}
     for k, doc in enumerate(docs):
         for i, item in items:
             held, size = brute_held(item, doc)
@@ -380,6 +388,27 @@ def test_leaks_against_brute_force():
                 assert got[k, i] == held
 
 
+def test_leaks_in_blocks_and_shards(spark, monkeypatch):
+    """Blocks of items and sizes of shards change nothing, and new items ask the stored index."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(12))) for k in range(40)]
+    docs = [(k, " ".join([rng.choice(items)[1], "zz", " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(9)))])) for k in range(80)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in leak.leaks(d, i).collect()}
+    monkeypatch.setattr(leak, "BLOCK", 10)
+    index, counts = leak.build_index(d)
+    assert {tuple(r) for r in leak.matches(index, counts, i).collect()} == whole and len(whole) >= 80
+    assert {tuple(r) for r in leak.matches(index, counts, i.where("item_id < 3")).collect()} == {r for r in whole if r[1] < 3}
+    assert {r.term: r.n for r in counts.collect()}["zz"] == 80
+
+
+@pytest.mark.parametrize("tag", ["<b>", "<a href='" + "x" * 230 + "'>", "<!--" + " y" * 500 + "-->"])
+def test_markup_of_any_length(tag):
+    assert leak.words(f"one {tag}two</a> three") == ["one", "two", "three"]
+    assert leak.words("<!-- " * 50_000 + "a") and leak.words("<a" * 200_000)
+
+
 def test_leaks_operator(spark):
     item = "Seven grey ferrymen weighed nine jars of amber salt before the noon bell rang twice over Halden"
     docs = [(1, f"x y\n> {item.upper()}!"), (2, "<b>Seven</b> grey&nbsp;ferry-\nmen weighed, nine jars of amber salt then"), (3, "Seven grey ferrymen weighed nine"), (4, None), (5, ""), (6, f"x y\n> {item.upper()}!")]
