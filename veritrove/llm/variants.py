@@ -122,6 +122,12 @@ def is_given(token: str) -> bool:
     return any(n[0] == token[0] and len(n) > 3 and one_slip(n, token) for n in near)
 
 
+@lru_cache(maxsize=100_000)
+def _shortened(word: str) -> frozenset[str]:
+    """What is left of a word, and of its beginning, without one letter."""
+    return frozenset({word[:k] + word[k + 1 :] for k in range(len(word))} | {word})
+
+
 class Name:
     """A string as it is compared: ``key`` (equal for equal sketches), ``words``, ``given``, ``initials``, ``full``, ``form``."""
 
@@ -257,6 +263,17 @@ def similarity(a: Name, b: Name) -> float:
     return (words * len(a.words) + given) / (len(a.words) + 1) if words and given else 0.0
 
 
+def _may(a: Name, b: Name) -> bool:
+    """Whether names of the two keys can be variants: every word of a person, every beginning of a title's words, has a counterpart a slip away."""
+    if a.person != b.person or len(a.words) != len(b.words):
+        return False
+    if a.person:
+        return _one_way(a.words, b.words, False) > 0 and _one_way(b.words, a.words, False) > 0
+    x, y = ([w[:3] for w in n.words] for n in (a, b))
+    near = lambda p, q: p == q or p.startswith(q) or q.startswith(p) or not _shortened(p).isdisjoint(_shortened(q))
+    return all(any(near(p, q) for q in y) for p in x) and all(any(near(p, q) for p in x) for q in y)
+
+
 def _shingle_hashes(grams: list[str], seeds: np.ndarray) -> np.ndarray:
     x = np.array([zlib.crc32(g.encode()) for g in grams], np.uint64)
     mixed = (x[:, None] * seeds[0] + seeds[1]) % np.uint64(4_294_967_311)
@@ -329,14 +346,17 @@ def _banded(keys: DataFrame) -> DataFrame:
 def _met(rows: DataFrame, by: list[str], member: str, condition: str) -> DataFrame:
     """``rows`` with themselves on ``by`` (the second time as ``other_...``) where ``condition`` holds.
 
-    Groups of more than ``SPLIT`` rows are split: the one side is spread over parts, the other goes to all of them.
+    Rows that are alone go first.  Groups of more than ``SPLIT`` rows are split: the one side is spread over parts, the
+    other goes to all of them.
     """
-    other = [c for c in rows.columns if c not in by]
-    parts = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > SPLIT).select(*by, F.ceil(F.col("_n") / SPLIT).cast("int").alias("_parts"))
-    sized = rows.join(parts, by, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    one = sized.withColumn("_part", F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")).drop("_parts")
-    two = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnsRenamed({c: f"other_{c}" for c in other})
-    return one.join(two, [*by, "_part"]).where(condition).drop("_part")
+    renamed = {c: f"other_{c}" for c in rows.columns if c not in by}
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
+    few = rows.join(sizes.where(F.col("_n") <= SPLIT), by, "left_semi")
+    many = rows.join(sizes.where(F.col("_n") > SPLIT), by).withColumn("_parts", F.ceil(F.col("_n") / SPLIT).cast("int")).drop("_n")
+    one = many.withColumn("_part", F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")).drop("_parts")
+    two = many.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnsRenamed(renamed)
+    met = few.join(few.withColumnsRenamed(renamed), by).where(condition)
+    return met.unionByName(one.join(two, [*by, "_part"]).where(condition).drop("_part"))
 
 
 def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -396,9 +416,14 @@ def clusters(strings: DataFrame, label: str = "variants") -> DataFrame:
     # Between keys that share a bucket.
     keys = stars.groupBy("kind", "key").agg(F.max_by("top", "rank").alias("top"), F.max_by("form", "rank").alias("head"))
     keys, _ = scratch.keep(keys)
-    met = _met(_banded(keys.select("kind", "key", "top")), ["kind", "band"], "key", "key <> other_key").select("kind", "key", "top", "other_key", "other_top").distinct()
-    alike = lambda a, b: a.person == b.person and len(a.words) == len(b.words) and _one_way(a.words, b.words, not a.person) > 0 and _one_way(b.words, a.words, not a.person) > 0
-    may = lambda c: [pa.array([k == "journal" or not (x := read_name(k, a)).person or alike(x, read_name(k, b)) for k, a, b in zip(c["kind"], c["top"], c["other_top"], strict=True)], pa.bool_())]
+    # Bands hold numbers of keys only; two keys of one number would be compared with what either meets.
+    numbered = keys.select("kind", "key", "top", F.xxhash64("kind", "key").alias("number"))
+    bands, _ = scratch.keep(_banded(numbered).select("band", "number"))
+    shared = _met(bands, ["band"], "number", "number < other_number").select("number", "other_number").distinct()
+    named = numbered.withColumnsRenamed({"kind": "other_kind", "key": "other_key", "top": "other_top", "number": "other_number"})
+    both = shared.join(numbered, "number").join(named, "other_number").where("kind = other_kind").select("kind", "key", "top", "other_key", "other_top")
+    met = both.unionByName(both.select("kind", F.col("other_key").alias("key"), F.col("other_top").alias("top"), F.col("key").alias("other_key"), F.col("top").alias("other_top")))
+    may = lambda c: [pa.array([_may(read_name(k, a), read_name(k, b)) for k, a, b in zip(c["kind"], c["top"], c["other_top"], strict=True)], pa.bool_())]
     met, _ = scratch.keep(_with(met, "may boolean", may).where("may").select("kind", "key", "other_key"))
     shape = ["kind", "key", "form", "top", "rank"]
     # A star without given name meets the star of highest rank of the other key, by an empty probe.
