@@ -439,10 +439,59 @@ def test_pii_held_out():
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
 
 
+UNSEEN_GIVEN = "Aoife Kwame Brian Kevin Joshua Amanda Linh Ioana Siobhan Chinedu Rohan Deepak Yuto Sakura Mateus Thiago Agnieszka Wojciech Ayse Mehtap Ngozi Tendai Sean Ashley Tyler Brandon Madison Zsofia Laszlo Petra Radek Lwazi Sipho Hoang Thuy Nikos Eleni Sigurd".split()
+UNSEEN_FAMILY = "Hallorsen Okonkwo Murphy Nguyen Popescu Whitfield Tanaka Ferreira Kowalczyk Yilmaz Dlamini Papadakis Sigurdsson Novotny Szabo Mehta".split()
+UNSEEN_FRAMES = ["We thank Dr. {} for help with the assay.", "Correspondence to {}, Department of Soil.", "Participant {} dropped out in week two.", "Questions go to {} (x@lab.example).", "The interview with {} took an hour.", "Prof. {} chaired the panel.", "Volunteer {} came back.", "Acknowledgements\n\nThe authors thank {} for samples."]
+NO_NAMES = [
+    "The samples came from Lake Victoria and Mount Kenya.", "Statistical Analysis Plan\n\nThe Data Safety Board met twice.", "According to World Bank figures, Sierra Leone grew.", "The Beck Depression Inventory and the Likert Scale were used.", "In Northern Ireland and South Korea rates fell.", "Red Cross volunteers met.",
+    "Im Mittel sank die Dichte.", "Nach Istuley (2007) und Selon Corendi (2009) steigt sie.", "Introduction\nThe Milky Way is old.", "Results of the Black Sea Survey were kept.",
+]
+
+
+def test_pii_names_never_seen():
+    """Names and frames that neither lexicon nor training holds."""
+    from veritrove.llm.pii import FRAMES, GIVEN
+
+    assert not {g.lower() for g in UNSEEN_GIVEN} & GIVEN and not set(UNSEEN_FRAMES) & set(FRAMES)
+    rng = random.Random(3)
+    texts, want = [], set()
+    for frame in UNSEEN_FRAMES:
+        for given in UNSEEN_GIVEN:
+            name = f"{given} {rng.choice(UNSEEN_FAMILY)}"
+            texts.append(frame.format(name))
+            want.add((len(texts) - 1, texts[-1].index(name), texts[-1].index(name) + len(name), 0))
+    texts += NO_NAMES
+    got = {g for g in pii.find(texts, pii.model()) if g[3] == 0}
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Dr " * 60_000 + "Ana Roe", "Ana Roe " * 30_000, "A. " * 60_000, "@" * 100_000, "a@" * 60_000, "x" * 500_000 + "@lab.example", "dot at " * 40_000, "1 Mill Road, " * 10_000, "1" * 200_000, "1 2" * 60_000, "(" * 100_000 + "Ana, Roe, " * 10_000, "DE89 3704 " * 20_000, "<" * 100_000],
+)
+def test_no_text_stops_pii(text):
+    pii.find([text], pii.model())
+
+
+def test_pii_of_any_length():
+    local, domain, street = "a" * 300, ".".join(["lab"] * 80) + ".example", " ".join(["Mill"] * 3)
+    for body, kind in ((f"{local}@{domain}", 1), (f"12 {street} Road, Harrow 00123", 4)):
+        text = f"Write to {body}, please."
+        assert (0, 9, 9 + len(body), kind) in pii.find([text], pii.model())
+    name = "Ana " + "Roe" * 40
+    assert (0, 9, 9 + len(name), 0) in pii.find([f"We thank {name} for help."], pii.model())
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
         (None, []),
+        ("Tel. 06-12345678 or passport number 123456789.", [("phone", "06-12345678"), ("id_number", "123456789")]),
+        ("He lives at Via Roma 12, 00184 Roma; IBAN DE89 3704 0044 0532 0130 00.", [("address", "Via Roma 12, 00184 Roma")]),
+        ("Write to john Dot doe at example Dot com now.", [("email", "john Dot doe at example Dot com")]),
+        ("We thank Fatima Zahra Benali for help.", [("name", "Fatima Zahra Benali")]),
+        ("連絡先：田中太郎、a@b.jp", [("name", "田中太郎"), ("email", "a@b.jp")]),
+        ("Благодарим Ивана Петрова за помощь", [("name", "Ивана Петрова")]),
         ("Nothing here, Roe et al. (2019) and Dr. Roe.", []),
         ("Contact ana.roe@lab.example.org or call +1-202-555-0124 ext. 45.", [("email", "ana.roe@lab.example.org"), ("phone", "+1-202-555-0124 ext. 45")]),
         ("Contact ana_r [at] lab [dot] example [dot] org or aroe at lab dot example.", [("email", "ana_r [at] lab [dot] example [dot] org"), ("email", "aroe at lab dot example")]),
