@@ -55,7 +55,7 @@ _FAMILY = _PART + _CAP
 _AFTER_GIVEN = re.compile(rf"(?:\s+[{_UP}]\.)*\s+({_FAMILY})(?![\w@])")
 _CAPITAL = re.compile(rf"(?<![\w'’@./-])[{_UP}](?:\.|(?:[^\W\d_]|(?<=[ÃÄÅ])[\x80-\xbf¡-¿]|['’-](?=[^\W\d_]))+)")
 _INNER_DOT = re.compile(r"(?:^|[^\w])[a-zà-ÿ]\.\s*$")
-_AT = re.compile(r"[@＠]|[(\[{]\s?at\s?[)\]}]", re.I)
+_AT = re.compile(r"[@＠]|[(\[{]\s?[aA][tT]\s?[)\]}]")
 _AT_WORD = re.compile(r"(?<=\s)at(?=\s)|[(\[]at[)\]]", re.I)
 _DOT = re.compile(r"\sdot\s", re.I)
 #: What phone and id numbers hold: seven digits or more, a country code, or a form with letters.
@@ -105,8 +105,9 @@ _IDS = [
     re.compile(rf"(?<![\w+./-])(?:\d{{8}}|\d\d\.\d{{3}}\.\d{{3}}|[XYZ]-?\d{{7}})[-\s]?[A-Z]{_END}"),
     re.compile(rf"(?<![\w+./-])[A-Z]{{2}}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]{_END}"),
 ]
-#: Numbers without a form of their own, named by what is right before them.
-_NAMED_ID = re.compile(rf"(?i:\b(?:passport|passeport|pasaporte|reisepass(?:nummer)?|identity card|id card|personalausweis|driving licence|driver'?s license|insurance|social security|patient|medical record|tax)(?:\s+(?:number|no\.?|nr\.?|num[ée]ro|n[°º]|id))?\s*[:#]?\s+)([A-Z]{{0,2}}\d{{6,9}}){_END}")
+#: Labels of numbers without a form of their own, and such a number.
+_ID_LABEL = re.compile(r"(?<![^\W_])(?:passport|passeport|pasaporte|reisepass(?:nummer)?|identity card|id card|personalausweis|driving licence|driver'?s license|insurance|social security|patient|medical record|tax)(?:\s+(?:number|no\.?|nr\.?|num[ée]ro|n[°º]|id))?\s*[:#]?\s+[A-Z]{0,2}$", re.I)
+_NAMED_ID = re.compile(rf"[A-Z]{{0,2}}\d{{7,9}}{_END}")
 _TOWN = rf"{_CAP}(?:[\s-]{_CAP}(?=[\s,.;]))?"
 _POST = r"(?:\s+\d{4,5}(?:-\d{4})?(?!\w)|\s+[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b)?"
 _STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Yard|Court|Ct|Square|Sq|Place|Pl|Way|Close|Terrace|Boulevard|Blvd|Row|Gardens|Crescent|Mews|Walk|Quay|STREET|ROAD|AVENUE|LANE|DRIVE|YARD)"
@@ -149,6 +150,8 @@ _PLAIN = str.maketrans("áàâäãåéèêëíìîïóòôöõøúùûüñçýŠ
 
 
 def _plain(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     if "Ã" in word or "Ä" in word or "Å" in word:  # letters decoded the wrong way
         try:
             word = word.encode("cp1252").decode("utf-8")
@@ -192,7 +195,8 @@ def _names(text: str, out: list[tuple[int, int, int, int]]) -> None:
             continue
         word = m.group()
         if word.lower() not in GIVEN and (word.isascii() and "-" not in word or _plain(word) not in GIVEN and ("-" not in word or _plain(word).split("-")[0] not in GIVEN)):
-            if a >= done and not _CUE["name"].fullmatch(word) and (len(word) > 2 or word[1:].islower()) and not word.isupper() and _plain(word) not in _NOT_FAMILY:
+            following = text[b : b + 1]
+            if (following == "," or following.isspace()) and a >= done and not word.isupper() and _plain(word) not in _NOT_FAMILY and (len(word) > 2 or word[1:].islower()):
                 done = max(done, _unknown(text, a, b, out))
             continue
         if (after := _AFTER_GIVEN.match(text, b)) and _plain(after.group(1)) not in _NOT_FAMILY and (_plain(after.group(1)) not in GIVEN or not _AFTER_GIVEN.match(text, after.end())):
@@ -228,11 +232,17 @@ def _longer(text: str, a: int, b: int, out: list[tuple[int, int, int, int]]) ->
 
 def _unknown(text: str, a: int, b: int, out: list[tuple[int, int, int, int]]) -> int:
     """Names that begin with a word no lexicon knows; gives the end of what was proposed."""
-    if (gap := _WITHIN.match(text, b)) and not ("\n" in gap.group() and not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t#*.0123456789")) and (end := _family_at(text, gap.end())) > 0:
-        out.append((a, end, 0, 5))
-        _longer(text, a, end, out)
-        return end
-    if (gap := _COMMA.match(text, b)) and "\n" not in gap.group() and (end := _family_at(text, gap.end())) > 0:
+    if text[b] != ",":
+        gap = _WITHIN.match(text, b)
+        if gap and (end := _family_at(text, gap.end())) > 0 and not _CUE["name"].fullmatch(text, a, b):
+            if "\n" in gap.group() and not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t#*.0123456789"):
+                return -1  # a heading and the line below it
+            out.append((a, end, 0, 5))
+            _longer(text, a, end, out)
+            return end
+        return -1
+    gap = _COMMA.match(text, b)
+    if gap and "\n" not in gap.group() and (end := _family_at(text, gap.end())) > 0 and not _CUE["name"].fullmatch(text, a, b):
         initials = _MORE_INITIALS.match(text, end)
         out.append((_begin(text, a), initials.end() if initials else end, 0, 6))
     return -1
@@ -309,9 +319,10 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """
     out: set[tuple[int, int, int, int]] = set()
     size = len(text)
-    if "@" in text or "＠" in text or _AT.search(text):
+    low = text.lower()
+    if "@" in text or "＠" in text or any(sign in low for sign in ("at)", "at ]", "at]", "at )", "at}", "at }")):
         _mail(text, _AT.finditer(text), _EMAIL, 0, out)
-    if _DOT.search(text):
+    if "dot" in low and _DOT.search(text):
         _mail(text, _AT_WORD.finditer(text), _EMAIL_SPELT, 1, out)
     # An anchor holds all digits of a number but those of an extension; the rest is a few signs on each side.
     if runs := [(m.start(), _EXTENSION.match(text, m.end()).end()) for m in _DIGITS.finditer(text)]:
@@ -320,9 +331,13 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
             _near(pattern, text, near, 2, form, out)
         for form, pattern in enumerate(_IDS):
             _near(pattern, text, near, 3, form, out)
-        accounts = [m.span() for m in _ACCOUNT.finditer(text)]
-        out = {c for c in out if c[2] not in (2, 3) or not any(x <= c[0] and c[1] <= y for x, y in accounts)} if accounts else out
-    out |= {(*m.span(1), 3, len(_IDS)) for m in _NAMED_ID.finditer(text)}
+        for a, _ in runs:
+            if label := _ID_LABEL.search(text[max(0, a - 80) : a]):
+                begin = a - len(label.group()) + len(label.group().rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                if number := _NAMED_ID.match(text, begin):
+                    out.add((*number.span(), 3, len(_IDS)))
+        if any(c[2] in (2, 3) for c in out) and (accounts := [m.span() for m in _ACCOUNT.finditer(text)]):
+            out = {c for c in out if c[2] not in (2, 3) or not any(x <= c[0] and c[1] <= y for x, y in accounts)}
     if found := [m.span() for m in _STREETS.finditer(text)]:
         _near(_ADDRESSES[0], text, _paragraphs(text, found), 4, 0, out)
     if found := [m.span() for m in _POSTCODE.finditer(text)]:
@@ -350,8 +365,8 @@ def _checked(text: str, kind: int, form: int) -> int:
     return -1
 
 
-def features(text: str, span: tuple[int, int, int, int], lower: frozenset[str]) -> list[float]:
-    """Format and context of a span; ``lower`` are the text's ``lower_words``."""
+def features(text: str, span: tuple[int, int, int, int]) -> list[float]:
+    """Format and context of a span."""
     a, b, kind, form = span
     body = text[a:b]
     before = text[max(0, a - 48) : a]
@@ -390,7 +405,7 @@ def features(text: str, span: tuple[int, int, int, int], lower: frozenset[str])
         1.0 if re.search(r"(?:dr|prof|mr|mrs|ms|mme|sr|sra|herr|frau|проф)\.?\s+$", before, re.I) else 0.0,
         1.0 if re.search(r"(?:^|[.!?]\s+)$", before) else 0.0,
         1.0 if re.search(r"(?i)\bthe\W+(?:\w\W+)*$|<i>the</i>\s*$", before) else 0.0,
-        *(_name_features(text, a, b, before, after, lower) if kind == 0 else (0.0,) * 8),
+        *(_name_features(text, a, b, before, after) if kind == 0 else (0.0,) * 8),
     ]
 
 
@@ -399,12 +414,14 @@ _LINKED = re.compile(rf"(?<![^\W_])(?>(?:(?:with|by|to|for|from|and|was|were|is|
 _CUE_END = re.compile(rf"(?<![\w])(?:{_CUES['name']})[\s,:(]*$", re.I)
 _CAPITAL_BEFORE = re.compile(rf"(?<![^\W_])[{_UP}]\w*[^\S\n]+$")
 _PLACED = re.compile(r"(?<![^\W_])(?:in|at|from|near|of|across|around|inside|outside|through|via|aus|in|im|bei|en|à|dans|desde|cerca de|unlike|nach|selon|según|according to)\s+(?:the\s+)?$", re.I)
-_LOWER = re.compile(r"(?<![^\W_])[^\W\d_A-ZÀ-Þ][^\W\d_]+")
-
-
-def lower_words(text: str) -> frozenset[str]:
-    """The words of a text that stand in lower case somewhere."""
-    return frozenset(w for w in _LOWER.findall(text) if w.islower())
+def _stands(text: str, word: str) -> bool:
+    """Whether a word in lower case stands in the text."""
+    at = text.find(word)
+    while at >= 0:
+        if not (at and text[at - 1].isalnum()) and not text[at + len(word) : at + len(word) + 1].isalnum():
+            return True
+        at = text.find(word, at + 1)
+    return False
 
 
 def _cued(text: str, a: int) -> bool:
@@ -415,13 +432,13 @@ def _cued(text: str, a: int) -> bool:
     return bool(_CUE_END.search(before, 0, at)) or _CUE["name"].search(before, at) is not None
 
 
-def _name_features(text: str, a: int, b: int, before: str, after: str, lower: frozenset[str]) -> tuple[float, ...]:
+def _name_features(text: str, a: int, b: int, before: str, after: str) -> tuple[float, ...]:
     words = [w for w in re.findall(r"[^\W\d_]{2,}", text[a:b]) if not w.islower()]
     family = max((_plain(w) for w in words), key=len, default="")
     mail = text[b : b + 160].lower()
     return (
         float(sum(_plain(w) in GIVEN for w in words)),
-        float(sum(w.lower() in lower for w in words)),
+        float(sum(_stands(text, w.lower()) for w in words)),
         1.0 if len(family) > 3 and family in mail and ("@" in mail or "at" in mail) else 0.0,
         1.0 if re.match(rf"\s{{1,2}}[{_UP}]", after) else 0.0,
         float(len(words)),
@@ -526,9 +543,8 @@ def model(examples: int = EXAMPLES, seed: int = 29) -> tuple[object, tuple[float
     for _ in range(examples):
         text, spans = _made_up(rng)
         truth = set(spans)
-        lower = lower_words(text)
         for c in candidates(text):
-            rows.append(features(text, c, lower))
+            rows.append(features(text, c))
             answers.append((c[0], c[1], c[2]) in truth)
             kinds.append(c[2])
     x, y, kind = np.array(rows), np.array(answers, float), np.array(kinds)
@@ -555,11 +571,9 @@ def find(texts: list[str | None], trained: tuple[object, tuple[float, ...]]) ->
     spans, rows = [], []
     for k, text in enumerate(texts):
         if text:
-            proposed = candidates(text)
-            lower = lower_words(text) if any(c[2] == 0 for c in proposed) else frozenset()
-            for c in proposed:
+            for c in candidates(text):
                 spans.append((k, *c[:3]))
-                rows.append(features(text, c, lower))
+                rows.append(features(text, c))
     if not rows:
         return []
     p = trees.predict(np.array(rows))
