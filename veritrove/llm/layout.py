@@ -118,8 +118,11 @@ def _stitched(records: DataFrame, runs: bool, label: str) -> DataFrame:
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = records.where("key is not null").select(F.concat(F.col("tag").cast("string"), F.lit("\x1e"), "key").alias("key"), F.col("id").cast("bigint").alias("id"), F.col("tag").cast("int").alias("tag"))
+    # The keys are written first: a range partition reads its input twice, once for the bounds.
+    scratch = Scratch(spark, label)
+    keyed, _ = scratch.keep(keyed)
     ordered = keyed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-    scanned, _ = Scratch(spark, label).keep(ordered.mapInArrow(_scan(runs), _OUT))
+    scanned, _ = scratch.keep(ordered.mapInArrow(_scan(runs), _OUT))
     # One row for each partition, so as many as there are shuffle partitions.
     edges = sorted(scanned.where("edge_first is not null").select("pid", "edge_first", "edge_last", "last_first", "single").collect(), key=lambda e: e.pid)
     carried, last_key, last_first = [], None, None

@@ -75,11 +75,28 @@ def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign(table(spark, folder, "paper_records"), table(spark, folder, "split_targets"))
 
 
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of every split, and how far its share is from the target."""
+    targets = table(spark, folder, "split_targets")
+    return splits.report(splits.assign(table(spark, folder, "paper_records"), targets), targets)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, without special tokens."""
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document by whether their stretches of the text, put together, give the text again."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = tokens.encode(docs, "doc_id", "text", offsets=True)
+    body = F.coalesce("text", F.lit(""))
+    # A character split over several tokens is covered by each of them: a stretch counts from where the one before ended.
+    pieces = F.transform("ends", lambda e, i: F.substring(body, F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0)) + 1, F.greatest(F.lit(0), e - F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0)))))
+    joined = coded.join(docs, "doc_id").select("doc_id", (F.array_join(pieces, "") == body).alias("same"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("n_chars"))
+    return joined
+
+
 def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by whether decoding their ids gives the text again."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -144,8 +161,10 @@ QUERIES = {
     "p5_clusters": p5_clusters,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_report": p6_report,
     "p6_splits": p6_splits,
     "p7_ids": p7_ids,
+    "p7_offsets": p7_offsets,
     "p7_round_trip": p7_round_trip,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
@@ -157,5 +176,6 @@ SQL = {
     "p1_report": _P1 + "SELECT plan_id, stratum_field, stratum_value, available, needed, CAST(drawn AS BIGINT) AS drawn, drawn < needed AS short FROM r",
     "p2_found": _P2 + "SELECT table_name, first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p2_records": _P2 + "SELECT table_name, first_id, n AS n_copies FROM g WHERE id = first_id",
+    "p7_offsets": "SELECT doc_id, true AS same, len(coalesce(text, ''))::INT AS n_chars FROM documents",
     "p7_round_trip": "SELECT true AS same, count(*) AS n_docs FROM documents",
 }

@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slices of a stratum: the table of slice sizes has at most so many rows for each stratum.
-SLICES = 256
+from veritrove.sources.scratch import Scratch
+
+#: Rows of the input for each slice of a stratum.  The table of slice sizes has a row a stratum and slice.
+ROWS_A_SLICE = 50_000
 
 
 def stratum_form(value: Column) -> Column:
@@ -35,16 +37,17 @@ def stratum_form(value: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s_\-\x{2010}-\x{2015}]+", "_")
 
 
-def units(papers: DataFrame, fields: list[str], id_col: str = "paper_id", seed: int = 17) -> DataFrame:
+def units(papers: DataFrame, fields: list[str], slices: int, id_col: str = "paper_id", seed: int = 17) -> DataFrame:
     """Distinct (``field``, ``stratum``, ``unit``) of ``papers``, with ``slice`` and ``rand``.
 
-    Spread by stratum and slice before rows are made distinct, so that the ranks within a slice
-    need no further shuffle.
+    A slice is a stretch of the random numbers, so their order does not depend on how many slices there are.
+    Spread by stratum and slice before rows are made distinct, so that the ranks within a slice need no further shuffle.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), stratum_form(F.col(f)).alias("stratum")) for f in fields]).cast("array<struct<field:string,stratum:string>>"))
     rows = papers.select(F.col(id_col).alias("unit"), pairs.alias("s")).select("s.field", "s.stratum", "unit")
     rows = rows.where("unit is not null and stratum is not null and stratum <> ''")
-    rows = rows.withColumns({"slice": F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(SLICES)).cast("int"), "rand": F.xxhash64("unit", F.lit(seed + 1))})
+    rows = rows.withColumn("rand", F.xxhash64("unit", F.lit(seed + 1)))
+    rows = rows.withColumn("slice", F.least(F.floor((F.col("rand") / float(2**64) + 0.5) * slices), F.lit(slices - 1)).cast("int"))
     return rows.repartition("field", "stratum", "slice").distinct()
 
 
@@ -60,8 +63,9 @@ def draw(papers: DataFrame, plans: DataFrame, id_col: str = "paper_id", seed: in
     listed = plans.select("plan_id", "sample_n", "stratum_field", "stratum_value", "target_pct", "min_keep", stratum_form(F.col("stratum_value")).alias("stratum"))
     fields = sorted(r[0] for r in plans.select("stratum_field").distinct().collect() if r[0] in papers.columns)
     place = ["field", "stratum", "slice"]
-    placed = units(papers, fields, id_col, seed)
-    # At most SLICES rows a stratum; strata outside every plan are left out first.
+    slices = max(16, -(-papers.count() // ROWS_A_SLICE))
+    placed = units(papers, fields, slices, id_col, seed)
+    # A row a stratum and slice; strata outside every plan are left out first.
     wanted = listed.select(F.col("stratum_field").alias("field"), "stratum").distinct()
     counted = placed.groupBy(*place).agg(F.count("*").alias("n")).join(F.broadcast(wanted), ["field", "stratum"]).collect()
     total: dict[tuple, int] = {}
@@ -95,6 +99,8 @@ def draw(papers: DataFrame, plans: DataFrame, id_col: str = "paper_id", seed: in
     kept = F.filter("plans", lambda p: crossing(p) | (F.col("rank") <= p["floor"]))
     near = ranked.join(F.broadcast(by_stratum), ["field", "stratum"]).select("unit", "rank", F.explode(kept).alias("p"))
     near = near.select(F.col("p.plan_id").alias("plan_id"), F.col("p.stratum_value").alias("stratum_value"), "unit", "rank", crossing(F.col("p")).alias("crossed"))
+    # What is drawn or may repair, at most the sample and the floors: written, so that units are ranked once.
+    near, _ = Scratch(spark, "sample").keep(near)
     first = near.groupBy("plan_id", "stratum_value").agg(F.sum(F.col("crossed").cast("bigint")).alias("crossed"))
     need = design_df.join(F.broadcast(first), ["plan_id", "stratum_value"], "left").select("plan_id", "stratum_value", F.greatest(F.lit(0), F.col("floor") - F.coalesce("crossed", F.lit(0))).alias("missing"))
     # Candidates for repair are at most ``floor`` rows a stratum and plan.

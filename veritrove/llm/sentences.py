@@ -1,17 +1,17 @@
 """Sentence units of texts in any language or script, with their places (problem 4).
 
-Each paragraph is read once by a pushdown automaton.  Its stack holds the quotations and brackets
-that are open, so a terminator within one doesn't end the unit around it; a quotation or bracket that
+Each paragraph is read once by a pushdown automaton.  Its stack holds the levels of lists, quotations and
+brackets that are open, so a terminator within a quotation or bracket doesn't end the unit around it; one that
 never closes in its paragraph is left off the stack.  Where a terminator stands at the bottom level
 (or right before the sign that closes the last level), the automaton decides by what is before it,
 looked up in a trie of abbreviations read from the right, and by what comes next.  Thai, which has
-no terminators, is divided at blanks between its letters.  List items are levels of their own: an
-item that begins a line begins a unit.
+no terminators, is divided at blanks between its letters.  A list item that begins a line begins a unit; an item
+of another kind of label opens a level within the item before it, and one of a kind that is open closes the levels in between.
 
 Defined results: null, empty and blank texts give no rows.  Blank lines (also with blanks in them) and
-paragraph separators end a unit.  A short paragraph without a terminator at its end is a title or
-heading, one unit whatever it holds.  Offsets count code points, ends are exclusive; zero-width
-characters at either end of a unit count as blanks.
+paragraph separators end a unit.  A paragraph without a terminator at its end is a title or heading, one unit, if it is one
+clause or a question (or call) with what belongs to it; full stops within it divide it as any other, whatever its
+length.  Offsets count code points, ends are exclusive; zero-width characters at either end of a unit count as blanks.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest paragraph that can be a heading, in code points.
-HEADING = 240
-
 _TERMINATORS = ".!?…。！？।॥؟۔｡．"
 _WIDE = "。！？।॥؟۔｡"  # end a sentence whatever follows, without a blank
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "‘": "’", "«": "»", "„": "“”", "‚": "‘’", "‹": "›"}
@@ -34,6 +31,7 @@ _SIGNS = re.compile(r"[.!?…．]+|[。！？।॥؟۔｡]+|[()\[\]{}（）［
 _BREAK = re.compile(r"(?:\r\n|[\n\r\v\x85 ])(?:[^\S\n\r\v]*(?:\r\n|[\n\r\v\x85 ]))+| |\f")
 _BLANKS = "".join(map(chr, range(9, 14))) + " \x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200E))) + "    ⁠　﻿"
 _ITEM = re.compile(r"(?:^|[\n\r])[^\S\n\r]*(?:[-•*‣▪◦–]|\d{1,3}\.|\(?(?:\d{1,3}|[a-zA-Z])\))[^\S\n\r]+")
+_LABEL = re.compile(r"(?P<bullet>[-•*‣▪◦–])|(?P<number>\d+)(?P<point>\.)|\(?(?:(?P<digits>\d+)|(?P<upper>[A-Z])|(?P<lower>[a-z]))\)")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=[฀-๏๚-๿])\s+(?=[฀-๏๚-๿A-ZÀ-Þ“«‘\"(])|(?<=[^\W\d_])\s+(?=[เ-ไก-ฮ])")
 _WORD_BEFORE = re.compile(r"\S*$")
@@ -212,25 +210,56 @@ def _ends_here(text: str, low: int, begin: int, dot: int, stop: int, high: int)
     return True
 
 
+def _levels(text: str, low: int, items: list[re.Match]) -> list[int]:
+    """Places of the items of lists in a paragraph, by a stack of the kinds of labels that are open.
+
+    A kind is a list if it has two items, or if its first label opens a level within an item; a list begins with its
+    paragraph, behind a colon or within an item.
+    """
+    kinds: list[str] = []
+    firsts: list[bool] = []
+    for m in items:
+        label = _LABEL.search(m.group())
+        kinds.append(m.group().strip() if label.lastgroup == "bullet" else "number." if label["point"] else label.lastgroup)
+        firsts.append(label.group().strip("().") in ("1", "a", "A"))
+    count = {k: kinds.count(k) for k in set(kinds)}
+    stack: list[str] = []
+    out = []
+    for m, kind, first in zip(items, kinds, firsts, strict=True):
+        if kind in stack:
+            del stack[stack.index(kind) + 1 :]
+        elif (count[kind] >= 2 and (stack or m.start() == low or text[low : m.start()].rstrip(_BLANKS).endswith((":", "：")))) or (stack and first):
+            stack.append(kind)
+        else:
+            continue
+        out.append(m.start())
+    return out
+
+
 def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
     """Units of the paragraph ``text[low:high]``, which has no blanks at its ends."""
+    before = len(out)
+    plain = _units(text, low, high, out)
+    last = high - 1
+    while last > low and text[last] in _CLOSERS:
+        last -= 1
+    # A title: a question or call and what belongs to it, without a terminator.
+    if plain and len(out) == before + 2 and text[last] not in _TERMINATORS and text[last] not in ":;," and text[out[-2][1] - 1] in "?!？！؟":
+        out[before:] = [(low, high)]
+
+
+def _units(text: str, low: int, high: int, out: list[tuple[int, int]]) -> bool:
+    """The units by the automaton; gives whether there is neither a list nor Thai."""
     signs = list(_SIGNS.finditer(text, low, high))
     thai = _THAI.search(text, low, high) is not None
-    items = list(_ITEM.finditer(text, low, high))
-    listed = len(items) >= 2 and (items[0].start() == low or text[low : items[0].start()].rstrip(_BLANKS).endswith((":", "：")))
-    if not thai and not listed and high - low <= HEADING:
-        last = high - 1
-        while last > low and text[last] in _CLOSERS:
-            last -= 1
-        if text[last] not in _TERMINATORS and text[last] not in ":;,":
-            out.append((low, high))
-            return
+    items = _levels(text, low, list(_ITEM.finditer(text, low, high)))
+    listed = bool(items)
     gaps = {m.start(): m.end() for m in _THAI_GAP.finditer(text, low, high)} if thai else {}
     marks = [(m.start(), m.end(), m.group()) for m in signs]
     if gaps:
         marks += [(a, b, " ") for a, b in gaps.items()]
     if listed:
-        marks += [(m.start(), m.start() + 1, "\n") for m in items if m.start() > low]
+        marks += [(at, at + 1, "\n") for at in items if at > low]
     if gaps or listed:
         marks.sort()
     matching = _pairs(text, low, high, [m for m in signs if m.group()[0] not in _TERMINATORS])
@@ -301,6 +330,7 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
             skip = stop
     if begin < high:
         out.append((begin, high))
+    return not thai and not listed
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:

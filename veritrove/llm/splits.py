@@ -6,10 +6,11 @@ sent to m and m is sent to every member.  Rows of hot keys meet their minimum by
 keys, without a shuffle.  Rounds go on until nothing changes; each is written to the shared folder, and
 the one before is removed.
 
-Components go to splits by weighted rendezvous hashing.  Those that hold more than one part in
-``HEAVY`` of all rows (so at most ``HEAVY`` of them) are placed first, largest first, where the most
-room is left, and the rest is hashed with the weights that remain: one giant component would
-otherwise upset the proportions.
+Components go to splits by weighted rendezvous hashing with the stated weights, each by itself: where one goes depends on its
+first record and its own share of all rows only, so records stay where they are when other components grow.
+A component that is larger than the whole of a split is hashed among the splits it fits in (the largest
+split, if it fits in none).  There are at most as many such components as the smallest split goes into 100 percent.
+``report`` gives how far the shares are from the targets.
 
 Defined results: null and empty paper ids and missing or placeholder authors link nothing; a record
 linked with no other is a component of its own.  Records with a null id are left out.
@@ -19,12 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrove.operators.packed import authors_of
 from veritrove.sources.scratch import Scratch
 
-#: A component is placed on its own if it holds more than this part of all rows.
-HEAVY = 1000
 #: A key is hot with more rows than HOT, and more than one part in HOT_PARTS of all rows.
 HOT, HOT_PARTS = 50_000, 1000
 
@@ -98,15 +98,22 @@ def assign(papers: DataFrame, targets: DataFrame, seed: str = "split") -> DataFr
     placed, _ = scratch.keep(placed)
     total = placed.count()
     wish = {r.split_name: r.target_pct for r in targets.collect() if r.split_name is not None and (r.target_pct or 0) > 0}
-    room = {k: total * v / max(1, sum(wish.values())) for k, v in sorted(wish.items())}
-    heavy = placed.groupBy("first_id").count().where(F.col("count") > max(1, total // HEAVY)).orderBy(F.desc("count"), "first_id").limit(HEAVY).collect()
-    fixed = []
-    for r in heavy:
-        best = max(room, key=lambda k: (room[k], k))
-        room[best] -= r["count"]
-        fixed.append((r.first_id, best))
-    weights = {k: v for k, v in room.items() if v > 0} or {k: float(v) for k, v in wish.items()}
-    draws = [F.struct((-F.log((F.pmod(F.xxhash64("first_id", F.lit(f"{seed}:{k}")), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / w).alias("cost"), F.lit(k).alias("name")) for k, w in weights.items()]
-    chosen = F.array_min(F.array(*draws))["name"] if draws else F.lit(None).cast("string")
-    fixed_df = spark.createDataFrame(fixed, "first_id bigint, fixed string")
-    return placed.join(F.broadcast(fixed_df), "first_id", "left").select("record_id", "first_id", F.coalesce("fixed", chosen).alias("split_name"))
+    if not wish:
+        return placed.select("record_id", "first_id", F.lit(None).cast("string").alias("split_name"))
+    room = {k: total * v / sum(wish.values()) for k, v in sorted(wish.items())}
+    # At most as many rows as the smallest split goes into the whole.
+    large = placed.groupBy("first_id").agg(F.count("*").alias("size")).where(F.col("size") > min(room.values()))
+    hashed = lambda k: -F.log((F.pmod(F.xxhash64("first_id", F.lit(f"{seed}:{k}")), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / wish[k]
+    draws = [F.when(F.coalesce("size", F.lit(0)) <= room[k], F.struct(hashed(k).alias("cost"), F.lit(k).alias("name"))) for k in room]
+    largest = max(room, key=lambda k: (room[k], k))
+    chosen = F.coalesce(F.array_min(F.array_compact(F.array(*draws)))["name"], F.lit(largest))
+    return placed.join(F.broadcast(large), "first_id", "left").select("record_id", "first_id", chosen.alias("split_name"))
+
+
+def report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """``split_name``, ``target_pct``, ``n_records``, ``share_pct`` and how far it is from the target."""
+    have = assigned.groupBy("split_name").agg(F.count("*").alias("n_records"))
+    total = F.sum("n_records").over(Window.partitionBy())  # of the splits, a row each
+    rows = targets.select("split_name", "target_pct").where("split_name is not null").join(have, "split_name", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+    shared = rows.withColumn("share_pct", 100.0 * F.col("n_records") / total)
+    return shared.withColumn("deviation", F.col("share_pct") - F.col("target_pct"))
