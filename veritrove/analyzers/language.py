@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
-from veritrove.functions.scoring import flag, flags, level, rounded, summary
+from veritrove.functions.scoring import flag, flags, level, rounded, summary, told
 from veritrove.functions.text import found, held, strip, word_count
 
 
@@ -50,8 +50,8 @@ def novelty(df: DataFrame, literature: DataFrame | None = None) -> DataFrame:
     rated = read.withColumns({"novelty_score": final, "literature_accessible": F.lit(literature is not None)})
     s = F.col("novelty_score")
     raised = flags(
-        flag(s < 0.25, "low_novelty_score", "high", s),
-        flag((s >= 0.25) & (s < 0.45), "moderate_novelty_concern", "medium", s),
+        flag(s < 0.25, "low_novelty_score", "high", told(s, 3)),
+        flag((s >= 0.25) & (s < 0.45), "moderate_novelty_concern", "medium", told(s, 3)),
         flag(F.size("incremental") >= 3, "incremental_language_detected", "medium", F.to_json(F.slice("incremental", 1, 3))),
     )
     rated = rated.withColumns({"flags": raised, "novelty_level": F.when(s >= 0.75, "very_high").when(s >= 0.55, "high").when(s >= 0.35, "moderate").otherwise("low"), "risk_level": level(s < 0.25, s < 0.40, s < 0.60)})
@@ -79,9 +79,9 @@ def llm_style(df: DataFrame) -> DataFrame:
     })
     b, t, u, k, go = F.col("burstiness"), F.col("ttr"), F.col("uniformity"), F.col("llm_phrase_count"), F.col("long")
     raised = flags(
-        flag(go & (b < 0.3) & (n >= 5), "low_burstiness", F.when(b < 0.15, "high").otherwise("medium"), b),
-        flag(go & (t < 0.4) & (F.size("words") >= 50), "low_vocabulary_diversity", "medium", t),
-        flag(go & (u > 0.7) & (n >= 5), "high_sentence_uniformity", "medium", u),
+        flag(go & (b < 0.3) & (n >= 5), "low_burstiness", F.when(b < 0.15, "high").otherwise("medium"), told(b)),
+        flag(go & (t < 0.4) & (F.size("words") >= 50), "low_vocabulary_diversity", "medium", told(t)),
+        flag(go & (u > 0.7) & (n >= 5), "high_sentence_uniformity", "medium", told(u)),
         flag(go & (k >= 3), "llm_signature_phrases", F.when(k >= 6, "high").otherwise("medium"), F.to_json(F.slice("phrases", 1, 6))),
     )
     score = F.when(go & (n >= 3), F.least(rounded(F.greatest(F.lit(0.0), 1.0 - b / 0.5) * 0.35 + F.greatest(F.lit(0.0), 1.0 - t / 0.6) * 0.25 + u * 0.20 + F.least(k / 8.0, F.lit(1.0)) * 0.20, 4), F.lit(1.0))).otherwise(F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
-from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, weighted
+from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, told, weighted
 from veritrove.functions.text import any_of, found, in_line, pieces_with, strip, word_count
 
 
@@ -62,12 +62,12 @@ def citations(df: DataFrame) -> DataFrame:
     read = df.select("id", F.size(marks).alias("total_citations"), own.alias("self_citations"), loose.alias("loose"), F.greatest(F.lit(1), F.floor(word_count(text) / 250)).alias("pages"), F.regexp_count(text, F.lit("(?iu)" + V.ET_AL)).alias("et_al"))
     total, share = F.col("total_citations"), ratio(F.col("self_citations"), F.col("total_citations"))
     raised = flags(
-        flag((total >= 5) & (share >= 0.5), "excessive_self_citation", "high", share),
-        flag((total >= 5) & (share >= 0.30) & (share < 0.5), "high_self_citation_ratio", "medium", share),
+        flag((total >= 5) & (share >= 0.5), "excessive_self_citation", "high", told(share)),
+        flag((total >= 5) & (share >= 0.30) & (share < 0.5), "high_self_citation_ratio", "medium", told(share)),
         flag(F.size("loose") >= 3, "unsupported_broad_claims", "high", F.array_join(F.slice("loose", 1, 2), " | ")),
         flag(F.size("loose").between(1, 2), "unsupported_claims", "medium", F.try_element_at("loose", F.lit(1))),
         flag((F.col("pages") >= 5) & (total / F.col("pages") < 1.5), "low_citation_density", "medium", F.col("pages")),
-        flag((total > 5) & (ratio(F.col("et_al"), total) > 0.7), "et_al_overuse", "low", ratio(F.col("et_al"), total)),
+        flag((total > 5) & (ratio(F.col("et_al"), total) > 0.7), "et_al_overuse", "low", told(ratio(F.col("et_al"), total))),
     )
     rated = read.withColumns({"flags": raised, "self_citation_ratio": rounded(share, 3)}).withColumn("raw", weighted(F.col("flags"))).withColumn("risk_level", level_by_score(F.col("raw")))
     return rated.select("id", "total_citations", "self_citations", "self_citation_ratio", F.size("loose").alias("unsupported_claims"), "flags", rounded(F.col("raw"), 3).alias("score"), "risk_level", summary("Citations", F.col("flags"), F.col("risk_level")).alias("summary"))
@@ -103,9 +103,9 @@ def cartel(df: DataFrame) -> DataFrame:
     })
     c, d, o = F.col("concentration"), F.col("diversity"), F.col("own")
     raised = flags(
-        flag((c > 0.5) & (n >= 5), "citation_concentration", F.when(c > 0.7, "high").otherwise("medium"), c),
-        flag((d < 0.3) & (n >= 8), "low_citation_diversity", "medium", d),
-        flag((o > 0.3) & (n >= 5), "excessive_self_citation", F.when(o > 0.5, "high").otherwise("medium"), o),
+        flag((c > 0.5) & (n >= 5), "citation_concentration", F.when(c > 0.7, "high").otherwise("medium"), told(c)),
+        flag((d < 0.3) & (n >= 8), "low_citation_diversity", "medium", told(d)),
+        flag((o > 0.3) & (n >= 5), "excessive_self_citation", F.when(o > 0.5, "high").otherwise("medium"), told(o)),
         flag(F.col("often") > 0, "reciprocal_citation_pattern", "medium", F.col("often")),
         flag(n < 5, "insufficient_citations", "low", n),
     )

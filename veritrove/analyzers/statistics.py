@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
-from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, weighted
+from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, told, weighted
 from veritrove.functions.text import any_of, found, numbers
 
 
@@ -43,8 +43,8 @@ def pcurve(df: DataFrame) -> DataFrame:
     rated = read.withColumns({"skew": F.when(enough, ratio(_count(s, lambda v: v <= 0.025), F.size(s))).otherwise(F.lit(0.0)), "cluster": F.when(enough, ratio(_count(s, lambda v: v >= 0.04), F.size(s))).otherwise(F.lit(0.0))})
     c, k = F.col("cluster"), F.col("skew")
     raised = flags(
-        flag(enough & (c > 0.5), "p_value_clustering", F.when(c > 0.7, "high").otherwise("medium"), c),
-        flag(enough & (k < 0.3) & (F.size(s) >= 4), "flat_pcurve", "medium", k),
+        flag(enough & (c > 0.5), "p_value_clustering", F.when(c > 0.7, "high").otherwise("medium"), told(c)),
+        flag(enough & (k < 0.3) & (F.size(s) >= 4), "flat_pcurve", "medium", told(k)),
         flag(enough & (_count(F.col("p_values_found"), lambda v: F.abs(v - 0.05) < 0.001) >= 2), "exact_threshold_reporting", "medium"),
     )
     scored = rated.withColumns({"flags": raised, "score": F.when(enough, F.least(rounded(c * 0.6 + (1.0 - k) * 0.4, 4), F.lit(1.0))).otherwise(F.lit(0.0))})
@@ -84,8 +84,8 @@ def grim(df: DataFrame, precision_aware: bool = False) -> DataFrame:
     near = F.transform("bad", lambda x: F.struct(x["mean"].alias("mean"), x["n"].alias("n"), rounded(F.floor(product(x)) / x["n"], x["digits"]).alias("lower"), rounded(F.ceil(product(x)) / x["n"], x["digits"]).alias("upper")))
     rated = split.select("id", shape("bad").alias("impossible_means"), shape("good").alias("possible_means"), near.alias("nearest"))
     count = F.size("impossible_means")
-    told = lambda x: F.format_string("M = %.6f, N = %d, nearest %.6f or %.6f", x["mean"], x["n"], x["lower"], x["upper"])
-    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_means")), "flags": flag_each(F.col("nearest"), "grim_impossible_mean", "high", told)})
+    shown = lambda x: F.format_string("M = %.6f, N = %d, nearest %.6f or %.6f", x["mean"], x["n"], x["lower"], x["upper"])
+    rated = rated.withColumns({"raw": ratio(count, count + F.size("possible_means")), "flags": flag_each(F.col("nearest"), "grim_impossible_mean", "high", shown)})
     rated = rated.withColumn("risk_level", level((count >= 3) | (F.col("raw") >= 0.6), (count == 2) | (F.col("raw") >= 0.4), (count == 1) | (F.col("raw") >= 0.2)))
     return rated.select("id", "impossible_means", "possible_means", F.col("nearest").alias("nearest_valid"), "flags", rounded(F.col("raw"), 4).alias("score"), "risk_level", summary("GRIM", F.col("flags"), F.col("risk_level")).alias("summary"))
 
@@ -163,9 +163,9 @@ def granularity(df: DataFrame) -> DataFrame:
     })
     rated = rated.withColumn("preference", F.when(F.col("share") > 0.2, F.least((F.col("share") - 0.2) / 0.4, F.lit(1.0))).otherwise(F.lit(0.0)))
     raised = flags(
-        flag(F.col("share") > 0.45, "digit_preference_detected", F.when(F.col("share") > 0.6, "high").otherwise("medium"), F.col("share")),
-        flag(F.col("benford") > 0.4, "benford_law_violation", F.when(F.col("benford") > 0.7, "high").otherwise("medium"), F.col("benford")),
-        flag(F.col("rounds") > 0.6, "excessive_round_numbers", "medium", F.col("rounds")),
+        flag(F.col("share") > 0.45, "digit_preference_detected", F.when(F.col("share") > 0.6, "high").otherwise("medium"), told(F.col("share"))),
+        flag(F.col("benford") > 0.4, "benford_law_violation", F.when(F.col("benford") > 0.7, "high").otherwise("medium"), told(F.col("benford"))),
+        flag(F.col("rounds") > 0.6, "excessive_round_numbers", "medium", told(F.col("rounds"))),
         flag(F.col("even"), "uniform_decimal_precision", "medium"),
     )
     rated = rated.withColumns({"flags": raised, "score": rounded((F.col("preference") + F.col("benford") + F.col("rounds")) / 3.0, 4)})
@@ -212,13 +212,13 @@ def effect_size(df: DataFrame) -> DataFrame:
         "underpowered": F.filter(powered, weak),
     })
     has = lambda e: e["power"].isNotNull()
-    told = lambda e: F.format_string("%s = %.4f", e["effect_type"], e["effect_value"])
+    plain = lambda e: F.format_string("%s = %.4f", e["effect_type"], e["effect_value"])
     sized = lambda e: F.format_string("%s = %.4f, N = %d, power %.3f", e["effect_type"], e["effect_value"], e["n"], rounded(e["power"], 3))
     each = lambda e: F.coalesce(
         flag(has(e) & big(e), "inflated_effect_size", "high", sized(e)),
         flag(has(e) & weak(e), "underpowered_study", "medium", sized(e)),
-        flag((e["effect_type"] == "pearson_r") & (F.abs(e["effect_value"]) > 1.0), "impossible_correlation", "high", told(e)),
-        flag((e["effect_type"] == "eta_squared") & (e["effect_value"] > 0.5), "large_eta_squared", "medium", told(e)),
+        flag((e["effect_type"] == "pearson_r") & (F.abs(e["effect_value"]) > 1.0), "impossible_correlation", "high", plain(e)),
+        flag((e["effect_type"] == "eta_squared") & (e["effect_value"] > 0.5), "large_eta_squared", "medium", plain(e)),
     )
     raised = F.concat(F.array_compact(F.transform("measured", each)), flags(flag(F.size("effects") == 0, "missing_effect_sizes", "medium")))
     i, u = F.size("inflated_effects"), F.size("underpowered")

@@ -76,6 +76,11 @@ def flag(condition: Column, flag_type: str, severity: str | Column, evidence: Co
     return F.when(condition, body)
 
 
+def told(value: Column, digits: int = 4) -> Column:
+    """A number as evidence: with ``digits`` places."""
+    return F.format_string(f"%.{digits}f", rounded(value, digits))
+
+
 def flags(*some: Column) -> Column:
     """The flags that are set, in rule order."""
     return F.array_compact(F.array(*some))

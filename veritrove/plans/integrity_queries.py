@@ -22,26 +22,41 @@ def _flags() -> Column:
     return F.array_join(F.transform("flags", lambda f: F.concat(f["flag_type"], F.lit(":"), f["severity"])), ",").alias("flags")
 
 
+def _evidence() -> Column:
+    return F.array_join(F.transform("flags", lambda f: f["evidence"]), " ; ").alias("evidence")
+
+
+def _listed(column: str, form: str) -> str:
+    """A list as text, an item as ``form`` has it."""
+    return f"array_join(transform({column}, x -> {form}), '|')"
+
+
+_GROUP = "format_string('%.6f/%.6f/%d/%d-%d', x.mean, x.sd, x.n, x.lo, x.hi)"
 _MEASURES = {
-    "statistics": ["size(p_values_found) AS n_p_values", "size(sample_sizes_found) AS n_sample_sizes"],
-    "methodology": ["size(claims_found) AS n_claims", "size(methods_found) AS n_methods", "llm_available"],
+    "statistics": [_listed("p_values_found", "format_string('%.8f', x)") + " AS p_values", "array_join(sample_sizes_found, '|') AS sample_sizes"],
+    "methodology": ["size(claims_found) AS n_claims", "size(methods_found) AS n_methods", "md5(array_join(claims_found, '|')) AS claims", "md5(array_join(methods_found, '|')) AS methods", "llm_available", _listed("flags", "concat(x.claim, ' ', x.issue)") + " AS issues"],
     "citations": ["total_citations", "self_citations", "self_citation_ratio", "unsupported_claims"],
     "reproducibility": ["has_code_link", "has_data_link", "has_software_versions", "has_statistical_software", "has_preregistration", "has_ethics_statement", "has_conflict_statement", "has_sample_size_justification", "reproducibility_score"],
     "novelty": ["novelty_score", "novelty_level", "array_join(key_terms_extracted, '|') AS key_terms", "literature_accessible"],
-    "grim": ["size(impossible_means) AS n_impossible", "size(possible_means) AS n_possible"],
-    "sprite": ["size(impossible_combinations) AS n_impossible", "size(possible_combinations) AS n_possible", "size(errors) AS n_errors"],
+    "grim": [_listed("impossible_means", "format_string('%.6f/%d', x.mean, x.n)") + " AS impossible", _listed("possible_means", "format_string('%.6f/%d', x.mean, x.n)") + " AS possible"],
+    "sprite": [_listed("impossible_combinations", _GROUP) + " AS impossible", _listed("possible_combinations", _GROUP) + " AS possible", "size(errors) AS n_errors"],
     "granularity": ["digit_preference_score", "benford_score", "round_number_ratio"],
-    "pcurve": ["size(p_values_found) AS n_p_values", "size(significant_p) AS n_significant", "right_skew_ratio", "clustering_score"],
-    "effect_size": ["size(effect_sizes_found) AS n_effects", "size(power_estimates) AS n_powers", "size(inflated_effects) AS n_inflated", "size(underpowered) AS n_underpowered"],
-    "retraction": ["checked_count", "size(retracted_found) AS n_retracted", "signal_count"],
-    "cartel": ["citation_count", "size(citation_network) AS n_authors", "concentration", "self_citation_ratio", "network_diversity"],
+    "pcurve": [_listed("p_values_found", "format_string('%.4f', x)") + " AS p_values", _listed("significant_p", "format_string('%.4f', x)") + " AS significant", "right_skew_ratio", "clustering_score"],
+    "effect_size": [_listed("effect_sizes_found", "format_string('%s=%.4f', x.type, x.value)") + " AS effects", _listed("power_estimates", "format_string('%.4f/%d/%.3f', x.effect_value, x.n, x.power)") + " AS powers", "size(inflated_effects) AS n_inflated", "size(underpowered) AS n_underpowered"],
+    "retraction": ["array_join(dois_found, ' ') AS dois", "array_join(retracted_found, ' ') AS retracted", "checked_count", "signal_count"],
+    "cartel": ["array_join(authors_found, '|') AS authors", "citation_count", "size(citation_network) AS n_authors", "concentration", "self_citation_ratio", "network_diversity"],
     "llm": ["burstiness_score", "vocabulary_diversity", "sentence_uniformity", "llm_phrase_count"],
 }
 
 
+def flat(name: str, reported: DataFrame) -> DataFrame:
+    """Measures, flags with their evidence, score and level of a report, flat: lists as text."""
+    return reported.select(F.col("id").alias("doc_id"), *(F.expr(m) for m in _MEASURES[name]), _flags(), _evidence(), "score", "risk_level")
+
+
 def report(name: str, df: DataFrame) -> DataFrame:
-    """Measures, flags, score and level of one analyzer, flat."""
-    return ANALYZERS[name](df).select(F.col("id").alias("doc_id"), *(F.expr(m) for m in _MEASURES[name]), _flags(), "score", "risk_level")
+    """The flat report of one analyzer."""
+    return flat(name, ANALYZERS[name](df))
 
 
 def _query(name: str):
@@ -149,8 +164,18 @@ def _nums(strings: str, kind: str = "DOUBLE") -> str:
     return f"list_filter(list_transform({strings}, lambda s: TRY_CAST(s AS {kind})), lambda v: v IS NOT NULL)"
 
 
-def _raised(*pairs: tuple[str, str]) -> str:
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {f} END" for c, f in pairs) + "], lambda x: x IS NOT NULL), ',')"
+def _raised(*rules: tuple[str, ...]) -> str:
+    """``flags`` and ``evidence`` from rules: condition, flag and, if there is any, evidence."""
+    some = lambda k, sep: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {r[0]} THEN {(*r, chr(39) * 2)[k]} END" for r in rules) + f"], lambda x: x IS NOT NULL), '{sep}')"
+    return f"{some(1, ',')} AS flags, {some(2, ' ; ')} AS evidence"
+
+
+def _no(value: str, digits: int = 4) -> str:
+    return f"printf('%.{digits}f', ({value})::DOUBLE)"
+
+
+def _text_list(items: str, form: str) -> str:
+    return f"array_to_string(list_transform({items}, lambda x: {form}), '|')"
 
 
 def _weight(col: str = "flags") -> str:
@@ -180,25 +205,28 @@ _SQL = {}
 _SQL["statistics"] = f"""WITH {_D},
 a AS (SELECT doc_id, low, {_found(V.P_AUDIT)} AS mentions, {_nums(_found(V.N_AUDIT), "BIGINT")} AS n FROM d),
 b AS (SELECT *, list_filter({_nums("mentions")}, lambda v: v > 0 AND v <= 1) AS p FROM a),
-c AS (SELECT *, len(list_filter(p, lambda v: v >= 0.04::DOUBLE AND v <= 0.051::DOUBLE)) AS near, CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda v: v >= 0.04::DOUBLE AND v <= 0.051::DOUBLE))::DOUBLE / len(p) ELSE 0 END AS share,
+c AS (SELECT *, list_filter(p, lambda v: v >= 0.04::DOUBLE AND v <= 0.051::DOUBLE) AS close, len(list_filter(p, lambda v: v >= 0.04::DOUBLE AND v <= 0.051::DOUBLE)) AS near, list_filter(p, lambda v: v IN (0.05::DOUBLE, 0.049::DOUBLE, 0.001::DOUBLE, 0.01::DOUBLE)) AS round_p, CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda v: v >= 0.04::DOUBLE AND v <= 0.051::DOUBLE))::DOUBLE / len(p) ELSE 0 END AS share,
   list_filter(n, lambda v: v > 0 AND v < 30) AS small FROM b),
-f AS (SELECT *, {_raised(("share >= 0.6 AND near >= 3", "'p_hacking_suspected:high'"), ("NOT (share >= 0.6 AND near >= 3) AND share >= 0.4 AND near >= 2", "'borderline_p_values:medium'"), ("len(small) > 0", "'small_sample_size:' || CASE WHEN list_min(small) < 15 THEN 'high' ELSE 'medium' END"), ("len(list_filter(p, lambda v: v IN (0.05::DOUBLE, 0.049::DOUBLE, 0.001::DOUBLE, 0.01::DOUBLE))) > 0", "'suspiciously_round_p_values:medium'"), (f"len(n) > 0 AND {_any(V.RESULT_WORDS)} AND len(mentions) = 0", "'missing_statistical_tests:high'"))} AS flags FROM c),
+f AS (SELECT *, {_raised(("share >= 0.6 AND near >= 3", "'p_hacking_suspected:high'", "to_json(close)::VARCHAR"), ("NOT (share >= 0.6 AND near >= 3) AND share >= 0.4 AND near >= 2", "'borderline_p_values:medium'", "to_json(close)::VARCHAR"), ("len(small) > 0", "'small_sample_size:' || CASE WHEN list_min(small) < 15 THEN 'high' ELSE 'medium' END", "to_json(small)::VARCHAR"), ("len(round_p) > 0", "'suspiciously_round_p_values:medium'", "to_json(round_p)::VARCHAR"), (f"len(n) > 0 AND {_any(V.RESULT_WORDS)} AND len(mentions) = 0", "'missing_statistical_tests:high'"))} FROM c),
 g AS (SELECT *, {_weight()} AS raw FROM f)
-SELECT doc_id, len(p)::INT AS n_p_values, len(n)::INT AS n_sample_sizes, flags, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
+SELECT doc_id, {_text_list("p", _no("x", 8))} AS p_values, array_to_string(n, '|') AS sample_sizes, flags, evidence, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
 _SQL["pcurve"] = f"""WITH {_D},
 a AS (SELECT doc_id, list_transform(list_filter({_nums(_found(V.P_CURVE))}, lambda v: v > 0 AND v <= 1), lambda v: {_r("v", 4)}) AS p FROM d),
 b AS (SELECT *, list_filter(p, lambda v: v <= 0.05::DOUBLE) AS s FROM a),
 c AS (SELECT *, len(s) >= 3 AS go, CASE WHEN len(s) >= 3 THEN len(list_filter(s, lambda v: v <= 0.025::DOUBLE))::DOUBLE / len(s) ELSE 0 END AS k, CASE WHEN len(s) >= 3 THEN len(list_filter(s, lambda v: v >= 0.04::DOUBLE))::DOUBLE / len(s) ELSE 0 END AS c FROM b),
-f AS (SELECT *, {_raised(("go AND c > 0.5", "'p_value_clustering:' || CASE WHEN c > 0.7 THEN 'high' ELSE 'medium' END"), ("go AND k < 0.3 AND len(s) >= 4", "'flat_pcurve:medium'"), ("go AND len(list_filter(p, lambda v: abs(v - 0.05::DOUBLE) < 0.001::DOUBLE)) >= 2", "'exact_threshold_reporting:medium'"))} AS flags,
+f AS (SELECT *, {_raised(("go AND c > 0.5", "'p_value_clustering:' || CASE WHEN c > 0.7 THEN 'high' ELSE 'medium' END", _no("c")), ("go AND k < 0.3 AND len(s) >= 4", "'flat_pcurve:medium'", _no("k")), ("go AND len(list_filter(p, lambda v: abs(v - 0.05::DOUBLE) < 0.001::DOUBLE)) >= 2", "'exact_threshold_reporting:medium'"))},
   CASE WHEN go THEN least({_r("c * 0.6::DOUBLE + (1.0::DOUBLE - k) * 0.4::DOUBLE", 4)}, 1.0) ELSE 0.0 END AS score FROM c)
-SELECT doc_id, len(p)::INT AS n_p_values, len(s)::INT AS n_significant, {_r("k", 4)} AS right_skew_ratio, {_r("c", 4)} AS clustering_score, flags, score, CASE WHEN go THEN {_level("c > 0.7 OR score >= 0.7", "c > 0.5 OR score >= 0.5", "c > 0.3 OR score >= 0.3")} ELSE 'low' END AS risk_level FROM f"""
+SELECT doc_id, {_text_list("p", _no("x"))} AS p_values, {_text_list("s", _no("x"))} AS significant, {_r("k", 4)} AS right_skew_ratio, {_r("c", 4)} AS clustering_score, flags, evidence, score, CASE WHEN go THEN {_level("c > 0.7 OR score >= 0.7", "c > 0.5 OR score >= 0.5", "c > 0.3 OR score >= 0.3")} ELSE 'low' END AS risk_level FROM f"""
 _SQL["grim"] = f"""WITH {_D},
 a AS (SELECT doc_id, list_zip({_found(V.GRIM_PAIR, 1)}, {_found(V.GRIM_PAIR, 2)}, {_found(V.GRIM_PAIR, 3)}, {_found(V.GRIM_PAIR, 4)}) AS z FROM d),
-b AS (SELECT doc_id, unnest(z) AS z FROM a),
-c AS (SELECT doc_id, CASE WHEN z[1] <> '' AND z[2] <> '' THEN TRY_CAST(z[1] AS DOUBLE) ELSE TRY_CAST(z[4] AS DOUBLE) END AS m, CASE WHEN z[1] <> '' AND z[2] <> '' THEN TRY_CAST(z[2] AS BIGINT) ELSE TRY_CAST(z[3] AS BIGINT) END AS n FROM b),
-e AS (SELECT d.doc_id, count(*) FILTER (abs(m * n - round_even(m * n, 0)) >= 0.001::DOUBLE) AS bad, count(*) FILTER (abs(m * n - round_even(m * n, 0)) < 0.001::DOUBLE) AS good FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND n BETWEEN 2 AND 10000 GROUP BY d.doc_id),
+b AS (SELECT doc_id, unnest(z) AS z, generate_subscripts(z, 1) AS k FROM a),
+c0 AS (SELECT doc_id, k, CASE WHEN z[1] <> '' AND z[2] <> '' THEN z[1] ELSE z[4] END AS s, CASE WHEN z[1] <> '' AND z[2] <> '' THEN TRY_CAST(z[2] AS BIGINT) ELSE TRY_CAST(z[3] AS BIGINT) END AS n FROM b),
+c AS (SELECT doc_id, k, TRY_CAST(s AS DOUBLE) AS m, n, abs(TRY_CAST(s AS DOUBLE) * n - round_even(TRY_CAST(s AS DOUBLE) * n, 0)) >= 0.001::DOUBLE AS wrong, greatest(len(rtrim(split_part(s, '.', 2), '0')), 1) AS digits FROM c0),
+h AS (SELECT *, CAST(printf('%.' || digits || 'f', floor(m * n) / n) AS DOUBLE) AS lower_mean, CAST(printf('%.' || digits || 'f', ceil(m * n) / n) AS DOUBLE) AS upper_mean FROM c),
+e AS (SELECT d.doc_id, count(*) FILTER (wrong) AS bad, count(*) FILTER (NOT wrong) AS good, coalesce(string_agg(printf('%.6f/%d', m, n), '|' ORDER BY k) FILTER (wrong), '') AS impossible, coalesce(string_agg(printf('%.6f/%d', m, n), '|' ORDER BY k) FILTER (NOT wrong), '') AS possible,
+  coalesce(string_agg(printf('M = %.6f, N = %d, nearest %.6f or %.6f', m, n, lower_mean, upper_mean), ' ; ' ORDER BY k) FILTER (wrong), '') AS evidence FROM d LEFT JOIN h ON h.doc_id = d.doc_id AND n BETWEEN 2 AND 10000 GROUP BY d.doc_id),
 f AS (SELECT *, CASE WHEN bad + good > 0 THEN bad::DOUBLE / (bad + good) ELSE 0 END AS raw FROM e)
-SELECT doc_id, bad::INT AS n_impossible, good::INT AS n_possible, rtrim(repeat('grim_impossible_mean:high,', bad), ',') AS flags, {_r("raw", 4)} AS score, {_level("bad >= 3 OR raw >= 0.6", "bad = 2 OR raw >= 0.4", "bad = 1 OR raw >= 0.2")} AS risk_level FROM f"""
+SELECT doc_id, impossible, possible, rtrim(repeat('grim_impossible_mean:high,', bad), ',') AS flags, evidence, {_r("raw", 4)} AS score, {_level("bad >= 3 OR raw >= 0.6", "bad = 2 OR raw >= 0.4", "bad = 1 OR raw >= 0.2")} AS risk_level FROM f"""
 _FRACTION = "CASE WHEN rtrim(split_part(s, '.', 2), '0') = '' THEN '0' ELSE rtrim(split_part(s, '.', 2), '0') END"
 _CHI = " + ".join(f"(cnt_{k} - {e}::DOUBLE) * (cnt_{k} - {e}::DOUBLE) / {e}::DOUBLE" for k, e in V.BENFORD.items())
 _SQL["granularity"] = f"""WITH {_D},
@@ -209,82 +237,98 @@ c AS (SELECT doc_id, ds, fr, h, CASE WHEN len(ds) >= 5 THEN len(list_filter(fr,
   CASE WHEN len(ds) >= 5 THEN len(list_filter(ds, lambda s: abs(CAST(s AS DOUBLE) - round_even(CAST(s AS DOUBLE), 0)) < 0.001::DOUBLE))::DOUBLE / len(ds) ELSE 0 END AS rounds,
   {", ".join(f"CASE WHEN len(h) > 0 THEN len(list_filter(h, lambda x: x = '{k}'))::DOUBLE / len(h) ELSE 0 END AS cnt_{k}" for k in V.BENFORD)} FROM b),
 e AS (SELECT *, CASE WHEN len(h) >= 10 THEN least((0.0 + {_CHI}) / 15.0, 1.0) ELSE 0.0 END AS benford, CASE WHEN share > 0.2::DOUBLE THEN least((share - 0.2::DOUBLE) / 0.4::DOUBLE, 1.0) ELSE 0.0 END AS pref FROM c),
-f AS (SELECT *, {_raised(("share > 0.45", "'digit_preference_detected:' || CASE WHEN share > 0.6 THEN 'high' ELSE 'medium' END"), ("benford > 0.4", "'benford_law_violation:' || CASE WHEN benford > 0.7 THEN 'high' ELSE 'medium' END"), ("rounds > 0.6", "'excessive_round_numbers:medium'"), ("len(ds) >= 6 AND len(list_distinct(list_transform(fr, lambda x: len(x)))) = 1", "'uniform_decimal_precision:medium'"))} AS flags, {_r("(pref + benford + rounds) / 3.0", 4)} AS score FROM e),
+f AS (SELECT *, {_raised(("share > 0.45", "'digit_preference_detected:' || CASE WHEN share > 0.6 THEN 'high' ELSE 'medium' END", _no("share")), ("benford > 0.4", "'benford_law_violation:' || CASE WHEN benford > 0.7 THEN 'high' ELSE 'medium' END", _no("benford")), ("rounds > 0.6", "'excessive_round_numbers:medium'", _no("rounds")), ("len(ds) >= 6 AND len(list_distinct(list_transform(fr, lambda x: len(x)))) = 1", "'uniform_decimal_precision:medium'"))}, {_r("(pref + benford + rounds) / 3.0", 4)} AS score FROM e),
 g AS (SELECT *, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS n FROM f)
-SELECT doc_id, {_r("pref", 4)} AS digit_preference_score, {_r("benford", 4)} AS benford_score, {_r("rounds", 4)} AS round_number_ratio, flags, score, {_level("n >= 3 OR score >= 0.6", "n = 2 OR score >= 0.4", "n = 1 OR score >= 0.2")} AS risk_level FROM g"""
+SELECT doc_id, {_r("pref", 4)} AS digit_preference_score, {_r("benford", 4)} AS benford_score, {_r("rounds", 4)} AS round_number_ratio, flags, evidence, score, {_level("n >= 3 OR score >= 0.6", "n = 2 OR score >= 0.4", "n = 1 OR score >= 0.2")} AS risk_level FROM g"""
 _ERF = "(1.0 - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-z * z))"
+_EFFECTS = (("cohens_d", V.COHEN_D, "true"), ("pearson_r", V.PEARSON_R, "v BETWEEN -1.5 AND 1.5"), ("eta_squared", V.ETA_SQUARED, "true"), ("omega_squared", V.OMEGA_SQUARED, "true"), ("odds_ratio", V.ODDS_RATIO, "v BETWEEN 0.1 AND 50"))
+_EACH = " UNION ALL ".join(f"SELECT doc_id, {k} AS family, '{kind}' AS type, unnest({_nums(_found(pattern))}) AS v, generate_subscripts({_nums(_found(pattern))}, 1) AS pos FROM d" for k, (kind, pattern, _) in enumerate(_EFFECTS))
 _SQL["effect_size"] = f"""WITH {_D},
-a AS (SELECT doc_id, {_nums(_found(V.COHEN_D))} AS ds, len(list_filter({_nums(_found(V.PEARSON_R))}, lambda v: v BETWEEN -1.5 AND 1.5)) AS nr, {_nums(_found(V.ETA_SQUARED))} AS eta, len({_nums(_found(V.OMEGA_SQUARED))}) AS nw,
-  len(list_filter({_nums(_found(V.ODDS_RATIO))}, lambda v: v BETWEEN 0.1 AND 50)) AS nodds, list_min(list_filter({_nums(_found(V.N_EFFECT), "BIGINT")}, lambda v: v BETWEEN 2 AND 100000)) AS n FROM d),
-u AS (SELECT doc_id, n, unnest(ds) AS v FROM a WHERE n IS NOT NULL),
+sizes AS (SELECT doc_id, list_min(list_filter({_nums(_found(V.N_EFFECT), "BIGINT")}, lambda v: v BETWEEN 2 AND 100000)) AS n FROM d),
+u AS (SELECT each.*, n FROM ({_EACH}) each JOIN sizes USING (doc_id) WHERE {" OR ".join(f"(type = '{kind}' AND {test})" for kind, _, test in _EFFECTS)}),
 w AS (SELECT *, 1.96::DOUBLE - abs(v) * sqrt(n / 2.0) AS x FROM u),
 y AS (SELECT *, abs(x) / sqrt(2.0::DOUBLE) AS z, 1.0 / (1.0 + 0.3275911::DOUBLE * (abs(x) / sqrt(2.0::DOUBLE))) AS t FROM w),
-p AS (SELECT *, least(greatest(1.0 - 0.5 * (1.0 + CASE WHEN x < 0 THEN -{_ERF} ELSE {_ERF} END), 0.0), 1.0) AS pw FROM y),
-k AS (SELECT doc_id, count(*) AS np, count(*) FILTER (abs(v) > 2.0 AND n < 30) AS i, count(*) FILTER (NOT (abs(v) > 2.0 AND n < 30) AND pw < 0.8 AND n < 50) AS u FROM p GROUP BY doc_id),
-e AS (SELECT a.doc_id, len(ds) + nr + len(eta) + nw + nodds AS ne, coalesce(np, 0) AS np, coalesce(i, 0) AS i, coalesce(u, 0) AS u, len(list_filter(eta, lambda v: v > 0.5)) AS big FROM a LEFT JOIN k USING (doc_id)),
+p AS (SELECT *, CASE WHEN type = 'cohens_d' AND n IS NOT NULL THEN least(greatest(1.0 - 0.5 * (1.0 + CASE WHEN x < 0 THEN -{_ERF} ELSE {_ERF} END), 0.0), 1.0) END AS pw FROM y),
+q AS (SELECT *, pw IS NOT NULL AND abs(v) > 2.0 AND n < 30 AS big, pw IS NOT NULL AND NOT (abs(v) > 2.0 AND n < 30) AND pw < 0.8 AND n < 50 AS weak FROM p),
+o AS (SELECT *, CASE WHEN big THEN 'inflated_effect_size:high' WHEN weak THEN 'underpowered_study:medium' WHEN type = 'pearson_r' AND abs(v) > 1 THEN 'impossible_correlation:high' WHEN type = 'eta_squared' AND v > 0.5 THEN 'large_eta_squared:medium' END AS flag,
+  CASE WHEN big OR weak THEN printf('%s = %.4f, N = %d, power %.3f', type, v, n, pw) ELSE printf('%s = %.4f', type, v) END AS ev FROM q),
+k AS (SELECT doc_id, count(*) AS ne, count(*) FILTER (big) AS i, count(*) FILTER (weak) AS u, string_agg(printf('%s=%.4f', type, v), '|' ORDER BY family, pos) AS effects, string_agg(printf('%.4f/%d/%.3f', v, n, pw), '|' ORDER BY pos) FILTER (pw IS NOT NULL) AS powers,
+  string_agg(flag, ',' ORDER BY family, pos) AS flags, string_agg(ev, ' ; ' ORDER BY family, pos) FILTER (flag IS NOT NULL) AS evidence FROM o GROUP BY doc_id),
+e AS (SELECT d.doc_id, coalesce(ne, 0) AS ne, coalesce(i, 0) AS i, coalesce(u, 0) AS u, coalesce(effects, '') AS effects, coalesce(powers, '') AS powers, CASE WHEN ne IS NULL THEN 'missing_effect_sizes:medium' ELSE coalesce(flags, '') END AS flags, coalesce(evidence, '') AS evidence FROM d LEFT JOIN k USING (doc_id)),
 f AS (SELECT *, CASE WHEN ne = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE * least(i, 2) / 2.0 + 0.3::DOUBLE * least(u, 2) / 2.0 END AS raw FROM e)
-SELECT doc_id, ne::INT AS n_effects, np::INT AS n_powers, i::INT AS n_inflated, u::INT AS n_underpowered,
-  rtrim(repeat('inflated_effect_size:high,', i) || repeat('underpowered_study:medium,', u) || repeat('large_eta_squared:medium,', big) || CASE WHEN ne = 0 THEN 'missing_effect_sizes:medium' ELSE '' END, ',') AS flags,
-  {_r("raw", 4)} AS score, {_level("i >= 1 OR raw >= 0.6", "u >= 2 OR raw >= 0.4", "u >= 1 OR raw >= 0.2")} AS risk_level FROM f"""
+SELECT doc_id, effects, powers, i::INT AS n_inflated, u::INT AS n_underpowered, flags, evidence, {_r("raw", 4)} AS score, {_level("i >= 1 OR raw >= 0.6", "u >= 2 OR raw >= 0.4", "u >= 1 OR raw >= 0.2")} AS risk_level FROM f"""
 _KNOWN = ", ".join(_q(r) for r in V.KNOWN_RETRACTIONS)
 _DISTINCT_DOIS = f"(SELECT doc_id, doi, min(pos) AS pos FROM (SELECT doc_id, regexp_replace(unnest({_found(V.DOI, 1, False)}), '[.,;]+$', '') AS doi, generate_subscripts({_found(V.DOI, 1, False)}, 1) AS pos FROM d) GROUP BY doc_id, doi QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) <= 20)"
+_BARE = "rtrim(lower(doi), '.')"
 _SQL["retraction"] = f"""WITH {_D}, x AS {_DISTINCT_DOIS},
-c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_replace(lower(doi), '\\.+$', '') IN ({_KNOWN})) AS k FROM x GROUP BY doc_id),
-e AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, len({_found(V.RETRACTION_TERM, 0)}) AS s FROM d LEFT JOIN c USING (doc_id)),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({_BARE} IN ({_KNOWN})) AS k, string_agg(doi, ' ' ORDER BY pos) AS dois, string_agg({_BARE}, ' ' ORDER BY pos) FILTER ({_BARE} IN ({_KNOWN})) AS retracted, string_agg({_BARE}, ' ; ' ORDER BY pos) FILTER ({_BARE} IN ({_KNOWN})) AS ev FROM x GROUP BY doc_id),
+g AS (SELECT doc_id, {_found(V.RETRACTION_TERM, 0)} AS signals FROM d),
+e AS (SELECT g.doc_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, len(signals) AS s, coalesce(dois, '') AS dois, coalesce(retracted, '') AS retracted, ev, array_to_string(list_sort(list_distinct(list_slice(signals, 1, 8))), ', ') AS words FROM g LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, least({_r("0.6::DOUBLE * least(k, 3) / 3.0 + 0.2::DOUBLE * least(s, 5) / 5.0", 4)}, 1.0) AS score FROM e)
-SELECT doc_id, n::INT AS checked_count, k::INT AS n_retracted, s::INT AS signal_count, rtrim(repeat('retracted_citation:high,', k) || CASE WHEN s > 0 THEN 'retraction_language_detected:medium,' ELSE '' END || CASE WHEN n = 0 THEN 'no_dois_found:low' ELSE '' END, ',') AS flags, score,
+SELECT doc_id, dois, retracted, n::INT AS checked_count, s::INT AS signal_count, rtrim(repeat('retracted_citation:high,', k) || CASE WHEN s > 0 THEN 'retraction_language_detected:medium,' ELSE '' END || CASE WHEN n = 0 THEN 'no_dois_found:low' ELSE '' END, ',') AS flags,
+  array_to_string(list_filter([ev, CASE WHEN s > 0 THEN words END, CASE WHEN n = 0 THEN '' END], lambda x: x IS NOT NULL), ' ; ') AS evidence, score,
   {_level("k >= 1 OR score >= 0.6", "score >= 0.3", "score >= 0.1")} AS risk_level FROM f"""
+_OBJECTION = (
+    "A cause is claimed. Causal words (' || causes || ') rest on a design (' || designs || ') that shows no cause.", "A firm conclusion is drawn from what people say of themselves. Self-reports are bent by memory and by the wish to please.",
+    "A lasting effect is claimed. The time studied is short.", "A treatment is said to work. Without a comparison, chance, recovery and expectation remain as reasons.", "A finding is said to hold for everyone. The sample stands for few.",
+)
+_RULES = [
+    (f"{_any(V.CAUSATION)} AND {_any(V.WEAK_DESIGNS)} AND NOT {_any(V.RCT)}", "'causation_without_rct:high'", "coalesce(causal, '')"), (f"{_any(V.SELF_REPORT)} AND {_any(V.STRONG_CLAIM)}", "'weak_design_strong_claim:medium'"),
+    (f"{_any(V.LONG_TERM)} AND {_any(V.SHORT_TERM)}", "'timeframe_mismatch:medium'"), (f"{_any(V.TREATMENT)} AND {_any(V.EFFECT_CLAIM)} AND NOT {_any(V.CONTROL)}", "'missing_control_group:high'"), (f"{_any(V.BROAD_CLAIM)} AND {_any(V.LIMITED_SAMPLE)}", "'overgeneralization:medium'"),
+]
 _SQL["methodology"] = f"""WITH {_D},
-a AS (SELECT doc_id, low, len(list_filter({_PIECES.replace("(text", "(CASE WHEN abstract <> '' THEN abstract ELSE text END")}, lambda s: len(s) >= 20 AND {_any(V.FINDING_MARKERS, "lower(s)")})) AS nc, len(list_filter({_PIECES}, lambda s: len(s) >= 20 AND {_any(V.METHOD_MARKERS, "lower(s)")})) AS nm FROM d),
-f AS (SELECT doc_id, nc, nm, {_raised((f"{_any(V.CAUSATION)} AND {_any(V.WEAK_DESIGNS)} AND NOT {_any(V.RCT)}", "'causation_without_rct:high'"), (f"{_any(V.SELF_REPORT)} AND {_any(V.STRONG_CLAIM)}", "'weak_design_strong_claim:medium'"), (f"{_any(V.LONG_TERM)} AND {_any(V.SHORT_TERM)}", "'timeframe_mismatch:medium'"), (f"{_any(V.TREATMENT)} AND {_any(V.EFFECT_CLAIM)} AND NOT {_any(V.CONTROL)}", "'missing_control_group:high'"), (f"{_any(V.BROAD_CLAIM)} AND {_any(V.LIMITED_SAMPLE)}", "'overgeneralization:medium'"))} AS flags FROM a),
+a AS (SELECT doc_id, low, list_filter({_PIECES.replace("(text", "(CASE WHEN abstract <> '' THEN abstract ELSE text END")}, lambda s: len(s) >= 20 AND {_any(V.FINDING_MARKERS, "lower(s)")}) AS claims, list_filter({_PIECES}, lambda s: len(s) >= 20 AND {_any(V.METHOD_MARKERS, "lower(s)")}) AS methods,
+  list_filter({_PIECES}, lambda s: {_any(V.CAUSATION, "lower(s)")})[1] AS causal, array_to_string({_held(V.CAUSATION, "substr(low, 1, 500)")}, ', ') AS causes, array_to_string({_held(V.WEAK_DESIGNS)}, ', ') AS designs FROM d),
+f AS (SELECT doc_id, claims, methods, {_raised(*_RULES)}, array_to_string(list_filter([{", ".join(f"CASE WHEN {r[0]} THEN '{o}' END" for r, o in zip(_RULES, _OBJECTION, strict=True))}], lambda x: x IS NOT NULL), '|') AS issues FROM a),
 g AS (SELECT *, {_weight()} AS raw FROM f)
-SELECT doc_id, least(nc, 8)::INT AS n_claims, least(nm, 8)::INT AS n_methods, false AS llm_available, flags, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
+SELECT doc_id, least(len(claims), 8)::INT AS n_claims, least(len(methods), 8)::INT AS n_methods, md5(array_to_string(list_slice(claims, 1, 8), '|')) AS claims, md5(array_to_string(list_slice(methods, 1, 8), '|')) AS methods, false AS llm_available, issues, flags, evidence, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
 _SQL["reproducibility"] = f"""WITH {_D},
 a AS (SELECT doc_id, low, {_matches(V.CODE_LINK)} AS has_code_link, {_matches(V.DATA_LINK)} AS has_data_link, {_matches(V.SOFTWARE_VERSION)} AS has_software_versions, {_any(V.STAT_SOFTWARE)} AS has_statistical_software, {_matches(V.PREREGISTRATION)} AS has_preregistration,
   {_any(V.ETHICS)} AS has_ethics_statement, {_any(V.CONFLICT)} AS has_conflict_statement, {_any(V.SAMPLE_SIZE_REASONS)} AS has_sample_size_justification, {_matches((V.ON_REQUEST,))} AS asked FROM d),
 f AS (SELECT *, has_code_link::INT + has_data_link::INT + has_software_versions::INT + has_statistical_software::INT + has_preregistration::INT + has_ethics_statement::INT + has_conflict_statement::INT + has_sample_size_justification::INT AS met,
-  {_raised((f"{_any(V.COMPUTATIONAL)} AND NOT has_code_link", "'missing_code_availability:high'"), (f"{_any(V.EMPIRICAL)} AND NOT has_data_link", "'missing_data_availability:high'"), (f"{_any(V.QUANTITATIVE)} AND NOT has_software_versions", "'missing_software_versions:medium'"), (f"{_any(V.EXPERIMENTAL)} AND NOT has_preregistration", "'missing_preregistration:medium'"), (f"{_any(V.HUMANS)} AND NOT has_ethics_statement", "'missing_ethics_statement:high'"), ("asked", "'data_available_on_request:medium'"))} AS flags FROM a),
+  {_raised((f"{_any(V.COMPUTATIONAL)} AND NOT has_code_link", "'missing_code_availability:high'"), (f"{_any(V.EMPIRICAL)} AND NOT has_data_link", "'missing_data_availability:high'"), (f"{_any(V.QUANTITATIVE)} AND NOT has_software_versions", "'missing_software_versions:medium'"), (f"{_any(V.EXPERIMENTAL)} AND NOT has_preregistration", "'missing_preregistration:medium'"), (f"{_any(V.HUMANS)} AND NOT has_ethics_statement", "'missing_ethics_statement:high'"), ("asked", "'data_available_on_request:medium'"))} FROM a),
 g AS (SELECT *, {_r("1.0 - met / 8.0", 3)} AS score FROM f)
-SELECT doc_id, has_code_link, has_data_link, has_software_versions, has_statistical_software, has_preregistration, has_ethics_statement, has_conflict_statement, has_sample_size_justification, {_r("met / 8.0", 3)} AS reproducibility_score, flags, score, {_level("score >= 0.7", "score >= 0.4", "score >= 0.2")} AS risk_level FROM g"""
+SELECT doc_id, has_code_link, has_data_link, has_software_versions, has_statistical_software, has_preregistration, has_ethics_statement, has_conflict_statement, has_sample_size_justification, {_r("met / 8.0", 3)} AS reproducibility_score, flags, evidence, score, {_level("score >= 0.7", "score >= 0.4", "score >= 0.2")} AS risk_level FROM g"""
 _BOTH = f"list_concat(w, list_slice({_held(V.DOMAIN_KEYWORDS)}, 1, greatest(6 - len(w), 1)))"
 _SQL["novelty"] = f"""WITH {_D},
-a AS (SELECT *, list_slice({_found(V.TITLE_WORD, 0, False, _ascii("title"))}, 1, 5) AS w, len({_held(V.NOVELTY_SIGNALS)}) AS ns, len({_held(V.INCREMENTAL_SIGNALS)}) AS ni FROM d),
+a AS (SELECT *, list_slice({_found(V.TITLE_WORD, 0, False, _ascii("title"))}, 1, 5) AS w, len({_held(V.NOVELTY_SIGNALS)}) AS ns, len({_held(V.INCREMENTAL_SIGNALS)}) AS ni, {_held(V.INCREMENTAL_SIGNALS)} AS inc FROM d),
 b AS (SELECT *, CASE WHEN len({_BOTH}) < 3 THEN list_concat({_BOTH}, list_slice({_found(V.CAPITAL_PAIR, 0, False, _ascii("text"))}, 1, 3)) ELSE {_BOTH} END AS t FROM a),
 u AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM b),
 k AS (SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS key_terms FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY pos) AS copy FROM u) WHERE copy = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 6) GROUP BY doc_id),
-s AS (SELECT b.doc_id, ni, coalesce(key_terms, '') AS key_terms, {_r("least(greatest(0.5 + 0.08::DOUBLE * ns - 0.06::DOUBLE * ni, 0.05), 0.95)", 3)} AS s FROM b LEFT JOIN k USING (doc_id))
+s AS (SELECT b.doc_id, ni, inc, coalesce(key_terms, '') AS key_terms, {_r("least(greatest(0.5 + 0.08::DOUBLE * ns - 0.06::DOUBLE * ni, 0.05), 0.95)", 3)} AS s FROM b LEFT JOIN k USING (doc_id))
 SELECT doc_id, s AS novelty_score, CASE WHEN s >= 0.75 THEN 'very_high' WHEN s >= 0.55 THEN 'high' WHEN s >= 0.35 THEN 'moderate' ELSE 'low' END AS novelty_level, key_terms, false AS literature_accessible,
-  {_raised(("s < 0.25", "'low_novelty_score:high'"), ("s >= 0.25 AND s < 0.45", "'moderate_novelty_concern:medium'"), ("ni >= 3", "'incremental_language_detected:medium'"))} AS flags, s AS score, {_level("s < 0.25", "s < 0.40", "s < 0.60")} AS risk_level FROM s"""
+  {_raised(("s < 0.25", "'low_novelty_score:high'", _no("s", 3)), ("s >= 0.25 AND s < 0.45", "'moderate_novelty_concern:medium'", _no("s", 3)), ("ni >= 3", "'incremental_language_detected:medium'", "to_json(list_slice(inc, 1, 3))::VARCHAR"))}, s AS score, {_level("s < 0.25", "s < 0.40", "s < 0.60")} AS risk_level FROM s"""
 _SQL["citations"] = f"""WITH {_D},
 a AS (SELECT doc_id, len(list_distinct(list_concat({", ".join(_found(p, 0, False) for p in V.CITATION_MARKS[:2])}, {", ".join(_found(p, 0, False) for p in V.CITATION_MARKS[2:])}))) AS total,
   CASE WHEN author_name = '' THEN 0 ELSE len(regexp_extract_all(text, '(?i)' || regexp_escape(CASE WHEN regexp_extract({_STRIP("author_name")}, '[^{V.BLANKS}]+$') = '' THEN author_name ELSE regexp_extract({_STRIP("author_name")}, '[^{V.BLANKS}]+$') END) || '[,{V.BLANKS}]{{0,10}}(?:\\d{{4}}|et al)')) END AS own,
-  least(len(list_filter({_PIECES}, lambda s: len(s) >= 15 AND {_any(V.CLAIM_MARKERS, "lower(s)")} AND NOT regexp_matches(s, {re2(V.CITED_CLAIM, False)}))), 5) AS loose,
+  list_slice(list_filter({_PIECES}, lambda s: len(s) >= 15 AND {_any(V.CLAIM_MARKERS, "lower(s)")} AND NOT regexp_matches(s, {re2(V.CITED_CLAIM, False)})), 1, 5) AS claims,
   greatest(1, {_WORDS("text")} // 250) AS pages, len({_found(V.ET_AL, 0)}) AS ea FROM d),
-b AS (SELECT *, CASE WHEN total > 0 THEN own::DOUBLE / total ELSE 0.0 END AS share FROM a),
-f AS (SELECT *, {_raised(("total >= 5 AND share >= 0.5", "'excessive_self_citation:high'"), ("total >= 5 AND share >= 0.30::DOUBLE AND share < 0.5", "'high_self_citation_ratio:medium'"), ("loose >= 3", "'unsupported_broad_claims:high'"), ("loose BETWEEN 1 AND 2", "'unsupported_claims:medium'"), ("pages >= 5 AND total::DOUBLE / pages < 1.5", "'low_citation_density:medium'"), ("total > 5 AND ea::DOUBLE / total > 0.7", "'et_al_overuse:low'"))} AS flags FROM b),
+b AS (SELECT *, len(claims) AS loose, CASE WHEN total > 0 THEN own::DOUBLE / total ELSE 0.0 END AS share FROM a),
+f AS (SELECT *, {_raised(("total >= 5 AND share >= 0.5", "'excessive_self_citation:high'", _no("share")), ("total >= 5 AND share >= 0.30::DOUBLE AND share < 0.5", "'high_self_citation_ratio:medium'", _no("share")), ("loose >= 3", "'unsupported_broad_claims:high'", "array_to_string(list_slice(claims, 1, 2), ' | ')"), ("loose BETWEEN 1 AND 2", "'unsupported_claims:medium'", "claims[1]"), ("pages >= 5 AND total::DOUBLE / pages < 1.5", "'low_citation_density:medium'", "pages::VARCHAR"), ("total > 5 AND ea::DOUBLE / total > 0.7", "'et_al_overuse:low'", _no("ea::DOUBLE / total")))} FROM b),
 g AS (SELECT *, {_weight()} AS raw FROM f)
-SELECT doc_id, total::INT AS total_citations, own::INT AS self_citations, {_r("share", 3)} AS self_citation_ratio, loose::INT AS unsupported_claims, flags, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
+SELECT doc_id, total::INT AS total_citations, own::INT AS self_citations, {_r("share", 3)} AS self_citation_ratio, loose::INT AS unsupported_claims, flags, evidence, {_r("raw", 3)} AS score, {_level_of("raw")} AS risk_level FROM g"""
 _CITED = f"list_transform(list_concat({_found(V.CARTEL_CITE)}, {_found(V.CARTEL_ET_AL)}), lambda s: {_STRIP('s')})"
-_SQL["cartel"] = f"""WITH {_D}, u AS (SELECT doc_id, unnest({_CITED}) AS author FROM d), e AS (SELECT doc_id, author, count(*) AS c FROM u GROUP BY ALL),
+_SQL["cartel"] = f"""WITH {_D}, u AS (SELECT doc_id, unnest({_CITED}) AS author, generate_subscripts({_CITED}, 1) AS pos FROM d),
+firsts AS (SELECT doc_id, string_agg(author, '|' ORDER BY begun) FILTER (place <= 10) AS authors FROM (SELECT doc_id, author, min(pos) AS begun, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS place FROM u GROUP BY doc_id, author) GROUP BY doc_id), e AS (SELECT doc_id, author, count(*) AS c FROM u GROUP BY doc_id, author),
 t AS (SELECT doc_id, sum(c) AS n, count(*) AS k, max(c) AS most FROM e GROUP BY doc_id),
 r AS (SELECT e.*, n, k, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC) AS rn FROM e JOIN t USING (doc_id)),
 m AS (SELECT doc_id, sum(c) FILTER (rn <= 3) AS top3, -sum(c::DOUBLE / n * log2(c::DOUBLE / n)) AS h, count(*) FILTER (c >= 2.0 * n / k) AS often FROM r GROUP BY doc_id),
 a AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(top3::DOUBLE / n, 0.0) AS c, CASE WHEN coalesce(k, 0) > 1 THEN h / log2(k) ELSE 1.0 END AS dv, coalesce(most::DOUBLE / n, 0.0) AS o, coalesce(often, 0) AS often FROM d LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)),
-f AS (SELECT *, {_raised(("c > 0.5 AND n >= 5", "'citation_concentration:' || CASE WHEN c > 0.7 THEN 'high' ELSE 'medium' END"), ("dv < 0.3 AND n >= 8", "'low_citation_diversity:medium'"), ("o > 0.3 AND n >= 5", "'excessive_self_citation:' || CASE WHEN o > 0.5 THEN 'high' ELSE 'medium' END"), ("often > 0", "'reciprocal_citation_pattern:medium'"), ("n < 5", "'insufficient_citations:low'"))} AS flags,
+f AS (SELECT *, {_raised(("c > 0.5 AND n >= 5", "'citation_concentration:' || CASE WHEN c > 0.7 THEN 'high' ELSE 'medium' END", _no("c")), ("dv < 0.3 AND n >= 8", "'low_citation_diversity:medium'", _no("dv")), ("o > 0.3 AND n >= 5", "'excessive_self_citation:' || CASE WHEN o > 0.5 THEN 'high' ELSE 'medium' END", _no("o")), ("often > 0", "'reciprocal_citation_pattern:medium'", "often::VARCHAR"), ("n < 5", "'insufficient_citations:low'", "n::BIGINT::VARCHAR"))},
   CASE WHEN n < 3 THEN 0.0 ELSE least({_r("c * 0.4::DOUBLE + (1.0 - dv) * 0.3::DOUBLE + o * 0.3::DOUBLE", 4)}, 1.0) END AS score FROM a),
 g AS (SELECT *, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS nf FROM f)
-SELECT doc_id, n::INT AS citation_count, k::INT AS n_authors, {_r("c", 4)} AS concentration, {_r("o", 4)} AS self_citation_ratio, {_r("dv", 4)} AS network_diversity, flags, score, {_level("score >= 0.6 OR nf >= 3", "score >= 0.4 OR nf >= 2", "score >= 0.2 OR nf >= 1")} AS risk_level FROM g"""
+SELECT doc_id, coalesce(authors, '') AS authors, n::INT AS citation_count, k::INT AS n_authors, {_r("c", 4)} AS concentration, {_r("o", 4)} AS self_citation_ratio, {_r("dv", 4)} AS network_diversity, flags, evidence, score, {_level("score >= 0.6 OR nf >= 3", "score >= 0.4 OR nf >= 2", "score >= 0.2 OR nf >= 1")} AS risk_level FROM g LEFT JOIN firsts USING (doc_id)"""
 _SQL["llm"] = f"""WITH {_D},
 a AS (SELECT doc_id, {_STRIP("text")} AS body, low, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]+')) AS words FROM d),
-b AS (SELECT doc_id, len(body) >= 100 AS go, words, list_transform(list_filter(list_transform(string_split_regex(body, '[.!?]+[{V.BLANKS}]+'), lambda s: {_STRIP("s")}), lambda s: len(s) > 10), lambda s: {_WORDS("s")}) AS l, len({_held(V.LLM_PHRASES)}) AS ph FROM a),
+b AS (SELECT doc_id, len(body) >= 100 AS go, words, list_transform(list_filter(list_transform(string_split_regex(body, '[.!?]+[{V.BLANKS}]+'), lambda s: {_STRIP("s")}), lambda s: len(s) > 10), lambda s: {_WORDS("s")}) AS l, {_held(V.LLM_PHRASES)} AS phrases, len({_held(V.LLM_PHRASES)}) AS ph FROM a),
 c AS (SELECT *, CASE WHEN len(l) > 0 THEN list_sum(l)::DOUBLE / len(l) ELSE 0.0 END AS m FROM b),
 v AS (SELECT *, CASE WHEN len(l) >= 3 AND m > 0 THEN sqrt(list_sum(list_transform(l, lambda x: (x - m) * (x - m))) / (len(l) - 1)) / m END AS cv FROM c),
-e AS (SELECT doc_id, go, len(l) AS ns, len(words) AS nw, CASE WHEN NOT go THEN 0.0 ELSE coalesce(least(cv, 1.0), 0.5) END AS b, CASE WHEN NOT go OR len(words) = 0 THEN 1.0 ELSE len(list_distinct(list_transform(list_slice(words, 1, 100), lambda w: lower(w))))::DOUBLE / least(len(words), 100) END AS t,
+e AS (SELECT doc_id, go, phrases, len(l) AS ns, len(words) AS nw, CASE WHEN NOT go THEN 0.0 ELSE coalesce(least(cv, 1.0), 0.5) END AS b, CASE WHEN NOT go OR len(words) = 0 THEN 1.0 ELSE len(list_distinct(list_transform(list_slice(words, 1, 100), lambda w: lower(w))))::DOUBLE / least(len(words), 100) END AS t,
   CASE WHEN NOT go THEN 0.0 ELSE coalesce(greatest(0.0, 1.0 - least(cv, 1.0)), 0.0) END AS u, CASE WHEN go THEN ph ELSE 0 END AS k FROM v),
-f AS (SELECT *, {_raised(("go AND b < 0.3 AND ns >= 5", "'low_burstiness:' || CASE WHEN b < 0.15 THEN 'high' ELSE 'medium' END"), ("go AND t < 0.4 AND nw >= 50", "'low_vocabulary_diversity:medium'"), ("go AND u > 0.7 AND ns >= 5", "'high_sentence_uniformity:medium'"), ("go AND k >= 3", "'llm_signature_phrases:' || CASE WHEN k >= 6 THEN 'high' ELSE 'medium' END"))} AS flags,
+f AS (SELECT *, {_raised(("go AND b < 0.3 AND ns >= 5", "'low_burstiness:' || CASE WHEN b < 0.15 THEN 'high' ELSE 'medium' END", _no("b")), ("go AND t < 0.4 AND nw >= 50", "'low_vocabulary_diversity:medium'", _no("t")), ("go AND u > 0.7 AND ns >= 5", "'high_sentence_uniformity:medium'", _no("u")), ("go AND k >= 3", "'llm_signature_phrases:' || CASE WHEN k >= 6 THEN 'high' ELSE 'medium' END", "to_json(list_slice(phrases, 1, 6))::VARCHAR"))},
   CASE WHEN go AND ns >= 3 THEN least({_r("greatest(0.0, 1.0 - b / 0.5) * 0.35::DOUBLE + greatest(0.0, 1.0 - t / 0.6::DOUBLE) * 0.25 + u * 0.20::DOUBLE + least(k / 8.0, 1.0) * 0.20::DOUBLE", 4)}, 1.0) ELSE 0.0 END AS score FROM e),
 g AS (SELECT *, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS nf FROM f)
-SELECT doc_id, {_r("b", 4)} AS burstiness_score, {_r("t", 4)} AS vocabulary_diversity, {_r("u", 4)} AS sentence_uniformity, k::INT AS llm_phrase_count, flags, score, {_level("score >= 0.65 OR nf >= 3", "score >= 0.45 OR nf >= 2", "score >= 0.25 OR nf >= 1")} AS risk_level FROM g"""
+SELECT doc_id, {_r("b", 4)} AS burstiness_score, {_r("t", 4)} AS vocabulary_diversity, {_r("u", 4)} AS sentence_uniformity, k::INT AS llm_phrase_count, flags, evidence, score, {_level("score >= 0.65 OR nf >= 3", "score >= 0.45 OR nf >= 2", "score >= 0.25 OR nf >= 1")} AS risk_level FROM g"""
 
 _MARKERS = ", ".join(f"({k}, {_q(m)})" for k, m in enumerate(V.SECTION_MARKERS))
 _SECTION_CTES = f"""{_D}, markers(ord, name) AS (VALUES {_MARKERS}),
@@ -338,9 +382,10 @@ reach(n, w, s, q) AS (SELECT 1, w, v, v * v FROM (SELECT DISTINCT (hi - lo)::BIG
 x AS (SELECT *, round_even(mean * n, 0) AS target, (round_even(mean * n, 0) - lo * n)::BIGINT AS shifted, n <= 12 AND hi - lo <= 12 AS small, CASE WHEN hi = lo THEN 0.5 ELSE (mean - lo) / (hi - lo) END AS p FROM g),
 j AS (SELECT x.*, CASE WHEN small THEN hi >= lo AND abs(mean * n - target) <= 0.01::DOUBLE AND EXISTS (SELECT 1 FROM reach r WHERE r.n = x.n AND r.w = x.hi - x.lo AND r.s = x.shifted AND abs(sqrt(greatest((r.q - 2 * (x.mean - x.lo) * x.shifted + x.n * (x.mean - x.lo) * (x.mean - x.lo)) / x.n, 0.0)) - x.sd) < 0.01::DOUBLE)
   WHEN p < 0 OR p > 1 THEN NULL ELSE sd <= sqrt(greatest(p * (1 - p), 0)) * abs(hi - lo) + 0.05::DOUBLE END AS ok FROM x),
-e AS (SELECT d.doc_id, count(j.k) FILTER (NOT coalesce(ok, false)) AS bad, count(j.k) FILTER (coalesce(ok, false)) AS good, count(j.k) FILTER (ok IS NULL) AS err FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id),
+e AS (SELECT d.doc_id, count(j.k) FILTER (NOT coalesce(ok, false)) AS bad, count(j.k) FILTER (coalesce(ok, false)) AS good, count(j.k) FILTER (ok IS NULL) AS err, coalesce(string_agg(printf('%.6f/%.6f/%d/%d-%d', mean, sd, n, lo, hi), '|' ORDER BY j.k) FILTER (NOT coalesce(ok, false)), '') AS impossible,
+  coalesce(string_agg(printf('%.6f/%.6f/%d/%d-%d', mean, sd, n, lo, hi), '|' ORDER BY j.k) FILTER (coalesce(ok, false)), '') AS possible, coalesce(string_agg(printf('M = %.6f, SD = %.6f, N = %d, scale %d to %d', mean, sd, n, lo, hi), ' ; ' ORDER BY j.k) FILTER (NOT coalesce(ok, false)), '') AS evidence FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id),
 f AS (SELECT *, CASE WHEN bad + good > 0 THEN bad::DOUBLE / (bad + good) ELSE 0 END AS raw FROM e)
-SELECT doc_id, bad::INT AS n_impossible, good::INT AS n_possible, err::INT AS n_errors, rtrim(repeat('sprite_impossible_distribution:high,', bad), ',') AS flags, {_r("raw", 4)} AS score, {_level("bad >= 2 OR raw >= 0.6", "bad = 1 OR raw >= 0.3", "raw > 0")} AS risk_level FROM f"""
+SELECT doc_id, impossible, possible, err::INT AS n_errors, rtrim(repeat('sprite_impossible_distribution:high,', bad), ',') AS flags, evidence, {_r("raw", 4)} AS score, {_level("bad >= 2 OR raw >= 0.6", "bad = 1 OR raw >= 0.3", "raw > 0")} AS risk_level FROM f"""
 
 _NAMES = {
     "statistics": "stat_audit", "methodology": "methodology_rules", "citations": "citation_integrity", "reproducibility": "reproducibility_checklist", "novelty": "novelty_score", "grim": "grim_report", "sprite": "sprite_report",

@@ -12,7 +12,7 @@ from veritrove.streaming.papers import reports, run_to_table, run_updates, table
 def stream_stat_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The p-value audit of documents read as a stream."""
     report = reports(table_stream(spark, folder, "documents"), "statistics", abstract="abstract", author_name="author_name", title="title")
-    flat = report.select(F.col("id").alias("doc_id"), F.size("p_values_found").alias("n_p_values"), F.size("sample_sizes_found").alias("n_sample_sizes"), F.array_join(F.transform("flags", lambda f: F.concat(f["flag_type"], F.lit(":"), f["severity"])), ",").alias("flags"), "score", "risk_level")
+    flat = integrity_queries.flat("statistics", report)
     return run_to_table(flat, "stream")
 
 

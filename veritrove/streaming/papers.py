@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrove.analyzers import ANALYZERS, papers
 from veritrove.sources.scratch import Scratch
@@ -59,7 +60,7 @@ def run_updates(stream: DataFrame, key: str, label: str) -> DataFrame:
     """
     spark = stream.sparkSession
     scratch = Scratch(spark, label)
-    shape = stream.schema.add("_batch", "bigint")
+    shape = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
     spark.createDataFrame([], shape).write.parquet(f"{scratch.root}/out/none")
 
     def put(batch: DataFrame, number: int) -> None:
