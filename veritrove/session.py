@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
-def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "4g") -> SparkSession:
-    """A local session: adaptive planning and Arrow on, UTC, as many shuffle partitions as asked for."""
+def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "4g", shared: str | None = None) -> SparkSession:
+    """A local session: adaptive planning and Arrow on, UTC, as many shuffle partitions as asked for.
+
+    ``shared`` is the folder for intermediate tables (``spark.checkpoint.dir``); by default one of this process, removed at its end.
+    """
+    if shared is None:
+        made = tempfile.mkdtemp(prefix="veritrove-")
+        atexit.register(shutil.rmtree, made, True)
+        shared = f"file://{made}"
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("veritrove")
@@ -15,6 +26,7 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -19,7 +19,7 @@ COLUMNS = (
 )
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in COLUMNS])
 
-# Codes of fraud types, categories with their target counts, sources.
+# Codes of fraud types, categories with their target counts.
 TAXONOMY = (
     ("FAB-01", "Complete data fabrication"), ("FAB-02", "Partial data fabrication"), ("FAB-03", "Data duplication across papers"),
     ("STAT-01", "P-hacking and selective reporting"), ("STAT-02", "HARKing — hypothesizing after results known"), ("STAT-03", "Impossible statistical values GRIM or SPRITE"), ("STAT-04", "Inflated effect sizes"), ("STAT-05", "Underpowered study with strong claims"),
@@ -29,17 +29,16 @@ TAXONOMY = (
     ("AUTH-01", "LLM-generated paper"), ("AUTH-02", "Plagiarism detected"), ("AUTH-03", "Retracted paper cited as valid"),
 )
 CATEGORIES = (("CONFIRMED_FRAUD", 300), ("SUSPECTED_FRAUD", 200), ("BORDERLINE", 150), ("CLEAN", 250), ("BASELINE_ELITE", 100))
-SOURCES = ("retraction_watch", "pubpeer", "pubmed", "arxiv", "semantic_scholar", "crossref")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark records of a CSV file or folder; empty numbers are null."""
-    return spark.read.csv(path, header=True, schema=SCHEMA, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    return spark.read.csv(path, header=True, schema=SCHEMA, quote='"', escape='"', multiLine=True, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """``df`` as benchmark CSV, columns in file order."""
-    df.select(*(F.col(c).cast(SCHEMA[c].dataType) for c in COLUMNS)).write.csv(path, header=True, quote='"', escape='"', emptyValue="", mode="overwrite")
+    df.select(*(F.col(c).cast(SCHEMA[c].dataType) for c in COLUMNS)).write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
