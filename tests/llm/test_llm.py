@@ -361,6 +361,18 @@ def test_words_give_the_library_s_ids(text):
     assert got == [tokens._tokenizer(path).encode(t, add_special_tokens=False).ids for t in (text, text + " don't 12½ \n\n x")]
 
 
+def test_vocabulary_with_added_tokens(tmp_path):
+    """Tokens that are cut out of the text before words are: such a vocabulary goes to the library whole."""
+    import json
+
+    data = json.loads(open(tokens.tokenizer_path(), encoding="utf-8").read())
+    data["added_tokens"].append({"id": 60_000, "content": "ell", "special": False, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False})
+    (tmp_path / "v.json").write_text(json.dumps(data), encoding="utf-8")
+    coder, lists = tokens._Coder(str(tmp_path / "v.json")), tokens._Lists()
+    coder.add(["well, hello"], lists)
+    assert coder.words is None and lists.done().to_pylist() == [coder.made.encode("well, hello", add_special_tokens=False).ids]
+
+
 def test_forgetting_words(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     coder = tokens._Coder(tokens.tokenizer_path())

@@ -84,6 +84,7 @@ class _Coder:
         data = json.loads(Path(path).read_text(encoding="utf-8"))
         split = data.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and data.get("normalizer") is None
+        plain = plain and not any(t.get("content") and not t.get("special") for t in data.get("added_tokens", []))  # such tokens are cut out of the text first
         self.words = _words_pattern() if plain and data["model"].get("type", "BPE") == "BPE" else None
         self.safe = _same_everywhere() if self.words else frozenset()
         self.memo: dict[str, tuple[int, ...]] = {}
