@@ -138,6 +138,18 @@ r AS (SELECT p.plan_id, p.stratum_field, p.stratum_value, coalesce(s.n, 0) AS av
       greatest(least(coalesce(s.n, 0), p.min_keep), least(coalesce(s.n, 0), (p.sample_n * p.target_pct + 50) // 100)) AS drawn
       FROM sample_plans p LEFT JOIN sizes s ON s.field = p.stratum_field AND s.stratum = {_FORM.format("p.stratum_value")})
 """
+_DRAWN = lambda text: f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+_P1_SAMPLE = f"""
+WITH units AS ({_UNITS}), ranked AS (SELECT field, stratum, paper_id, row_number() OVER (PARTITION BY field, stratum ORDER BY {_DRAWN("paper_id || '|17'")}, paper_id) AS rank, count(*) OVER (PARTITION BY field, stratum) AS have FROM units WHERE stratum <> ''),
+sizes AS (SELECT field, stratum, any_value(have) AS have FROM ranked GROUP BY ALL),
+p AS (SELECT plan_id, stratum_value, stratum_field AS field, {_FORM.format("stratum_value")} AS stratum, sample_n, target_pct, min_keep FROM sample_plans),
+q AS (SELECT p.*, have, least((sample_n * target_pct + 50) // 100, coalesce(have, 0)) AS quota, least(min_keep, coalesce(have, 0)) AS low, {_DRAWN("plan_id::VARCHAR || '|start 17'")} / 1152921504606846976.0::DOUBLE AS begun FROM p LEFT JOIN sizes USING (field, stratum)),
+o AS (SELECT *, sum(quota) OVER (PARTITION BY plan_id ORDER BY field, stratum) - quota AS before, floor(begun * have)::BIGINT AS start FROM q),
+u AS (SELECT plan_id, stratum_value, paper_id, rank, low, before + (quota * rank + start) // o.have > before + (quota * (rank - 1) + start) // o.have AS crossed FROM ranked JOIN o USING (field, stratum)),
+c AS (SELECT *, greatest(0, low - count(*) FILTER (crossed) OVER (PARTITION BY plan_id, stratum_value)) AS missing FROM u),
+t AS (SELECT *, row_number() OVER (PARTITION BY plan_id, stratum_value, crossed ORDER BY rank) AS turn FROM c)
+SELECT plan_id, stratum_value, paper_id FROM t WHERE crossed OR (rank <= low AND turn <= missing)
+"""
 _BARE = r"regexp_replace(replace(lower(upper({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')"
 _P2 = rf"""
 WITH r AS (
@@ -150,6 +162,33 @@ WITH r AS (
 k AS (SELECT table_name, id, regexp_replace({_BARE.format("doi")}, '^(doi)+', '') AS d, {_BARE.format("title")} AS t FROM r),
 g AS (SELECT table_name, id, min(id) OVER w AS first_id, count(*) OVER w AS n FROM k WHERE d <> '' AND t <> '' WINDOW w AS (PARTITION BY table_name, d, t))
 """
+_SPLIT = r"([\p{L}\p{N}])(?:[-\x{2010}\x{2011}\x{AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}''\x{2019}\x{2BC}]+(?:[ \t]*\r?\n[ \t]*)?)([\p{L}\p{N}])"
+
+
+def _words_sql(text: str) -> str:
+    """The words of a text as they are compared, for texts whose signs have no other form in Unicode."""
+    bare = f"regexp_replace(regexp_replace({text}, '<!--(?:.|\\n)*?-->', '', 'g'), '</?[a-zA-Z][^<>]*>', '', 'g')"
+    for entity, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&shy;", "chr(173)"), ("&amp;", "'&'")):
+        bare = f"replace({bare}, '{entity}', {sign})"
+    joined = f"lower({bare})"
+    for _ in range(2):  # a word of one letter ends one match and cannot begin the next
+        joined = f"regexp_replace({joined}, '{_SPLIT}', '\\1\\2', 'g')"
+    return rf"regexp_extract_all({joined}, '[\p{{L}}\p{{N}}]+')"
+
+
+_GRAM = " || ' ' || ".join(f"w[k + {j}]" for j in range(6))
+_P8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words_sql("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, k - 1 AS pos, {_GRAM} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS k FROM d)), ig AS (SELECT item_id, n, k - 1 AS place, {_GRAM} AS g FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 4)) AS k FROM i)),
+hits AS (SELECT doc_id, item_id, n, pos, place, place - row_number() OVER (PARTITION BY doc_id, item_id, pos - place ORDER BY place) AS island FROM dg JOIN ig USING (g)),
+runs AS (SELECT doc_id, item_id, n, min(place) AS item, min(pos) AS doc, count(*) + 5 AS size FROM hits GROUP BY doc_id, item_id, n, pos - place, island),
+may AS (SELECT doc_id, item_id, n, max(size) AS longest, min(doc) AS low, max(doc + size) AS high FROM runs GROUP BY ALL HAVING sum(size) * 3 >= n),
+chain AS (SELECT r.doc_id, r.item_id, r.item, r.doc, r.size, r.size AS held FROM runs r SEMI JOIN may USING (doc_id, item_id)
+  UNION SELECT r.doc_id, r.item_id, r.item, r.doc, r.size, c.held + r.size - greatest(c.item + c.size - r.item, c.doc + c.size - r.doc, 0)
+  FROM chain c JOIN runs r ON r.doc_id = c.doc_id AND r.item_id = c.item_id AND c.item < r.item AND c.doc < r.doc AND greatest(c.item + c.size - r.item, c.doc + c.size - r.doc, 0) < r.size),
+best AS (SELECT doc_id, item_id, max(held) AS held FROM chain GROUP BY ALL),
+found AS (SELECT doc_id, item_id, (CASE WHEN longest >= n THEN longest ELSE held END)::INT AS held, n::INT AS item_words, longest::INT AS longest, low::INT AS word_from, high::INT AS word_to FROM may JOIN best USING (doc_id, item_id))
+"""
 
 QUERIES = {
     "p1_found": p1_found,
@@ -174,8 +213,11 @@ QUERIES = {
 SQL = {
     "p1_found": _P1 + "SELECT plan_id, stratum_value FROM r WHERE available < needed",
     "p1_report": _P1 + "SELECT plan_id, stratum_field, stratum_value, available, needed, CAST(drawn AS BIGINT) AS drawn, drawn < needed AS short FROM r",
+    "p1_sample": _P1_SAMPLE,
     "p2_found": _P2 + "SELECT table_name, first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p2_records": _P2 + "SELECT table_name, first_id, n AS n_copies FROM g WHERE id = first_id",
+    "p8_found": _P8 + "SELECT doc_id, item_id FROM found WHERE held * 3 >= item_words",
+    "p8_matches": _P8 + "SELECT * FROM found WHERE held * 3 >= item_words",
     "p7_offsets": "SELECT doc_id, true AS same, len(coalesce(text, ''))::INT AS n_chars FROM documents",
     "p7_round_trip": "SELECT true AS same, count(*) AS n_docs FROM documents",
 }

@@ -37,6 +37,11 @@ def stratum_form(value: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s_\-\x{2010}-\x{2015}]+", "_")
 
 
+def _drawn(*parts: Column) -> Column:
+    """A number below 2^60 from the digest of some values; any engine with MD5 gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
 def units(papers: DataFrame, fields: list[str], slices: int, id_col: str = "paper_id", seed: int = 17) -> DataFrame:
     """Distinct (``field``, ``stratum``, ``unit``) of ``papers``, with ``slice`` and ``rand``.
 
@@ -46,8 +51,8 @@ def units(papers: DataFrame, fields: list[str], slices: int, id_col: str = "pape
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), stratum_form(F.col(f)).alias("stratum")) for f in fields]).cast("array<struct<field:string,stratum:string>>"))
     rows = papers.select(F.col(id_col).alias("unit"), pairs.alias("s")).select("s.field", "s.stratum", "unit")
     rows = rows.where("unit is not null and stratum is not null and stratum <> ''")
-    rows = rows.withColumn("rand", F.xxhash64("unit", F.lit(seed + 1)))
-    rows = rows.withColumn("slice", F.least(F.floor((F.col("rand") / float(2**64) + 0.5) * slices), F.lit(slices - 1)).cast("int"))
+    rows = rows.withColumn("rand", _drawn(F.col("unit"), F.lit(str(seed))))
+    rows = rows.withColumn("slice", F.least(F.floor(F.col("rand") / float(2**60) * slices), F.lit(slices - 1)).cast("int"))
     return rows.repartition("field", "stratum", "slice").distinct()
 
 
@@ -81,7 +86,7 @@ def draw(papers: DataFrame, plans: DataFrame, id_col: str = "paper_id", seed: in
         summed[p.plan_id] = summed.get(p.plan_id, 0) + quota
         design.append((p.plan_id, p.stratum_field, p.stratum, p.stratum_value, have, max(p.min_keep, share), min(p.min_keep, have), summed[p.plan_id] - quota, quota))
     design_df = spark.createDataFrame(design, "plan_id int, field string, stratum string, stratum_value string, available bigint, needed bigint, floor bigint, begin bigint, quota bigint")
-    start = F.pmod(F.xxhash64("plan_id", F.lit(seed + 2)), F.lit(1_000_000)) / 1_000_000.0
+    start = _drawn(F.col("plan_id").cast("string"), F.lit(f"start {seed}")) / float(2**60)
     local = F.row_number().over(Window.partitionBy(*place).orderBy("rand", "unit"))
     offsets = spark.createDataFrame(offset, "field string, stratum string, slice int, before bigint")
     ranked = placed.join(F.broadcast(offsets), place).withColumn("rank", F.col("before") + local)
