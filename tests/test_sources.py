@@ -18,7 +18,7 @@ def test_benchmark_csv_round_trip(spark, tmp_path):
     benchmark.write_csv(df, str(tmp_path / "out"))
     got = benchmark.read_csv(spark, str(tmp_path / "out")).first().asDict()
     assert got == row
-    assert len(benchmark.COLUMNS) == 35 and benchmark.taxonomy(spark).count() == 20
+    assert len(benchmark.COLUMNS) == 35
     assert benchmark.categories(spark).agg(F.sum("target")).first()[0] == 1000 and benchmark.status(spark).count() == 14
 
 

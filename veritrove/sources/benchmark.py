@@ -19,15 +19,7 @@ COLUMNS = (
 )
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in COLUMNS])
 
-# Codes of fraud types, categories with their target counts.
-TAXONOMY = (
-    ("FAB-01", "Complete data fabrication"), ("FAB-02", "Partial data fabrication"), ("FAB-03", "Data duplication across papers"),
-    ("STAT-01", "P-hacking and selective reporting"), ("STAT-02", "HARKing — hypothesizing after results known"), ("STAT-03", "Impossible statistical values GRIM or SPRITE"), ("STAT-04", "Inflated effect sizes"), ("STAT-05", "Underpowered study with strong claims"),
-    ("FIG-01", "Duplicated figure panels"), ("FIG-02", "Manipulated western blots"), ("FIG-03", "Image brightness or contrast manipulation"),
-    ("CIT-01", "Excessive self-citation ring"), ("CIT-02", "Citation cartel coordinated group"), ("CIT-03", "Unsupported claims without citation"),
-    ("METH-01", "Causation claimed without RCT"), ("METH-02", "Missing control group"), ("METH-03", "Undisclosed conflicts of interest"),
-    ("AUTH-01", "LLM-generated paper"), ("AUTH-02", "Plagiarism detected"), ("AUTH-03", "Retracted paper cited as valid"),
-)
+# Categories with their target counts.
 CATEGORIES = (("CONFIRMED_FRAUD", 300), ("SUSPECTED_FRAUD", 200), ("BORDERLINE", 150), ("CLEAN", 250), ("BASELINE_ELITE", 100))
 
 
@@ -41,11 +33,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*(F.col(c).cast(SCHEMA[c].dataType) for c in COLUMNS)).write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="overwrite")
 
 
-def taxonomy(spark: SparkSession) -> DataFrame:
-    """``code`` and ``description`` of fraud types."""
-    return spark.createDataFrame(list(TAXONOMY), "code string, description string")
-
-
 def categories(spark: SparkSession) -> DataFrame:
     """``category`` and its ``target`` count."""
     return spark.createDataFrame(list(CATEGORIES), "category string, target int")
