@@ -179,6 +179,17 @@ def test_no_text_stops_a_job(spark):
     assert len(df.select(parser_sections(F.col("text"))).collect()) == len(HOSTILE)
 
 
+def test_phrases_by_either_way(monkeypatch):
+    """The automaton and looking for phrases one by one give the same."""
+    from veritrove.functions import phrases
+
+    texts = ["", None, STYLE.lower(), "the data are available upon request; we found that it causes harm in a survey", "x" * 1000, "state-of-the-art state of the art"]
+    got = [sorted(phrases.phrases_of(t)) for t in texts]
+    assert got == [sorted(p for p in phrases.PHRASES if p in (t or "")) for t in texts]
+    monkeypatch.setattr(phrases, "_automaton", lambda: None)
+    assert got == [sorted(phrases.phrases_of(t)) for t in texts] and got[3]
+
+
 def test_rounding(spark):
     """As Python rounds: by the binary number, exact ties to the even digit."""
     import random

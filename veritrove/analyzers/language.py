@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flags, level, rounded, summary, told
-from veritrove.functions.text import found, held, strip, word_count
+from veritrove.functions.phrases import held, with_phrases
+from veritrove.functions.text import found, strip, word_count
 
 
-def key_terms(text: Column, low: Column, title: Column) -> Column:
+def key_terms(text: Column, title: Column) -> Column:
     """Up to six terms: words of the title, then domain keywords, then pairs of capitalised words."""
     words = F.slice(found(title, V.TITLE_WORD, 0, False), 1, 5)
-    domain = held(low, V.DOMAIN_KEYWORDS)
+    domain = held(V.DOMAIN_KEYWORDS)
     # Keywords are added until there are six terms; the first is added in any case.
     both = F.concat(words, F.slice(domain, F.lit(1), F.greatest(F.lit(6) - F.size(words), F.lit(1))))
     pairs = F.slice(found(text, V.CAPITAL_PAIR, 0, False), 1, 3)
@@ -33,9 +34,8 @@ def novelty(df: DataFrame, literature: DataFrame | None = None) -> DataFrame:
     ``literature`` may give ``id``, ``related_title``, ``related_year`` and ``related_authors`` of found
     works; each lowers the score.  Without it none is accessible.
     """
-    low = F.col("low")
-    df = df.withColumn("low", F.lower("text"))
-    read = df.select("id", once(key_terms(F.col("text"), low, F.col("title"))).alias("key_terms_extracted"), F.size(held(low, V.NOVELTY_SIGNALS)).alias("signals"), held(low, V.INCREMENTAL_SIGNALS).alias("incremental"), F.array_distinct(found(F.lower("title"), r"\w+", 0, False)).alias("asked"))
+    df = with_phrases(df)
+    read = df.select("id", once(key_terms(F.col("text"), F.col("title"))).alias("key_terms_extracted"), F.size(held(V.NOVELTY_SIGNALS)).alias("signals"), held(V.INCREMENTAL_SIGNALS).alias("incremental"), F.array_distinct(found(F.lower("title"), r"\w+", 0, False)).alias("asked"))
     base = rounded(F.least(F.greatest(0.5 + 0.08 * F.col("signals") - 0.06 * F.size("incremental"), F.lit(0.05)), F.lit(0.95)), 3)
     if literature is None:
         read = read.withColumn("related_works_found", F.array().cast("array<struct<title:string,year:int,authors:array<string>,similarity_signal:string>>"))
@@ -63,8 +63,8 @@ def llm_style(df: DataFrame) -> DataFrame:
     body = strip(F.col("text"))
     sentences = F.filter(F.transform(F.split(F.col("body"), rf"(?<![.!?])[.!?]++[{V.BLANKS}]++", -1), strip), lambda s: F.length(s) > 10)
     words = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]++(?![\p{L}\p{N}_])"), F.lit(0))
-    read = df.select("id", "text", body.alias("body"), F.lower("text").alias("low"))
-    read = read.select("id", (F.length("body") >= 100).alias("long"), F.transform(sentences, word_count).alias("lengths"), words.alias("words"), held(F.col("low"), V.LLM_PHRASES).alias("phrases"))
+    read = with_phrases(df).select("id", "text", body.alias("body"), "phrases")
+    read = read.select("id", (F.length("body") >= 100).alias("long"), F.transform(sentences, word_count).alias("lengths"), words.alias("words"), held(V.LLM_PHRASES).alias("phrases"))
     n = F.size("lengths")
     total = F.aggregate("lengths", F.lit(0.0), lambda acc, v: acc + v)
     read = read.withColumn("mean", F.when(n > 0, total / n).otherwise(F.lit(0.0)))

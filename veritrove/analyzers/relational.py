@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, told, weighted
-from veritrove.functions.text import any_of, found, in_line, pieces_with, strip, word_count
+from veritrove.functions.phrases import named, with_phrases
+from veritrove.functions.text import found, in_line, pieces_with, strip, word_count
 
 
 def dois(text: Column, limit: int | None = None) -> Column:
@@ -54,9 +55,9 @@ def citations(df: DataFrame) -> DataFrame:
     name = strip(F.col("author_name"))
     surname = F.regexp_extract(name, rf"([^{V.BLANKS}]+)\z", 1)
     own = F.when(F.col("author_name") == "", F.lit(0)).otherwise(F.regexp_count(text, F.concat(F.lit("(?iud)\\Q"), F.replace(F.when(surname == "", F.col("author_name")).otherwise(surname), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E[,{V.BLANKS}]{{0,10}}(?:\d{{4}}|et al)"))))
-    df = df.withColumn("low", F.lower("text"))
+    df = with_phrases(df)
     # Only texts that hold a marker at all are cut into pieces.
-    claims = F.when(any_of(F.col("low"), V.CLAIM_MARKERS), pieces_with(text, V.CLAIM_MARKERS, 15)).otherwise(F.array().cast("array<string>"))
+    claims = F.when(named(V.CLAIM_MARKERS), pieces_with(text, V.CLAIM_MARKERS, 15)).otherwise(F.array().cast("array<string>"))
     cited = "|".join(in_line(p) for p in V.CITED_CLAIM.split("|"))
     loose = F.slice(F.filter(claims, lambda s: ~s.rlike("(?d)" + cited)), 1, 5)
     read = df.select("id", F.size(marks).alias("total_citations"), own.alias("self_citations"), loose.alias("loose"), F.greatest(F.lit(1), F.floor(word_count(text) / 250)).alias("pages"), F.regexp_count(text, F.lit("(?iu)" + V.ET_AL)).alias("et_al"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from veritrove.functions import vocabulary as V
 from veritrove.functions.scoring import flag, flag_each, flags, level, level_by_score, ratio, rounded, summary, told, weighted
-from veritrove.functions.text import any_of, found, numbers
+from veritrove.functions.phrases import named, with_phrases
+from veritrove.functions.text import found, numbers
 
 
 def _count(items: Column, test) -> Column:
@@ -17,7 +18,7 @@ def _count(items: Column, test) -> Column:
 
 def stat_audit(df: DataFrame) -> DataFrame:
     """P-values and sample sizes: borderline and round p-values, small samples, missing tests."""
-    raw = df.select("id", "text", found(F.col("text"), V.P_AUDIT).alias("mentions"), numbers(found(F.col("text"), V.N_AUDIT), "bigint").alias("sample_sizes_found"))
+    raw = with_phrases(df).select("id", "phrases", found(F.col("text"), V.P_AUDIT).alias("mentions"), numbers(found(F.col("text"), V.N_AUDIT), "bigint").alias("sample_sizes_found"))
     read = raw.withColumn("p_values_found", F.filter(numbers(F.col("mentions")), lambda v: (v > 0) & (v <= 1)))
     p, n = F.col("p_values_found"), F.col("sample_sizes_found")
     near = read.withColumns({"borderline": F.filter(p, lambda v: (v >= 0.04) & (v <= 0.051)), "small": F.filter(n, lambda v: (v > 0) & (v < 30)), "round_p": F.filter(p, lambda v: v.isin(0.05, 0.049, 0.001, 0.01))})
@@ -28,7 +29,7 @@ def stat_audit(df: DataFrame) -> DataFrame:
         flag(~hacking & (share >= 0.4) & (count >= 2), "borderline_p_values", "medium", F.to_json("borderline")),
         flag(F.size("small") > 0, "small_sample_size", F.when(F.array_min("small") < 15, "high").otherwise("medium"), F.to_json("small")),
         flag(F.size("round_p") > 0, "suspiciously_round_p_values", "medium", F.to_json("round_p")),
-        flag((F.size(n) > 0) & any_of(F.lower("text"), V.RESULT_WORDS) & (F.size("mentions") == 0), "missing_statistical_tests", "high"),
+        flag((F.size(n) > 0) & named(V.RESULT_WORDS) & (F.size("mentions") == 0), "missing_statistical_tests", "high"),
     )
     scored = near.withColumn("flags", raised).withColumn("raw", weighted(F.col("flags"))).withColumn("risk_level", level_by_score(F.col("raw")))
     return scored.select("id", "p_values_found", "sample_sizes_found", "flags", rounded(F.col("raw"), 3).alias("score"), "risk_level", summary("P-value audit", F.col("flags"), F.col("risk_level")).alias("summary"))

@@ -34,15 +34,7 @@ def any_of(lowered: Column, phrases: Iterable[str]) -> Column:
     return out
 
 
-def held(lowered: Column, phrases: Iterable[str]) -> Column:
-    """The phrases that a lower-cased text contains, in list order.
-
-    ``lowered`` should be a column, not an expression: it is named once for each phrase.
-    """
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in phrases]))
-
-
-def _literals(pattern: str) -> list[str]:
+def literals(pattern: str) -> list[str]:
     """Stretches of three or more plain letters that every match of a pattern without alternation holds."""
     plain = re.sub(r"\\[sSdDwWb][+*?]?|\\.|\.[*+?]?|[+*?]", "\n", pattern)
     return [x for x in re.findall(r"[a-z ]+", plain) if len(x) >= 3]
@@ -57,16 +49,16 @@ def in_line(pattern: str) -> str:
     return pattern if len(parts) == 1 else "(?m)^" + "".join(f"(?>.*?(?:{part}))" for part in parts)
 
 
-def matches(text: Column, lowered: Column, patterns: Iterable[str]) -> Column:
+def matches(text: Column, phrases: Column, patterns: Iterable[str]) -> Column:
     """Whether one of the patterns is found in the text, without regard to case.
 
-    A pattern is tried only on texts that hold its literal parts, which is cheap to tell.
+    A pattern is tried only on texts whose ``phrases`` hold its literal parts.
     """
     out = F.lit(False)
     for pattern in (q for p in patterns for q in p.split("|")):
         needed = F.lit(True)
-        for literal in _literals(pattern):
-            needed = needed & F.contains(lowered, F.lit(literal))
+        for literal in literals(pattern):
+            needed = needed & F.array_contains(phrases, literal)
         out = out | (needed & text.rlike(java(in_line(pattern))))
     return out
 
