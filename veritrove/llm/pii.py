@@ -71,7 +71,11 @@ _BLANK = re.compile(r"\s+")
 #: What may stand between the words of a name that no lexicon knows: blanks with at most one line break.
 _WITHIN = re.compile(rf"[^\S\n\r]*(?:[^\S\n\r]|\r?\n)[^\S\n\r]*(?:[{_UP}]\.[^\S\n\r]+)*")
 #: Names in scripts without letter case: signs between a cue and a mark or honorific.
-_UNCASED = re.compile(r"(?:連絡先|担当者?|責任者|氏名|著者|謝辞|联系人|姓名|负责人|作者|感谢|患者|문의|연락처|담당자?|저자|성명)\s*[:：]?\s*([\u4e00-\u9fff\uac00-\ud7a3]{1,4}[ \u3000・]?[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7a3]{1,5}?)(?=さん|氏|様|先生|教授|博士|씨|님|[、,，。．.;；\s（(<]|$)")
+_HONORIFIC = "さん|氏|様|先生|教授|博士|씨|님"
+_UNCASED = re.compile(
+    r"(?:連絡先|担当者?|責任者|氏名|著者|謝辞|联系人|姓名|负责人|作者|感谢|患者|문의|연락처|담당자?|저자|성명)\s*[:：]?\s*"
+    rf"((?:(?!{_HONORIFIC})[\u4e00-\u9fff\uac00-\ud7a3]){{1,4}}[ \u3000・]?(?:(?!{_HONORIFIC})[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7a3]){{1,5}}?)(?={_HONORIFIC}|[、,，。．.;；\s（(<]|$)"
+)
 _INITIALS = re.compile(rf"\s+[{_UP}]\.(?:(?:\s+|[-‐‑])?[{_UP}]\.)*(?!\w)")
 _CITY = re.compile(r"Washington,\s+D\.\s?C\.")
 _BEFORE_COMMA = re.compile(rf"(?<![\w'’@.-])({_LONG_PART}{_CAP}),\s+$")
