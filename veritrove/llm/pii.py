@@ -239,7 +239,7 @@ def _unknown(text: str, a: int, b: int, out: list[tuple[int, int, int, int]]) ->
     if text[b] != ",":
         gap = _WITHIN.match(text, b)
         if gap and (end := _family_at(text, gap.end())) > 0 and not _CUE["name"].fullmatch(text, a, b):
-            if "\n" in gap.group() and not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t#*.0123456789"):
+            if "\n" in gap.group() and not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t\xa0#*.0123456789"):
                 return -1  # a heading and the line below it
             out.append((a, end, 0, 5))
             _longer(text, a, end, out)
