@@ -373,6 +373,18 @@ def test_vocabulary_with_added_tokens(tmp_path):
     assert coder.words is None and lists.done().to_pylist() == [coder.made.encode("well, hello", add_special_tokens=False).ids]
 
 
+def test_rare_words_go_whole():
+    """Chunks of new words are followed by chunks for the library, with the same ids, and words are split again later."""
+    rng, coder, went = random.Random(2), tokens._Coder(tokens.tokenizer_path()), []
+    for chunk in range(24):
+        texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20)) for _ in range(4)] if chunk < 3 else ["some words that are known"] * 40
+        lists = tokens._Lists()
+        coder.add(texts, lists)
+        went.append(coder.whole)
+        assert lists.done().to_pylist() == [coder.made.encode(t, add_special_tokens=False).ids for t in texts]
+    assert went[0] == tokens.WHOLE and went[-1] < 0
+
+
 def test_forgetting_words(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     coder = tokens._Coder(tokens.tokenizer_path())

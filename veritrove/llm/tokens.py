@@ -33,6 +33,8 @@ DEFAULT_NAME = "byte_bpe_50k.json"
 CHUNK = 256
 #: Words a worker remembers (some 100 MB when full), and the longest that it does.
 REMEMBERED, LONGEST = 400_000, 64
+#: One new word in so many is too much, and for how many chunks words are not split then.
+FRESH, WHOLE = 5, 16
 #: How byte-level vocabularies split a text into words (fixed value, published with them).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -88,9 +90,11 @@ class _Coder:
         self.words = _words_pattern() if plain and data["model"].get("type", "BPE") == "BPE" else None
         self.safe = _same_everywhere() if self.words else frozenset()
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.fresh = self.whole = 0
 
     def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         fresh = [w for w in dict.fromkeys(words) if w not in self.memo]
+        self.fresh += len(fresh)
         got = {w: tuple(e.ids) for w, e in zip(fresh, self.made.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
         long = {w: v for w, v in got.items() if len(w) > LONGEST}
         if len(self.memo) + len(got) > REMEMBERED:
@@ -99,20 +103,29 @@ class _Coder:
         return long
 
     def add(self, texts: list[str], lists: _Lists) -> None:
-        """The ids of ``texts``, in order, to ``lists``."""
-        whole = [k for k, t in enumerate(texts) if self.words is None or not self.safe.issuperset(t)]
+        """The ids of ``texts``, in order, to ``lists``.
+
+        Where more than one word in ``FRESH`` is a new one, splitting words does not pay, and the next chunks of texts go to
+        the library whole; the ids are the same.
+        """
+        self.whole -= 1
+        whole = [k for k, t in enumerate(texts) if self.words is None or self.whole >= 0 or not self.safe.issuperset(t)]
+        total = self.fresh = 0
         direct = dict(zip(whole, self.made.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True))
         for k, text in enumerate(texts):
             if k in direct:
                 lists.add(direct[k].ids)
                 continue
             words = self.words.findall(text)
+            total += len(words)
             try:
                 ids = list(chain.from_iterable(map(self.memo.__getitem__, words)))
             except KeyError:
                 known = self._learn(words)
                 ids = list(chain.from_iterable(self.memo[w] if w in self.memo else known[w] for w in words))
             lists.add(ids)
+        if self.fresh * FRESH > total:
+            self.whole = WHOLE
 
 
 def _words_pattern():
